@@ -97,31 +97,28 @@ def _rounding(v):
     return (abs(v) >> 50) + 1 if isinstance(v, int) else 0.0
 
 
-def running_totals(counts: DataFrame, group: list[str], block: str, value: str,
-                   measures: list[str], with_next: bool = False) -> DataFrame:
-    """Inclusive running sums of ``measures`` by ``value`` within ``group``.
+def running_totals(counts: DataFrame, group: list[str], block: str, order: list[Column],
+                   measures: list[str], next_of: str | None = None) -> DataFrame:
+    """Inclusive running sums of ``measures`` in ``order`` within ``group``.
 
-    ``counts`` holds one row per (group, value) with its block. Adds
-    ``cum_<measure>`` and, on request, ``next_value`` (the following distinct value).
+    ``counts`` holds one row per (group, order key) with its block; blocks are
+    numbered in order. Adds ``cum_<measure>`` and, when ``next_of`` names a
+    column, ``next_value``: that column's value in the following row.
     """
-    totals = counts.groupBy(*group, block).agg(
-        *[F.sum(m).alias(f"_t_{m}") for m in measures], F.min(value).alias("_first"))
+    firsts = [F.min(next_of).alias("_first")] if next_of else []
+    totals = counts.groupBy(*group, block).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures], *firsts)
     by_block = Window.partitionBy(*group).orderBy(block)
     before = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    leads = [F.lead("_first").over(by_block).alias("_next_first")] if next_of else []
     offsets = totals.select(
         *group, block,
-        *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
-        F.lead("_first").over(by_block).alias("_next_first"),
-    )
-    inner = Window.partitionBy(*group, block).orderBy(value)
+        *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures], *leads)
+    inner = Window.partitionBy(*group, block).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
-    joined = counts.join(offsets, [*group, block])
-    extra = [F.coalesce(F.lead(value).over(inner), F.col("_next_first")).alias("next_value")] if with_next else []
-    return joined.select(
+    following = [F.coalesce(F.lead(next_of).over(inner), F.col("_next_first")).alias("next_value")] if next_of else []
+    return counts.join(offsets, [*group, block]).select(
         *counts.columns,
-        *[(F.sum(m).over(upto) + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
-        *extra,
-    )
+        *[(F.sum(m).over(upto) + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures], *following)
 
 
 def long_values(df: DataFrame, columns: list[str], edges: dict[str, list[float]],

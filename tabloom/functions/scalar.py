@@ -76,23 +76,31 @@ PHI_DENOMINATOR = (
 PHI_SWITCH = 7.07106781186547
 SQRT_TWO_PI = 2.506628274631
 
-# Rational approximation of the inverse (Acklam 2003), highest power first.
+# Rational approximation of the inverse (Wichura 1988, AS 241), lowest power first.
 PPF_CENTRE_NUMERATOR = (
-    -3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
-    1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00,
+    3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
+    4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3,
 )
 PPF_CENTRE_DENOMINATOR = (
-    -5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
-    6.680131188771972e01, -1.328068155288572e01, 1.0,
+    1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+    2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3,
+)
+PPF_MIDDLE_NUMERATOR = (
+    1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
+    1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4,
+)
+PPF_MIDDLE_DENOMINATOR = (
+    1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+    1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9,
 )
 PPF_TAIL_NUMERATOR = (
-    -7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
-    -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00,
+    6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1,
+    2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7,
 )
 PPF_TAIL_DENOMINATOR = (
-    7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0,
+    1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+    7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15,
 )
-PPF_TAIL = 0.02425
 
 
 def _poly(x: Column, coefficients) -> Column:
@@ -101,7 +109,11 @@ def _poly(x: Column, coefficients) -> Column:
 
 
 def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function."""
+    """Standard normal distribution function.
+
+    Pass a plain column (compute it with ``withColumn`` first): the argument
+    appears many times in the expression.
+    """
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _poly(a, PHI_NUMERATOR) / _poly(a, PHI_DENOMINATOR)
@@ -111,18 +123,22 @@ def normal_cdf(x: Column) -> Column:
 
 
 def normal_ppf(p: Column) -> Column:
-    """Inverse of :func:`normal_cdf` on (0, 1), refined by one Newton step."""
-    def tail(q: Column) -> Column:
-        return _poly(q, PPF_TAIL_NUMERATOR) / _poly(q, PPF_TAIL_DENOMINATOR)
+    """Inverse of :func:`normal_cdf` on (0, 1); pass a plain column here as well."""
+    def ratio(x: Column, numerator, denominator) -> Column:
+        return _poly(x, numerator[::-1]) / _poly(x, denominator[::-1])
 
     q = p - 0.5
-    r = q * q
-    centre = _poly(r, PPF_CENTRE_NUMERATOR) * q / _poly(r, PPF_CENTRE_DENOMINATOR)
-    low = tail(F.sqrt(-2 * F.ln(p)))
-    high = -tail(F.sqrt(-2 * F.ln(1 - p)))
-    x = F.when(p < PPF_TAIL, low).when(p > 1 - PPF_TAIL, high).otherwise(centre)
-    density = F.exp(-x * x / 2) / F.lit(math.sqrt(2 * math.pi))
-    return x - (normal_cdf(x) - p) / density
+    centre = q * ratio(0.180625 - q * q, PPF_CENTRE_NUMERATOR, PPF_CENTRE_DENOMINATOR)
+    depth = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    middle = ratio(depth - 1.6, PPF_MIDDLE_NUMERATOR, PPF_MIDDLE_DENOMINATOR)
+    tail = ratio(depth - 5, PPF_TAIL_NUMERATOR, PPF_TAIL_DENOMINATOR)
+    outer = F.when(depth <= 5, middle).otherwise(tail)
+    return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -outer).otherwise(outer)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once instead of spelled out at each use."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:
