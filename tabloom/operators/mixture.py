@@ -20,7 +20,7 @@ from tabloom.operators.encoder import append, fit_all, register
 from tabloom.operators.categorical import OneHotEncoder
 from tabloom.operators.numeric import NumericEncoder
 
-BINS = 10_000
+BINS = 4_096
 STD_MULTIPLIER = 4
 PROBABILITY_FLOOR = 1e-6
 NORMAL_BOUND = 0.99
