@@ -32,7 +32,7 @@ def quantile_edges(df: DataFrame, columns: list[str], blocks: int | None = None)
         return {c: [] for c in columns}
     probs = [i / blocks for i in range(1, blocks)]
     row = df.agg(*[
-        F.percentile_approx(col(c).cast("double"), probs, SKETCH_ACCURACY).alias(str(i))
+        F.percentile_approx(col(c).cast("double"), probs, 20 * blocks).alias(str(i))
         for i, c in enumerate(columns)
     ]).first()
     return {c: sorted(set(row[i] or [])) for i, c in enumerate(columns)}
@@ -147,3 +147,47 @@ def ordered_blocks(df: DataFrame, order: list[Column], blocks: int | None = None
 
     parts = blocks or block_count(df)
     return checkpoint(df.repartitionByRange(parts, *order).withColumn("blk", F.spark_partition_id()))
+
+
+def linear_recurrence(df: DataFrame, series: list[str], order: list[str], value: str, decay: float,
+                      start: float, out: str) -> DataFrame:
+    """t_i = (1 - decay) * x_i + decay * t_(i-1) per series in order, t_0 = ``start``.
+
+    A series is scanned in range partitions, so a long one is split over tasks:
+    each task carries a running value from zero and how many steps it has made,
+    the carries of a series' partitions are chained (one entry per partition),
+    and every row adds its partition's incoming carry times decay^steps.
+    """
+    import pandas as pd
+    from pyspark.taskcontext import TaskContext
+
+    from tabloom.session import checkpoint
+
+    keys = [c for c in df.columns]
+
+    def scan(batches):
+        part, current, t, steps = TaskContext.get().partitionId(), None, 0.0, 0
+        for pdf in batches:
+            ids = list(zip(*[pdf[s] for s in series])) if len(pdf) else []
+            locals_, counts = [], []
+            for sid, x in zip(ids, pdf[value].tolist()):
+                if sid != current:
+                    current, t, steps = sid, 0.0, 0
+                t = (1 - decay) * x + decay * t
+                steps += 1
+                locals_.append(t)
+                counts.append(steps)
+            yield pdf.assign(_t=pd.Series(locals_, index=pdf.index, dtype="float64"),
+                             _k=pd.Series(counts, index=pdf.index, dtype="int64"), blk=part)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _t double, _k bigint, blk int"
+    parts = df.repartitionByRange(block_count(df), *[col(c) for c in (*series, *order)])
+    scanned = checkpoint(parts.sortWithinPartitions(*series, *order).mapInPandas(scan, schema))
+    last = scanned.groupBy(*series, "blk").agg(F.max_by("_t", "_k").alias("end"), F.max("_k").alias("n"))
+    d = F.lit(decay)
+    chain = Window.partitionBy(*series).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*series, "blk", F.aggregate(
+        F.collect_list(F.struct("end", "n")).over(chain), F.lit(float(start)),
+        lambda acc, e: e["end"] + F.pow(d, e["n"]) * acc).alias("_in"))
+    done = scanned.join(carried, [*series, "blk"])
+    return done.select(*keys, (F.col("_t") + F.pow(d, F.col("_k")) * F.col("_in")).alias(out))
