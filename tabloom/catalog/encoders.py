@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import (
-    EPSILON, PHI_DENOMINATOR, PHI_NUMERATOR, PHI_SWITCH, SQRT_TWO_PI, normal_cdf,
+    EPSILON, PHI_DENOMINATOR, PHI_NUMERATOR, PHI_SWITCH, SQRT_TWO_PI, with_normal_cdf,
 )
 from tabloom.operators import categorical as C
 from tabloom.operators import copula
@@ -186,7 +186,8 @@ FROM (SELECT {IDS}, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z, is_null
 def copula_transform(spark, d):
     df = project(gaps(spark, d), [*ID, "q"])
     out = copula.CopulaEncoder(distribution="gaussian").fit_transform(df, "q")
-    return out.select(*ID, r(normal_cdf(F.col("q__value"))).alias("u"), F.col("q__is_null").alias("is_null"))
+    out = with_normal_cdf(out, {"u": "q__value"})
+    return out.select(*ID, r(F.col("u")).alias("u"), F.col("q__is_null").alias("is_null"))
 
 
 @query("copula_reverse", f"SELECT {IDS}, round(q, 4) AS q FROM {GAPS}")

@@ -35,7 +35,7 @@ def scan_parquet(spark, d):
 def sink_cohort(spark, d):
     path = io.scratch(spark, "cohort")
     rows = io.write_cohort(load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), path)
-    return spark.read.parquet(path).withColumn("written", F.lit(rows))
+    return spark.read.parquet(path).withColumn("written", F.lit(rows).cast("bigint"))
 
 
 METHODS = {"low": "l_quantity <= 25", "high": "l_quantity > 25"}

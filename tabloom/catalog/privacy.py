@@ -279,14 +279,14 @@ def thresh_otsu(spark, d):
     return K.threshold_otsu(values, "norm").withColumn("threshold", r(F.col("threshold")))
 
 
-# sevenths, so that no running value ends in a digit 5 where it is rounded
+# logarithms, so that no running value ends in a digit 5 where it is rounded
 @query("thresh_momentum", f"""
-WITH RECURSIVE x AS (SELECT user_id, event_id, value / 7 AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+WITH RECURSIVE x AS (SELECT user_id, event_id, ln(value + 1) AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
 t AS (SELECT user_id, event_id, i, 0.1::DOUBLE * value + 0.9::DOUBLE * 1.0 AS t FROM x WHERE i = 1
       UNION ALL SELECT x.user_id, x.event_id, x.i, 0.1::DOUBLE * x.value + 0.9::DOUBLE * t.t FROM t JOIN x ON x.user_id = t.user_id AND x.i = t.i + 1)
 SELECT user_id, event_id, {sql_r("t")} AS threshold FROM t""")
 def thresh_momentum(spark, d):
-    df = load(spark, d, "events").select("user_id", "event_id", (F.col("value") / 7).alias("value"))
+    df = load(spark, d, "events").select("user_id", "event_id", F.ln(F.col("value") + 1).alias("value"))
     out = linear_recurrence(df, ["user_id"], ["event_id"], "value", 0.9, 1.0, "threshold")
     return out.select("user_id", "event_id", r(F.col("threshold")).alias("threshold"))
 

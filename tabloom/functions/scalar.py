@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from functools import reduce
 
@@ -108,32 +109,50 @@ def _poly(x: Column, coefficients) -> Column:
     return reduce(lambda acc, k: acc * x + F.lit(k), rest, F.lit(first))
 
 
-def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function.
+def with_normal_cdf(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    """Append the standard normal distribution function of each input.
 
-    Pass a plain column (compute it with ``withColumn`` first): the argument
-    appears many times in the expression.
+    Steps are separate columns, so that each is computed once per row however
+    often the polynomials use it.
     """
-    a = F.abs(x)
-    e = F.exp(-a * a / 2)
-    near = e * _poly(a, PHI_NUMERATOR) / _poly(a, PHI_DENOMINATOR)
-    far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / SQRT_TWO_PI
-    tail = F.when(a > 37, F.lit(0.0)).when(a < PHI_SWITCH, near).otherwise(far)
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(x > 0, 1 - tail).otherwise(tail)
+    names = {f"_n{i}": (out, col(x)) for i, (out, x) in enumerate(outputs.items())}
+    df = df.withColumns({k: x.cast("double") for k, (_, x) in names.items()})
+    df = df.withColumns({f"{k}a": F.abs(F.col(k)) for k in names})
+    df = df.withColumns({f"{k}e": F.exp(-F.col(f"{k}a") * F.col(f"{k}a") / 2) for k in names})
+
+    def value(k: str) -> Column:
+        x, a, e = F.col(k), F.col(f"{k}a"), F.col(f"{k}e")
+        near = e * _poly(a, PHI_NUMERATOR) / _poly(a, PHI_DENOMINATOR)
+        far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / SQRT_TWO_PI
+        tail = F.when(a > 37, F.lit(0.0)).when(a < PHI_SWITCH, near).otherwise(far)
+        return F.when(x > 0, 1 - tail).when(x <= 0, tail)
+
+    df = df.withColumns({out: value(k) for k, (out, _) in names.items()})
+    return df.drop(*[f"{k}{s}" for k in names for s in ("", "a", "e")])
+
+
+def with_normal_ppf(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    """Append the inverse normal distribution function of each probability in (0, 1)."""
+    names = {f"_n{i}": (out, col(p)) for i, (out, p) in enumerate(outputs.items())}
+    df = df.withColumns({k: p.cast("double") for k, (_, p) in names.items()})
+    df = df.withColumns({f"{k}q": F.col(k) - 0.5 for k in names}
+                        | {f"{k}d": F.sqrt(-F.ln(F.least(F.col(k), 1 - F.col(k)))) for k in names})
+    df = df.withColumns({f"{k}c": 0.180625 - F.col(f"{k}q") * F.col(f"{k}q") for k in names}
+                        | {f"{k}m": F.col(f"{k}d") - 1.6 for k in names} | {f"{k}t": F.col(f"{k}d") - 5 for k in names})
 
-
-def normal_ppf(p: Column) -> Column:
-    """Inverse of :func:`normal_cdf` on (0, 1); pass a plain column here as well."""
     def ratio(x: Column, numerator, denominator) -> Column:
         return _poly(x, numerator[::-1]) / _poly(x, denominator[::-1])
 
-    q = p - 0.5
-    centre = q * ratio(0.180625 - q * q, PPF_CENTRE_NUMERATOR, PPF_CENTRE_DENOMINATOR)
-    depth = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    middle = ratio(depth - 1.6, PPF_MIDDLE_NUMERATOR, PPF_MIDDLE_DENOMINATOR)
-    tail = ratio(depth - 5, PPF_TAIL_NUMERATOR, PPF_TAIL_DENOMINATOR)
-    outer = F.when(depth <= 5, middle).otherwise(tail)
-    return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -outer).otherwise(outer)
+    def value(k: str) -> Column:
+        q = F.col(f"{k}q")
+        centre = q * ratio(F.col(f"{k}c"), PPF_CENTRE_NUMERATOR, PPF_CENTRE_DENOMINATOR)
+        middle = ratio(F.col(f"{k}m"), PPF_MIDDLE_NUMERATOR, PPF_MIDDLE_DENOMINATOR)
+        tail = ratio(F.col(f"{k}t"), PPF_TAIL_NUMERATOR, PPF_TAIL_DENOMINATOR)
+        size = F.when(F.col(f"{k}t") <= 0, middle).otherwise(tail)
+        return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * size)
+
+    df = df.withColumns({out: value(k) for k, (out, _) in names.items()})
+    return df.drop(*[f"{k}{s}" for k in names for s in ("", "q", "d", "c", "m", "t")])
 
 
 def let(value: Column, body) -> Column:
@@ -153,4 +172,11 @@ def lookup(c: Column, table: dict, default=None) -> Column:
 
 
 def literal_array(values, dtype: str) -> Column:
-    return F.array(*[F.lit(v).cast(dtype) for v in values])
+    """A constant array. One text literal is split or parsed when the query is
+    optimised, which plans far faster than one literal per element."""
+    values = list(values)
+    if dtype == "string":
+        return F.from_json(F.lit(json.dumps(values)), "array<string>")
+    if not values:
+        return F.array().cast(f"array<{dtype}>")
+    return F.split(F.lit(",".join(repr(v) for v in values)), ",").cast(f"array<{dtype}>")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.order import add_bucket, ordered_blocks, running_totals
-from tabloom.functions.scalar import clip, col, floor_mod_one, keyed_uniform, lookup, normal_ppf
+from tabloom.functions.scalar import clip, col, floor_mod_one, keyed_uniform, literal_array, lookup, with_normal_ppf
 from tabloom.functions.skew import hot_keys, skew_join
 from tabloom.operators.encoder import ColumnEncoder, append, register
 
@@ -72,7 +72,7 @@ def attach(df: DataFrame, column: str, cats: Categories, fields: list[str], name
     renamed = cats.table.select(F.col("value").alias("_value"), *[F.col(f).alias(n) for f, n in zip(fields, names)])
     if cats.small:
         return df.join(F.broadcast(renamed), key.eqNullSafe(F.col("_value")), "left").drop("_value")
-    hot = cats.table.orderBy(F.desc("n")).limit(CASE_LIMIT).collect()
+    hot = cats.table.orderBy(F.desc("n")).limit(CASE_LIMIT).collect() + cats.table.where("value is null").collect()
     frequent = [r["value"] for r in hot if r["value"] is not None]
     is_hot = key.isNull() | key.isin(frequent)
     by_case = df.where(is_hot).select("*", *[
@@ -121,8 +121,7 @@ class CategoricalEncoder(ColumnEncoder):
     def with_noise(self, df: DataFrame) -> DataFrame:
         if not self.keys:
             return df.withColumn("_noise", F.randn(self.seed))
-        drawn = df.withColumn("_u", keyed_uniform(self.keys, self.seed))
-        return drawn.withColumn("_noise", normal_ppf(F.col("_u"))).drop("_u")
+        return with_normal_ppf(df, {"_noise": keyed_uniform(self.keys, self.seed)})
 
     def encode(self, df, column, prefix):
         out = f"{prefix}__value"
@@ -145,7 +144,7 @@ class CategoricalEncoder(ColumnEncoder):
             else:
                 cuts = [r["start"] for r in rows[1:]]
             found = add_bucket(x, "_x", cuts, "_i")
-            values = F.array(*[F.lit(r["value"]).cast("string") for r in rows])
+            values = literal_array([r["value"] for r in rows], "string")
             return found.withColumn(column, F.get(values, F.col("_i")).cast(self.dtype)).drop("_x", "_i")
         return self._decode_by_join(x, column)
 
@@ -286,7 +285,7 @@ class LabelEncoder(ColumnEncoder):
     def decode(self, df, prefix, column):
         code = F.rint(clip(col(f"{prefix}__value").cast("double"), 0.0, float(self.cats.size - 1))).cast("bigint")
         if self.cats.small:
-            values = F.array(*[F.lit(r["value"]).cast("string") for r in self.cats.rows])
+            values = literal_array([r["value"] for r in self.cats.rows], "string")
             return append(df, F.get(values, code.cast("int")).cast(self.dtype), column)
         coded = df.withColumn("code", code)
         table = self.cats.table.select("code", F.col("value").alias("_value"))

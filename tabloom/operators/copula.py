@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.order import add_bucket
-from tabloom.functions.scalar import EPSILON, clip, col, literal_array, normal_cdf, normal_ppf
+from tabloom.functions.scalar import EPSILON, clip, col, literal_array, with_normal_cdf, with_normal_ppf
 from tabloom.operators.encoder import append, register
 from tabloom.operators.numeric import NumericEncoder
 
@@ -187,15 +187,19 @@ class CopulaEncoder(NumericEncoder):
         wanted = (np.arange(len(q)) + 0.5) / len(q)
         return float(np.abs(np.interp(q, *grid, left=0.0, right=1.0) - wanted).max())
 
-    def encode(self, df, column, prefix):
-        out = df.withColumn("_x", self.filled(col(column)))
+    def with_uniform(self, df: DataFrame, column: str, out: str) -> DataFrame:
+        """Append the marginal CDF of the filled column, kept off 0 and 1."""
+        made = df.withColumn("_x", self.filled(col(column)))
         if self.family == "gaussian":
-            out = out.withColumn("_x", (F.col("_x") - F.lit(self.parameters["mean"])) / F.lit(self.parameters["std"]))
-            out = out.withColumn("_u", normal_cdf(F.col("_x")))
+            z = (F.col("_x") - F.lit(self.parameters["mean"])) / F.lit(self.parameters["std"] or 1.0)
+            made = with_normal_cdf(made, {"_u": z})
         else:
-            out = interpolate(out, "_x", *self.grid, "_u")
-        out = out.withColumn("_u", clip(F.col("_u"), EPSILON, 1 - EPSILON))
-        out = append(out, normal_ppf(F.col("_u")), f"{prefix}__value").drop("_x", "_u")
+            made = interpolate(made, "_x", *self.grid, "_u")
+        return made.withColumn(out, clip(F.col("_u"), EPSILON, 1 - EPSILON)).drop("_x", "_u")
+
+    def encode(self, df, column, prefix):
+        out = self.with_uniform(df, column, f"{prefix}__value")
+        out = with_normal_ppf(out, {f"{prefix}__value": col(f"{prefix}__value")})
         return self.encode_flag(out, column, prefix)
 
     def decode(self, df, prefix, column):
@@ -203,7 +207,7 @@ class CopulaEncoder(NumericEncoder):
         if self.family == "gaussian":
             return append(df, self.restored(z * F.lit(self.parameters["std"]) + F.lit(self.parameters["mean"]), prefix), column)
         xs, us = self.grid
-        found = interpolate(df.withColumn("_u", normal_cdf(z)), "_u", us, xs, "_x")
+        found = interpolate(with_normal_cdf(df, {"_u": z}), "_u", us, xs, "_x")
         return append(found, self.restored(F.col("_x"), prefix), column).drop("_u", "_x")
 
 

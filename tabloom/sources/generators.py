@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.functions.scalar import keyed_uniform, literal_array, normal_ppf
+from tabloom.functions.scalar import keyed_uniform, literal_array, with_normal_ppf
 
 Draw = Callable[[int], Column]
 
@@ -76,8 +76,8 @@ _BASE: dict[str, tuple[str, Callable[[Column, Draw], Column], bool]] = {
     "numerical_random_integer": ("numerical", lambda i, u: _whole(u(0)), True),
     "constant_integer": ("numerical", lambda i, u: F.lit(CONSTANT).cast("bigint"), True),
     "almost_constant_integer": ("numerical", lambda i, u: _almost_constant(i), True),
-    "normal": ("numerical", lambda i, u: normal_ppf(u(0)), True),
-    "big_normal": ("numerical", lambda i, u: normal_ppf(u(0)) * BIG_SCALE, True),
+    "normal": ("numerical", lambda i, u: u(9), True),
+    "big_normal": ("numerical", lambda i, u: u(9) * BIG_SCALE, True),
 }
 
 GENERATORS: dict[str, Generator] = {}
@@ -96,12 +96,13 @@ def add_column(df: DataFrame, name: str, key: str, draw: Draw | None = None, nul
     """Append a generated column to a table with a non-negative integer key."""
     g = GENERATORS[name]
     u = draw or (lambda salt: keyed_uniform([key], seed + salt))
-    # draws become plain columns first: the normal inverse spells its argument out many times
     staged = df.withColumns({"_u0": u(0), "_u1": u(1)})
+    if name.startswith(("normal", "big_normal")):
+        staged = with_normal_ppf(staged, {"_u9": F.col("_u0")})  # draw 9 is the normal form of draw 0
     value = g.value(F.col(key), lambda salt: F.col(f"_u{salt}"))
     if g.nulls:
         value = F.when(F.col("_u1") >= null_share, value)
-    return staged.withColumn(out, value).drop("_u0", "_u1")
+    return staged.withColumn(out, value).drop("_u0", "_u1", "_u9")
 
 
 def generate(spark: SparkSession, name: str, rows: int, seed: int = 0, null_share: float = 0.3) -> DataFrame:

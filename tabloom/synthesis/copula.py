@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.pairwise import correlation
-from tabloom.functions.scalar import EPSILON, clip, col, keyed_uniform, normal_cdf, normal_ppf
+from tabloom.functions.scalar import EPSILON, clip, col, keyed_uniform, lookup, with_normal_cdf, with_normal_ppf
 from tabloom.operators.categorical import CategoricalEncoder
 from tabloom.operators.copula import CopulaEncoder
 from tabloom.operators.encoder import fit_all
@@ -50,24 +50,22 @@ class GaussianCopula:
             width = {r["value"]: 6 * r["std"] for r in e.cats.rows} if e.cats.small else None
             out = e.encode(out, c, c)
             if width and self.keys:
-                from tabloom.functions.scalar import lookup
                 inside = keyed_uniform(self.keys, self.seed + 1000 + i) - 0.5
                 out = out.withColumn(f"{c}__value", col(f"{c}__value") + inside * lookup(col(c).cast("string"), width))
             out = out.withColumn(f"{c}__value", clip(col(f"{c}__value"), EPSILON, 1 - EPSILON))
-            out = out.withColumn(f"{c}__value", normal_ppf(col(f"{c}__value")))
         for c in self.roles.continuous:
-            out = self.encoders[c].encode(out, c, c)
+            out = self.encoders[c].with_uniform(out, c, f"{c}__value")
+        out = with_normal_ppf(out, {f"{c}__value": f"{c}__value" for c in self.columns})
         return out.select(*[col(f"{c}__value").alias(c) for c in self.columns])
 
     def sample(self, spark, n: int, seed: int = 0, start: int = 0) -> DataFrame:
         """(id, columns): independent normals per id, mixed by the Cholesky factor in one select."""
         m = len(self.columns)
         out = spark.range(start, start + n).withColumns({f"_u{j}": keyed_uniform(["id"], seed * 101 + j) for j in range(m)})
-        out = out.select("id", *[normal_ppf(F.col(f"_u{j}")).alias(f"_g{j}") for j in range(m)])
+        out = with_normal_ppf(out, {f"_g{j}": f"_u{j}" for j in range(m)})
         mixed = [sum((F.lit(float(self.factor[i, j])) * F.col(f"_g{j}") for j in range(i + 1)), F.lit(0.0)) for i in range(m)]
         out = out.select("id", *[x.alias(f"{c}__value") for c, x in zip(self.columns, mixed)])
-        for c in self.roles.categorical:
-            out = out.withColumn(f"{c}__value", normal_cdf(col(f"{c}__value")))
+        out = with_normal_cdf(out, {f"{c}__value": f"{c}__value" for c in self.roles.categorical})
         for c, e in self.encoders.items():
             out = e.decode(out, c, c).drop(*e.output_columns(c))
         return out.select("id", *[col(c) for c in self.columns])
