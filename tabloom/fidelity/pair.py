@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.order import long_values, quantile_edges, running_totals
 from tabloom.functions.scalar import col
+from tabloom.session import checkpoint
 
 
 def tagged(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,7 +47,8 @@ def with_totals(counts: DataFrame, key: list[str]) -> DataFrame:
 
 def cumulative(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, cum_r, cum_s, next_value) per distinct value."""
-    counts = numeric_counts(real, synthetic, columns)
+    # written once: totals, offsets and running sums all read the distinct values, not the tables
+    counts = checkpoint(numeric_counts(real, synthetic, columns))
     return running_totals(counts, ["column"], "blk", [F.col("value")], ["r", "s"], next_of="value")
 
 

@@ -109,55 +109,53 @@ def _poly(x: Column, coefficients) -> Column:
     return reduce(lambda acc, k: acc * x + F.lit(k), rest, F.lit(first))
 
 
-def with_normal_cdf(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
-    """Append the standard normal distribution function of each input.
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once instead of spelled out at each use."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    Steps are separate columns, so that each is computed once per row however
-    often the polynomials use it.
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function.
+
+    Inputs are bound with ``let``, so the formula stays small however it is
+    nested, filtered on or moved by the optimiser.
     """
-    names = {f"_n{i}": (out, col(x)) for i, (out, x) in enumerate(outputs.items())}
-    df = df.withColumns({k: x.cast("double") for k, (_, x) in names.items()})
-    df = df.withColumns({f"{k}a": F.abs(F.col(k)) for k in names})
-    df = df.withColumns({f"{k}e": F.exp(-F.col(f"{k}a") * F.col(f"{k}a") / 2) for k in names})
+    def value(v: Column) -> Column:
+        def tail(a: Column) -> Column:
+            near = F.exp(-a * a / 2) * _poly(a, PHI_NUMERATOR) / _poly(a, PHI_DENOMINATOR)
+            far = F.exp(-a * a / 2) / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / SQRT_TWO_PI
+            return F.when(a > 37, F.lit(0.0)).when(a < PHI_SWITCH, near).otherwise(far)
 
-    def value(k: str) -> Column:
-        x, a, e = F.col(k), F.col(f"{k}a"), F.col(f"{k}e")
-        near = e * _poly(a, PHI_NUMERATOR) / _poly(a, PHI_DENOMINATOR)
-        far = e / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / SQRT_TWO_PI
-        tail = F.when(a > 37, F.lit(0.0)).when(a < PHI_SWITCH, near).otherwise(far)
-        return F.when(x > 0, 1 - tail).when(x <= 0, tail)
+        return let(let(F.abs(v), tail), lambda t: F.when(v > 0, 1 - t).when(v <= 0, t))
 
-    df = df.withColumns({out: value(k) for k, (out, _) in names.items()})
-    return df.drop(*[f"{k}{s}" for k in names for s in ("", "a", "e")])
+    return let(x.cast("double"), value)
 
 
-def with_normal_ppf(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
-    """Append the inverse normal distribution function of each probability in (0, 1)."""
-    names = {f"_n{i}": (out, col(p)) for i, (out, p) in enumerate(outputs.items())}
-    df = df.withColumns({k: p.cast("double") for k, (_, p) in names.items()})
-    df = df.withColumns({f"{k}q": F.col(k) - 0.5 for k in names}
-                        | {f"{k}d": F.sqrt(-F.ln(F.least(F.col(k), 1 - F.col(k)))) for k in names})
-    df = df.withColumns({f"{k}c": 0.180625 - F.col(f"{k}q") * F.col(f"{k}q") for k in names}
-                        | {f"{k}m": F.col(f"{k}d") - 1.6 for k in names} | {f"{k}t": F.col(f"{k}d") - 5 for k in names})
+def normal_ppf(p: Column) -> Column:
+    """Inverse of :func:`normal_cdf` on (0, 1)."""
+    def ratio(numerator, denominator):
+        return lambda x: _poly(x, numerator[::-1]) / _poly(x, denominator[::-1])
 
-    def ratio(x: Column, numerator, denominator) -> Column:
-        return _poly(x, numerator[::-1]) / _poly(x, denominator[::-1])
+    def value(v: Column) -> Column:
+        q = v - 0.5
+        centre = q * let(0.180625 - q * q, ratio(PPF_CENTRE_NUMERATOR, PPF_CENTRE_DENOMINATOR))
 
-    def value(k: str) -> Column:
-        q = F.col(f"{k}q")
-        centre = q * ratio(F.col(f"{k}c"), PPF_CENTRE_NUMERATOR, PPF_CENTRE_DENOMINATOR)
-        middle = ratio(F.col(f"{k}m"), PPF_MIDDLE_NUMERATOR, PPF_MIDDLE_DENOMINATOR)
-        tail = ratio(F.col(f"{k}t"), PPF_TAIL_NUMERATOR, PPF_TAIL_DENOMINATOR)
-        size = F.when(F.col(f"{k}t") <= 0, middle).otherwise(tail)
-        return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * size)
+        def outer(depth: Column) -> Column:
+            middle = let(depth - 1.6, ratio(PPF_MIDDLE_NUMERATOR, PPF_MIDDLE_DENOMINATOR))
+            tail = let(depth - 5, ratio(PPF_TAIL_NUMERATOR, PPF_TAIL_DENOMINATOR))
+            return F.signum(q) * F.when(depth <= 5, middle).otherwise(tail)
 
-    df = df.withColumns({out: value(k) for k, (out, _) in names.items()})
-    return df.drop(*[f"{k}{s}" for k in names for s in ("", "q", "d", "c", "m", "t")])
+        return F.when(F.abs(q) <= 0.425, centre).otherwise(let(F.sqrt(-F.ln(F.least(v, 1 - v))), outer))
 
+    return let(p.cast("double"), value)
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once instead of spelled out at each use."""
-    return F.get(F.transform(F.array(value), body), 0)
+
+def with_normal_cdf(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    return df.withColumns({out: normal_cdf(col(x)) for out, x in outputs.items()})
+
+
+def with_normal_ppf(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    return df.withColumns({out: normal_ppf(col(p)) for out, p in outputs.items()})
 
 
 def lookup(c: Column, table: dict, default=None) -> Column:

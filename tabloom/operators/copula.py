@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.order import add_bucket
-from tabloom.functions.scalar import EPSILON, clip, col, literal_array, with_normal_cdf, with_normal_ppf
+from tabloom.functions.scalar import EPSILON, clip, col, let, literal_array, with_normal_cdf, with_normal_ppf
 from tabloom.operators.encoder import append, register
 from tabloom.operators.numeric import NumericEncoder
 
@@ -130,9 +130,13 @@ def interpolate(df: DataFrame, value: str, xs: list[float], ys: list[float], out
     """Piecewise linear y(x), flat outside the grid."""
     found = add_bucket(df, value, xs[1:-1], "_g")
     ax, ay = literal_array(xs, "double"), literal_array(ys, "double")
-    x0, x1, y0, y1 = F.get(ax, F.col("_g")), F.get(ax, F.col("_g") + 1), F.get(ay, F.col("_g")), F.get(ay, F.col("_g") + 1)
-    y = y0 + (clip(col(value), xs[0], xs[-1]) - x0) / (x1 - x0) * (y1 - y0)
-    return found.withColumn(out, F.when(col(value).isNotNull(), y)).drop("_g")
+
+    def line(at: Column) -> Column:
+        x0, x1, y0, y1 = F.get(ax, at["g"]), F.get(ax, at["g"] + 1), F.get(ay, at["g"]), F.get(ay, at["g"] + 1)
+        return F.when(at["v"].isNotNull(), y0 + (at["v"] - x0) / (x1 - x0) * (y1 - y0))
+
+    place = F.struct(F.col("_g").alias("g"), clip(col(value), xs[0], xs[-1]).alias("v"))
+    return found.withColumn(out, let(place, line)).drop("_g")
 
 
 @register("gaussian_copula")
