@@ -3,7 +3,6 @@ where SQL can say the same, to the SQL that checks it."""
 
 from __future__ import annotations
 
-import os
 from importlib import import_module
 
 MODULES = (
@@ -16,8 +15,6 @@ def load_all():
     """Import every catalog module and return (queries, oracle_sql)."""
     from . import base
 
-    here = os.path.dirname(__file__)
     for name in MODULES:
-        if not os.path.exists(f"{here}/{name}.py"): continue
         import_module(f"{__name__}.{name}")
     return dict(base.QUERIES), dict(base.ORACLES)

@@ -84,7 +84,7 @@ def _narrow(base: DataFrame, rank: int, size) -> dict[int, float]:
         lo, hi = window.agg(F.percentile_approx(
             "v", [max(0.0, p - margin), min(1.0, p + margin)], SKETCH_ACCURACY).alias("q")).first()["q"]
         # the sketch works in doubles: widen by their rounding for wide integers
-        lo, hi = lo - _rounding(lo), hi + _rounding(hi)
+        lo, hi = _widen(lo, -1), _widen(hi, 1)
         below = base.where(F.col("v") < F.lit(lo)).count()
         window = base.where((F.col("v") >= F.lit(lo)) & (F.col("v") <= F.lit(hi)))
         size, place = _size(window), rank - below
@@ -93,8 +93,10 @@ def _narrow(base: DataFrame, rank: int, size) -> dict[int, float]:
     return _pick(window, {rank: place})
 
 
-def _rounding(v):
-    return (abs(v) >> 50) + 1 if isinstance(v, int) else 0.0
+def _widen(v, sign: int):
+    if not isinstance(v, int):
+        return v
+    return max(-2**63, min(2**63 - 1, v + sign * ((abs(v) >> 50) + 1)))
 
 
 def running_totals(counts: DataFrame, group: list[str], block: str, order: list[Column],

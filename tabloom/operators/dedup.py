@@ -16,6 +16,7 @@ from tabloom.functions.scalar import col
 
 HEAD_LIMIT = 1000  # largest n that Spark limits before the shuffle (its default threshold)
 HEAD_SALTS = 64
+TRIM_LIMIT = 100_000
 
 
 def _ordering(order: list[str | Column]) -> list[Column]:
@@ -25,7 +26,7 @@ def _ordering(order: list[str | Column]) -> list[Column]:
 def group_head(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
     """First ``n`` rows of every group in the given order."""
     by = _ordering(order)
-    if n > HEAD_LIMIT:  # too many for the per-task limit: halve hot groups by salt first
+    if n > HEAD_LIMIT:  # too many for the per-task limit: thin hot groups by salt first
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(HEAD_SALTS)))
         part = Window.partitionBy(*[col(k) for k in keys], "_salt").orderBy(*by)
         df = salted.withColumn("_rn", F.row_number().over(part)).where(F.col("_rn") <= n).drop("_rn", "_salt")
@@ -81,7 +82,16 @@ def append_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def trim_to(df: DataFrame, n: int, order: list[str | Column]) -> DataFrame:
-    """Exactly the first ``n`` rows in order."""
+    """Exactly the first ``n`` rows in order.
+
+    A large n along one unique numeric column becomes a filter up to the n-th
+    value (an exact order statistic), so the rows are not gathered in one task.
+    """
+    if n > TRIM_LIMIT and len(order) == 1 and isinstance(order[0], str):
+        if df.limit(n).count() < n:
+            return df
+        border = exact_order_statistics(df, order[0], [n])[n]
+        return df.where(col(order[0]) <= F.lit(border))
     return df.orderBy(*_ordering(order)).limit(n)
 
 

@@ -159,3 +159,17 @@ def test_gower_against_all_pairs(spark):
     want += (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :]).mean()
     got = gower_mean(spark.createDataFrame(a), spark.createDataFrame(b), ["x", "y"], ["c"]).first()["gower"]
     assert got == pytest.approx(want / 3, abs=1e-12)
+
+
+def test_trim_by_border(hot, monkeypatch):
+    want = pairs(dedup.trim_to(hot, 123, ["v"]), "v")
+    monkeypatch.setattr(dedup, "TRIM_LIMIT", 10)
+    assert pairs(dedup.trim_to(hot, 123, ["v"]), "v") == want
+    assert dedup.trim_to(hot, 10**6, ["v"]).count() == 6000
+
+
+def test_order_statistics_of_wide_integers(spark, monkeypatch):
+    df = spark.range(3000).select(F.xxhash64("id").alias("x"))
+    ordered = sorted(r["x"] for r in df.collect())
+    monkeypatch.setattr(order, "COLLECT_BOUND", 50)
+    assert order.exact_order_statistics(df, "x", [1, 1500, 3000]) == {k: ordered[k - 1] for k in (1, 1500, 3000)}
