@@ -94,7 +94,10 @@ def test_training_improves_and_stops(spark, lines):
 def test_private_training_reports_epsilon(lines):
     e = FlatEncoder(ROLES, keep=("row_key",)).fit(lines)
     shape = N.Shape(e.widths, 2, latent=2, hidden=4, decoder_hidden=4)
-    model = T.fit(e.encode_vector(lines), shape, epochs=1, q=0.5, clip=1.0, target_epsilon=4.0, target_delta=1e-5)
+    seen = []
+    model = T.fit(e.encode_vector(lines), shape, epochs=1, q=0.5, clip=1.0, target_epsilon=4.0, target_delta=1e-5,
+                  observer=seen.append)
+    assert len(seen) == 2 and all(s["gradient_norm"] <= s["rows"] for s in seen)
     assert 0 < model.epsilon <= 4.0
 
 
