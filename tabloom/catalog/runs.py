@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.operators.copula import CopulaEncoder  # noqa: F401  (registers the encoder)
 from tabloom.runs import stats, summary, trials
 
 from .base import given_u, load, query, r, sql_r, sql_u

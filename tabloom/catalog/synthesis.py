@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.row import metric_row
-from tabloom.operators.shape import block_order  # noqa: F401
 from tabloom.plans.flat import FlatEncoder
 from tabloom.roles import ColumnRoles
 from tabloom.runs.summary import multi_run as run_seeds

@@ -12,9 +12,9 @@ from tabloom.functions.scalar import col
 
 
 def long_form(df: DataFrame, ids: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
-    return df.unpivot([col(i) for i in ids], [col(c).cast("double").alias(c) for c in columns], name, value) \
-        if not columns else df.select(*[col(i) for i in ids], F.explode(F.array(*[
-            F.struct(F.lit(c).alias(name), col(c).cast("double").alias(value)) for c in columns])).alias("_x")).select(*ids, "_x.*")
+    """(ids, name, value), one row per column."""
+    numbers = df.select(*[col(i) for i in ids], *[col(c).cast("double").alias(c) for c in columns])
+    return numbers.unpivot([col(i) for i in ids], [col(c) for c in columns], name, value)
 
 
 def metric_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
