@@ -10,6 +10,7 @@ result, only how often the merging is needed.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.arrow import append, gather, local_path, publish
+from tabloom.session import checkpoint
 
-LEXICON = 131_072  # words in the automaton: the bound of what the driver holds
+LEXICON = 200_000  # words in the automaton: the bound of what the driver holds
 CACHED = 400_000  # words whose ids a task remembers
 LONG = 40  # symbols from which a word is merged with a heap
 
@@ -62,50 +64,48 @@ class Vocabulary:
         self.bytes_of = {i: bytes(shown[c] for c in s) for s, i in vocab.items() if s not in self.special}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.symbol = [vocab[c] for c in byte_characters()]
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        self.rank: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # the token that each rank's merge gives
+        for pair in spec["model"]["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.rank.setdefault((vocab[a], vocab[b]), len(self.made))
+            self.made.append(vocab[a + b])
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """The exact merges of one word: always the lowest rank, the leftmost of equals."""
         ids = [self.symbol[b] for b in word]
         if len(ids) > LONG:
             return self._merge_long(ids)
-        get = self.merges.get
-        found = [get(p) for p in zip(ids, ids[1:])]
-        while True:
-            best = None
-            for i, m in enumerate(found):
-                if m is not None and (best is None or m[0] < found[best][0]):
-                    best = i
-            if best is None:
-                return tuple(ids)
-            ids[best:best + 2] = [found[best][1]]
-            del found[best]
-            if best:
-                found[best - 1] = get((ids[best - 1], ids[best]))
-            if best < len(found):
-                found[best] = get((ids[best], ids[best + 1]))
+        never, get, made = len(self.made), self.rank.get, self.made
+        ranks = [get(p, never) for p in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < never:
+            i = ranks.index(least)
+            ids[i:i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)
+        return tuple(ids)
 
     def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
-        n, get = len(ids), self.merges.get
+        n, get, made = len(ids), self.rank.get, self.made
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, made, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j] = made, False
+            ids[i], alive[j] = made[m], False
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
                 right = after[left] if left >= 0 else n
-                if left >= 0 and right < n and (m := get((ids[left], ids[right]))):
-                    heapq.heappush(heap, (m[0], left, m[1], ids[left], ids[right]))
+                if left >= 0 and right < n and (m := get((ids[left], ids[right]))) is not None:
+                    heapq.heappush(heap, (m, left, ids[left], ids[right]))
         return tuple(x for x, ok in zip(ids, alive) if ok)
 
 
@@ -216,6 +216,7 @@ class Encoder:
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") \
             if vocabulary.special else None
         self.known: dict[str, tuple[int, ...]] = {}
+        gc.set_threshold(1_000_000)  # tuples of ids are no garbage, and walking them takes a fifth of the time
 
     def words(self, text: str) -> list[str]:
         if self.cuts is None or not any(s in text for s in self.vocabulary.special):
@@ -230,19 +231,22 @@ class Encoder:
         if not self.known:
             self.known |= {s: (i,) for s, i in self.vocabulary.special.items()}
         known = self.known
-        new = list(set(chain.from_iterable(split)) - known.keys())
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [k for k, ids in enumerate(found) if None in ids]
+        new = list({w for k in gaps for w, ids in zip(split[k], found[k]) if ids is None})
         raw = [w.encode() for w in new]
         for word, own, ids in zip(new, raw, self.transducer.find(raw)):
             known[word] = self.vocabulary.merge(own) if ids is None else ids
-        look = known.__getitem__
-        return [list(chain.from_iterable(map(look, words))) for words in split]
+        for k in gaps:
+            found[k] = [known[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
+        return [list(chain.from_iterable(ids)) for ids in found]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def widespread_words(df: DataFrame, text: str, limit: int = LEXICON) -> list[str]:
-    """The pre-tokens found in most blocks of rows, over all rows; ties by the word itself."""
+    """The pre-tokens found in most blocks of rows, over all rows: at most ``limit``, and no count in part."""
     def make():
         split, count = splitter(), {}
 
@@ -260,9 +264,18 @@ def widespread_words(df: DataFrame, text: str, limit: int = LEXICON) -> list[str
         return add, flush
 
     parts = gather(df, [text], [("word", T.StringType()), ("blocks", T.LongType())], make)
-    top = (parts.groupBy("word").agg(F.sum("blocks").alias("blocks"))
-           .orderBy(F.desc("blocks"), "word").limit(limit))
-    return [r["word"] for r in top.select("word").collect()]
+    counted = checkpoint(parts.groupBy("word").agg(F.sum("blocks").alias("blocks")))
+    # a histogram finds the count that leaves at most ``limit`` words, so no task sends more than its share of them
+    step = F.floor(F.log2("blocks") * 32)
+    left, least = limit, None
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 32 rows a doubling
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return sorted(r["word"] for r in counted.filter(step >= least).select("word").collect())
 
 
 class BpeCodec:
