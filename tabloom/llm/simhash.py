@@ -29,6 +29,7 @@ from tabloom.llm.components import components
 from tabloom.session import checkpoint
 
 WORDS, SEED, RADIUS = 3, 42, 3
+TASKS = 48  # that make the variants, at least
 THIRDS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -87,13 +88,12 @@ def ball(df: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(u, v) links that join exactly the fingerprints (column fp, distinct) reachable by steps of three bits or fewer."""
-    variants = thirds_variants(prints)
-    met = checkpoint(variants.groupBy("variant").agg(
-        F.count("*").alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v")).filter("n > 1"))
-    pairs = met.filter("n = 2").select("u", "v").distinct().filter(
+    same = Window.partitionBy("variant")  # of the fingerprints within one bit of a point, one third left out
+    met = thirds_variants(prints).withColumns({"n": F.count("*").over(same), "v": F.min("fp").over(same)})
+    met = checkpoint(met.filter("n > 1").select(F.col("fp").alias("u"), "v", "n"))
+    pairs = met.filter("n = 2 and u != v").select("u", "v").distinct().filter(
         F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
-    crowded = met.filter("n > 2").select("variant")
-    members = variants.join(crowded, "variant", "left_semi").select("fp").distinct()
+    members = met.filter("n > 2").select(F.col("u").alias("fp")).distinct()
     near = Window.partitionBy("variant")  # 2,081 fingerprints at most lie within two bits of a point
     stars = ball(members).withColumn("v", F.min(F.when(F.col("flips") <= 1, F.col("fp"))).over(near))
     stars = stars.filter("v is not null and v != fp").select(F.col("fp").alias("u"), "v").distinct()
@@ -111,7 +111,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     prints = checkpoint(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")),
                                      "__text", "fp").select("doc_id", "fp"))
     distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    spread = distinct.select("fp").repartition(max(TASKS, distinct.rdd.getNumPartitions()), "fp")  # few rows now, 131 times as many next
+    found = components(links(spread)).withColumnRenamed("node", "fp")
     named = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = checkpoint(named)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
