@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.llm.arrow import append
+from tabloom.session import checkpoint
 
 SHARE = 0.1  # of a host's votes that a path needs to be read
+SENT = 8 << 20  # bytes of all hosts' paths up to which they are broadcast
+SALTS = 32
 PATHS = 5  # paths of a host at most, which bounds a row of the smaller side
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"
@@ -210,13 +213,20 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str
 
     A null or empty html gives an empty text; a null url, or one without a
     host, votes with the others of its kind. Repeated rows vote as often as
-    they occur. The rows meet their host's few paths in a join whose smaller
-    side has one row a host; Spark sends it around if its size allows, and
-    otherwise splits the rows of a large host.
+    they occur. The hosts' paths are sent to all tasks if their size, which is
+    summed up first, is small; otherwise each host's row is repeated for
+    ``SALTS`` parts of its pages, so that no host's pages meet in one task.
     """
-    winners = host_votes(pages, url, html).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"))
+    winners = checkpoint(host_votes(pages, url, html).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")))
+    size = winners.agg(F.sum(F.octet_length("__host") + F.octet_length(F.array_join("__paths", " ")) + 64).alias("n")).first()["n"]
     rows = pages.withColumn("__key", host_of(url))
-    met = rows.join(winners, F.col("__key") == F.col("__host"), "left").drop("__host", "__key")
+    if (size or 0) <= SENT:
+        met = rows.join(F.broadcast(winners), F.col("__key") == F.col("__host"), "left")
+    else:
+        salted = winners.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__own", F.pmod(F.xxhash64(url, F.substring(html, 1, 1000)), F.lit(SALTS)).cast("int"))
+        met = rows.join(salted, (F.col("__key") == F.col("__host")) & (F.col("__own") == F.col("__part")), "left")
+    met = met.drop("__host", "__key", "__own", "__part")
     made = append(met, [html, "__paths"], [(text, T.StringType())],
                   lambda: lambda rows, paths: [[extract(h, p or []) for h, p in zip(rows, paths)]])
     return made.drop("__paths")
