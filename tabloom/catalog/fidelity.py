@@ -69,10 +69,10 @@ FROM (SELECT sum(r) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / sum(r) OVER ()
 
 
 def encoded_counts_sql(c: str) -> str:
-    """Counts over the frequency-interval midpoints learnt on the real table."""
+    """Counts over the frequency-interval midpoints learnt on the real table; values that it lacks lie past them."""
     i = f"""(SELECT {c} AS value, (2 * sum(count(*)) OVER (ORDER BY count(*) DESC, {c} ROWS UNBOUNDED PRECEDING) - count(*))::DOUBLE
       / (2 * sum(count(*)) OVER ()) AS mid FROM {REAL} GROUP BY {c})"""
-    return f"(SELECT mid AS v, r, s FROM {counts_sql(c)} k JOIN {i} i ON k.v = i.value)"
+    return f"(SELECT coalesce(mid, 2) AS v, sum(r) AS r, sum(s) AS s FROM {counts_sql(c)} k LEFT JOIN {i} i ON k.v = i.value GROUP BY 1)"
 
 
 def rounded_ks(out):

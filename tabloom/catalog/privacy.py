@@ -14,7 +14,7 @@ from tabloom.privacy import sampling as S
 from .base import given_u, load, query, r, sql_r, sql_u
 
 DELTA = 1e-5
-ORDERS = list(range(2, 33))
+ORDERS = [*range(2, 64), 128, 256]
 FRACTIONS = [1.5, 2.7, 8.3]
 
 # every customer is a dataset; each order status it has is one mechanism of its ledger
@@ -42,7 +42,7 @@ def integer_sql(source: str, keys: str, orders=ORDERS) -> str:
     return f"""(SELECT {keys}, alpha::DOUBLE AS alpha, (any_value(m) + ln(sum(exp(t - m)))) / (alpha - 1) AS rdp_step
 FROM (SELECT *, max(t) OVER (PARTITION BY {keys}, alpha) AS m FROM (
   SELECT {keys}, alpha, {LGAMMA} + i * ln(q) + (alpha - i) * ln(1 - q) + (i * i - i) / (2 * sigma * sigma) AS t
-  FROM {source}, (SELECT unnest(range({orders[0]}, {orders[-1] + 1})) AS alpha), (SELECT unnest(range(0, {orders[-1] + 1})) AS i)
+  FROM {source}, (SELECT unnest({list(orders)}) AS alpha), (SELECT unnest(range(0, {orders[-1] + 1})) AS i)
   WHERE i <= alpha)) GROUP BY {keys}, alpha)"""
 
 
@@ -56,7 +56,7 @@ Q9, S9 = f"{sql_r('q', 9)} AS q", f"{sql_r('sigma', 9)} AS sigma"
 @query("rdp_integer", f"SELECT {Q9}, {S9}, alpha, {sql_r('rdp_step')} AS rdp FROM {integer_sql(SETTINGS, 'q, sigma')}")
 def rdp_integer(spark, d):
     rows = A.with_orders(settings(spark, d), ORDERS)
-    return shown(rows.withColumn("rdp", A.rdp_integer(F.col("q"), F.col("sigma"), F.col("alpha"))), "q", "sigma")
+    return shown(rows.withColumn("rdp", A.rdp_integer(F.col("q"), F.col("sigma"), F.col("alpha"), max(ORDERS))), "q", "sigma")
 
 
 FRACTIONAL_SQL = f"""(SELECT q, sigma, alpha, ln(1 + sum(h / (sigma * sqrt(2 * pi())) * exp(-z * z / (2 * sigma * sigma))
@@ -128,7 +128,7 @@ def dp_report(spark, d):
     return out.withColumns({"q": r(F.col("q"), 9), "sigma": r(F.col("sigma"), 9), "epsilon": r(F.col("epsilon"))})
 
 
-TARGETS = """(SELECT DISTINCT 2 + o_custkey % 3 * 1.5::DOUBLE AS target, 1 / (20 + o_custkey % 2 * 30)::DOUBLE AS q, 2 AS epochs FROM orders)"""
+TARGETS = """(SELECT DISTINCT CASE WHEN o_custkey % 11 = 0 THEN 0.000001::DOUBLE ELSE 2 + o_custkey % 3 * 1.5::DOUBLE END AS target, 1 / (20 + o_custkey % 2 * 30)::DOUBLE AS q, 2 AS epochs FROM orders)"""
 
 
 def noise_sql() -> str:
@@ -146,14 +146,16 @@ def noise_sql() -> str:
  SELECT *, unnest(range(1, ceil((high - low) / w)::INTEGER + 1)) AS j FROM (
   SELECT {key}, sigma AS high, CASE WHEN sigma = 0.5 THEN 0 ELSE sigma / 2 END AS low, greatest(0.01::DOUBLE, sigma / 2000) AS w
   FROM top)))"""
-    return f"WITH top AS MATERIALIZED {feasible(coarse)} SELECT target, {Q9}, epochs, steps, {sql_r('sigma')} AS sigma FROM {feasible(fine)}"
+    return f"""WITH top AS MATERIALIZED {feasible(coarse)}
+SELECT target, {Q9}, epochs, steps, {sql_r('sigma')} AS sigma, sigma IS NOT NULL AS feasible
+FROM {runs} LEFT JOIN {feasible(fine)} USING ({key})"""
 
 
 @query("noise_for_eps", noise_sql())
 def noise_for_eps(spark, d):
     k = F.col("o_custkey")
     wanted = load(spark, d, "orders").select(
-        (2 + F.pmod(k, F.lit(3)) * 1.5).alias("target"),
+        F.when(F.pmod(k, F.lit(11)) == 0, 0.000001).otherwise(2 + F.pmod(k, F.lit(3)) * 1.5).alias("target"),
         (1 / (20 + F.pmod(k, F.lit(2)) * 30).cast("double")).alias("q"), F.lit(2).alias("epochs")).distinct()
     out = A.noise_for_epsilon(wanted, DELTA)
     return out.withColumns({"q": r(F.col("q"), 9), "sigma": r(F.col("sigma"))})

@@ -25,11 +25,12 @@ FOLDS = 3
 def _scaled(train: DataFrame, others: list[DataFrame], columns: list[str], keep: list[str] = ()) -> list[DataFrame]:
     """Standardise by the training side and assemble one feature vector per row."""
     encoders = fit_all(train, {c: StandardEncoder() for c in columns})
-    assembler = VectorAssembler(inputCols=[f"{c}__value" for c in columns], outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=[f"{c}__value" for c in columns], outputCol="features", handleInvalid="error")
     out = []
     for df in [train, *others]:
         for c, e in encoders.items():
             df = e.encode(df, c, c)
+        df = df.na.fill(0.0, [f"{c}__value" for c in columns])  # a missing number counts as the mean; no row is left out
         out.append(assembler.transform(df).select(*[col(k) for k in keep], "features"))
     return out
 
@@ -76,7 +77,7 @@ def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, columns: list[
 def detection(real: DataFrame, synthetic: DataFrame, columns: list[str], iterations: int = 10) -> DataFrame:
     """Score 1 - (2 max(AUC, 1/2) - 1) of a classifier that tells the tables apart, per fold."""
     a, b = numeric_view(real, synthetic, columns)
-    both = a.withColumn("label", F.lit(1.0)).unionByName(b.withColumn("label", F.lit(0.0))).na.drop()
+    both = a.withColumn("label", F.lit(1.0)).unionByName(b.withColumn("label", F.lit(0.0)))
     folded = both.withColumn("fold", F.pmod(F.xxhash64(*[col(c) for c in columns]), F.lit(FOLDS)))
     scaled = _scaled(folded, [], columns, ["label", "fold"])[0].persist()
     rows = []

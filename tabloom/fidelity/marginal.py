@@ -12,6 +12,7 @@ from tabloom.functions.scalar import col
 from tabloom.operators.table import TableEncoder
 
 HISTOGRAM_BINS = 10
+UNSEEN = 2.0  # beyond the last interval of a category column, which ends at 1
 
 
 def chi_square(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -62,13 +63,15 @@ def ks(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_view(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both tables as numbers under encoders fitted on the real one.
 
-    A synthetic category that the real table lacks has no number and becomes null.
+    A synthetic category that the real table lacks gets a number past all others.
     """
     encoder = TableEncoder().fit(real.select(*[col(c) for c in columns]))
 
     def apply(df):
-        out = encoder.transform(df.select(*[col(c) for c in columns]))
-        return out.withColumnsRenamed({f"{c}__value": c for c in columns}).select(*[col(c) for c in columns])
+        given = [col(c).isNotNull().alias(f"_given_{i}") for i, c in enumerate(columns)]
+        out = encoder.transform(df.select(*[col(c) for c in columns], *given))
+        return out.select(*[F.when(F.col(f"_given_{i}"), F.coalesce(col(f"{c}__value"), F.lit(UNSEEN))).alias(c)
+                            for i, c in enumerate(columns)])
     return apply(real), apply(synthetic)
 
 

@@ -23,9 +23,9 @@ def kl_continuous(real: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     both = tagged(real, synthetic, columns)
     bins = []
     for i, c in enumerate(columns):
-        lo, span = limits[f"lo{i}"], (limits[f"hi{i}"] - limits[f"lo{i}"])
+        lo, span = limits[f"lo{i}"] or 0.0, (limits[f"hi{i}"] or 0.0) - (limits[f"lo{i}"] or 0.0)
         place = F.floor((col(c).cast("double") - lo) / span * CELLS_PER_SIDE) if span > 0 else F.when(col(c).isNotNull(), F.lit(0))
-        bins.append(clip(place.cast("int"), 0, CELLS_PER_SIDE - 1).alias(f"b{i}"))
+        bins.append(clip(place, 0, CELLS_PER_SIDE - 1).cast("int").alias(f"b{i}"))
     placed = both.select("r", "s", *bins)
     index = {c: i for i, c in enumerate(columns)}
     items = F.array(*[

@@ -8,6 +8,7 @@ block its offset, and only the inside of a block is sorted.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -118,7 +119,10 @@ def running_totals(counts: DataFrame, group: list[str], block: str, order: list[
     inner = Window.partitionBy(*group, block).orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     following = [F.coalesce(F.lead(next_of).over(inner), F.col("_next_first")).alias("next_value")] if next_of else []
-    return counts.join(offsets, [*group, block]).select(
+    # null-safe, so that a null group keeps its rows
+    named = offsets.withColumnsRenamed({c: f"_g_{c}" for c in (*group, block)})
+    same = reduce(lambda a, b: a & b, [counts[c].eqNullSafe(named[f"_g_{c}"]) for c in (*group, block)])
+    return counts.join(named, same).select(
         *counts.columns,
         *[(F.sum(m).over(upto) + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures], *following)
 
@@ -191,5 +195,7 @@ def linear_recurrence(df: DataFrame, series: list[str], order: list[str], value:
     carried = last.select(*series, "blk", F.aggregate(
         F.collect_list(F.struct("end", "n")).over(chain), F.lit(float(start)),
         lambda acc, e: e["end"] + F.pow(d, e["n"]) * acc).alias("_in"))
-    done = scanned.join(carried, [*series, "blk"])
+    named = carried.withColumnsRenamed({c: f"_g_{c}" for c in (*series, "blk")})
+    same = reduce(lambda a, b: a & b, [scanned[c].eqNullSafe(named[f"_g_{c}"]) for c in (*series, "blk")])
+    done = scanned.join(named, same)
     return done.select(*keys, (F.col("_t") + F.pow(d, F.col("_k")) * F.col("_in")).alias(out))

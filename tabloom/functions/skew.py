@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .scalar import col
 
-MAX_SALTS = 256
-
 
 def hot_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> list[Row]:
     """Keys with more than a fair task's share of rows, and the salts each needs.
@@ -22,20 +20,20 @@ def hot_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> list[R
         return []
     counted = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     return (counted.where(F.col("_n") > F.lit(share))
-            .withColumn("_salts", F.least(F.lit(MAX_SALTS), F.ceil(F.col("_n") / F.lit(share))).cast("int"))
+            .withColumn("_salts", F.ceil(F.col("_n") / F.lit(share)).cast("int"))  # at most ``parts``
             .drop("_n").collect())
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: list[Row] | None = None) -> DataFrame:
-    """Inner equi-join whose hot keys on the left are spread over salts.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: list[Row] | None = None, how: str = "inner") -> DataFrame:
+    """Inner or left equi-join whose hot keys on the left are spread over salts.
 
     The right side's few rows of hot keys are copied once per salt. With no hot
-    key this is the plain join.
+    key, and on a stream, whose keys cannot be counted, this is the plain join.
     """
     if hot is None:
-        hot = hot_keys(left, on)
+        hot = [] if left.isStreaming else hot_keys(left, on)
     if not hot:
-        return left.join(right, on)
+        return left.join(right, on, how)
     spark = left.sparkSession
     table = F.broadcast(spark.createDataFrame(hot))
     salted = (left.join(table, on, "left")
@@ -46,4 +44,4 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: list[Row] |
               .withColumn("_salt", F.explode(F.sequence(
                   F.lit(0), F.coalesce(F.col("_salts").cast("int"), F.lit(1)) - 1)))
               .drop("_salts"))
-    return salted.join(copied, [*on, "_salt"]).drop("_salt")
+    return salted.join(copied, [*on, "_salt"], how).drop("_salt")

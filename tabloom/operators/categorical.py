@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.order import add_bucket, ordered_blocks, running_totals
 from tabloom.functions.scalar import clip, col, floor_mod_one, keyed_uniform, literal_array, lookup, with_normal_ppf
-from tabloom.functions.skew import hot_keys, skew_join
+from tabloom.functions.skew import skew_join
 from tabloom.operators.encoder import ColumnEncoder, append, register
 
 CASE_LIMIT = 32           # categories spelled out as CASE branches
@@ -164,12 +164,15 @@ class CategoricalEncoder(ColumnEncoder):
             low = F.when(F.col("start") > 0, F.col("start"))
             high = F.when(F.col("end") < 1, F.col("end"))
             inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))
-        cell = lambda v: clip(F.floor(v * CELLS), 0, CELLS - 1)
+        cells_in_all = max(CELLS, self.cats.size)  # so that a cell meets few intervals, however many there are
+        cell = lambda v: clip(F.floor(v * cells_in_all), 0, cells_in_all - 1)
         bounds = both.select(
             F.col("value").alias("_value"), F.coalesce(low, F.lit(-1.0)).alias("_lo"), F.coalesce(high, F.lit(2.0)).alias("_hi"))
         cells = bounds.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
-        rows = x.withColumn("_cell", cell(F.col("_x")))
-        joined = skew_join(rows, cells, ["_cell"], hot_keys(rows, ["_cell"])).where(inside)
+        # rows without a number match no cell; they are spread over negative ones and stay with a null
+        void = F.col("_x").isNull() | F.isnan("_x")
+        rows = x.withColumn("_cell", F.when(void, spread_below_zero(x)).otherwise(cell(F.col("_x"))))
+        joined = skew_join(rows, cells, ["_cell"], how="left").where(inside | void)
         return joined.withColumn(column, F.col("_value").cast(self.dtype)).drop("_x", "_cell", "_value", "_lo", "_hi")
 
 
@@ -235,6 +238,11 @@ class OneHotEncoder(ColumnEncoder):
         return append(df, F.get(F.array(*values), place - 1), column)
 
 
+def spread_below_zero(df: DataFrame) -> Column:
+    """A join key that no fitted code or cell has, spread by the row's content."""
+    return F.lit(-1).cast("bigint") - F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(9973))
+
+
 def unknown_categories(df: DataFrame, column: str, known: DataFrame, value: str = "value") -> DataFrame:
     """Distinct non-null values that the fitted categories do not hold, with counts."""
     found = df.where(col(column).isNotNull()).groupBy(col(column).alias(value)).agg(F.count(F.lit(1)).alias("n"))
@@ -287,7 +295,7 @@ class LabelEncoder(ColumnEncoder):
         if self.cats.small:
             values = literal_array([r["value"] for r in self.cats.rows], "string")
             return append(df, F.get(values, code.cast("int")).cast(self.dtype), column)
-        coded = df.withColumn("code", code)
+        coded = df.withColumn("code", F.coalesce(code, spread_below_zero(df)))  # a null code stays a null value
         table = self.cats.table.select("code", F.col("value").alias("_value"))
-        joined = skew_join(coded, table, ["code"])
+        joined = skew_join(coded, table, ["code"], how="left")
         return joined.withColumn(column, F.col("_value").cast(self.dtype)).drop("code", "_value")

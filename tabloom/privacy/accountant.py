@@ -74,10 +74,10 @@ def rdp_fractional(q: Column, sigma: Column, alpha: Column) -> Column:
     return log_a / (alpha - 1)
 
 
-def rdp_step(q: Column, sigma: Column, alpha: Column, fractional: bool = True) -> Column:
-    """RDP of one step with the special cases."""
+def rdp_step(q: Column, sigma: Column, alpha: Column, fractional: bool = True, top: int = 64) -> Column:
+    """RDP of one step with the special cases; ``top`` is the largest integer order that occurs."""
     inf = F.lit(math.inf)
-    general = rdp_integer(q, sigma, alpha)
+    general = rdp_integer(q, sigma, alpha, top)
     if fractional:
         general = F.when(alpha == F.floor(alpha), general).otherwise(rdp_fractional(q, sigma, alpha))
     return (F.when(q == 0, F.lit(0.0)).when(sigma == 0, inf).when(alpha == inf, inf)
@@ -94,6 +94,11 @@ def with_orders(df: DataFrame, orders: list[float]) -> DataFrame:
     return df.withColumn("alpha", F.explode(literal_array([float(a) for a in orders], "double")))
 
 
+def largest(orders: list[float]) -> int:
+    """The largest finite order, which sizes the table of factorials."""
+    return max([64, *(math.ceil(a) for a in orders if math.isfinite(a))])
+
+
 def rdp_curve(mechanisms: DataFrame, orders: list[float], fractional: bool = True) -> DataFrame:
     """Rows of ``mechanisms`` (q, sigma, steps, ...) times orders, with total rdp.
 
@@ -101,7 +106,7 @@ def rdp_curve(mechanisms: DataFrame, orders: list[float], fractional: bool = Tru
     """
     settings = mechanisms.select("q", "sigma").distinct()
     curves = with_orders(settings, orders).withColumn(
-        "rdp_step", rdp_step(F.col("q"), F.col("sigma"), F.col("alpha"), fractional))
+        "rdp_step", rdp_step(F.col("q"), F.col("sigma"), F.col("alpha"), fractional, largest(orders)))
     packed = curves.groupBy("q", "sigma").agg(F.collect_list(F.struct("alpha", "rdp_step")).alias("curve"))
     joined = lookup_join(mechanisms, packed, ["q", "sigma"])
     return joined.withColumn("c", F.explode("curve")).select(
@@ -122,8 +127,9 @@ def epsilon_at(rdp: Column, alpha: Column, delta: float) -> Column:
 
 
 def privacy_spent(curve: DataFrame, key: list[str], delta: float) -> DataFrame:
-    """(key, epsilon, best_alpha): the smallest epsilon over the orders, NaN ignored."""
-    eps = curve.withColumn("epsilon", epsilon_at(F.col("rdp"), F.col("alpha"), delta))
+    """(key, epsilon, best_alpha): the smallest epsilon over the orders, NaN ignored; a null RDP is an error."""
+    rdp = F.coalesce(F.col("rdp"), F.raise_error(F.lit("an order has no RDP")).cast("double"))
+    eps = curve.withColumn("epsilon", epsilon_at(rdp, F.col("alpha"), delta))
     return (eps.where(~F.isnan("epsilon")).groupBy(*key)
             .agg(F.min(F.struct("epsilon", "alpha")).alias("best"))
             .select(*key, F.col("best.epsilon").alias("epsilon"), F.col("best.alpha").alias("best_alpha")))
@@ -140,7 +146,7 @@ def report(settings: DataFrame, orders: list[float], delta: float, fractional: b
 def _feasible(grid: DataFrame, key: list[str], orders: list[int], delta: float) -> DataFrame:
     """Smallest sigma on each key's grid whose epsilon meets the target."""
     rows = with_orders(grid, [float(a) for a in orders])
-    eps = epsilon_at(F.col("steps") * rdp_step(F.col("q"), F.col("sigma"), F.col("alpha"), False), F.col("alpha"), delta)
+    eps = epsilon_at(F.col("steps") * rdp_step(F.col("q"), F.col("sigma"), F.col("alpha"), False, largest(orders)), F.col("alpha"), delta)
     each = rows.groupBy(*key, "sigma").agg(F.min(eps).alias("epsilon"))
     return each.where(F.col("epsilon") <= F.col("target")).groupBy(*key).agg(F.min("sigma").alias("sigma"))
 
@@ -149,7 +155,8 @@ def noise_for_epsilon(settings: DataFrame, delta: float, orders: list[int] = INT
     """Smallest noise multiplier meeting each (target, q, epochs), as two grid passes.
 
     A doubling grid finds the bracket, a fine grid inside it the answer; the
-    result is always feasible. No answer up to the cap gives no row.
+    result meets the target. Where no grid value does, the row stays with a null
+    sigma and ``feasible`` false.
     """
     key = ["target", "q", "epochs", "steps"]
     runs = settings.select("target", "q", "epochs").distinct().withColumn("steps", steps(F.col("epochs"), F.col("q")))
@@ -161,4 +168,5 @@ def noise_for_epsilon(settings: DataFrame, delta: float, orders: list[int] = INT
     fine = top.withColumns({"_low": low, "_w": width, "_n": points}).withColumn(
         "j", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     fine = fine.withColumn("sigma", F.least(F.col("high"), F.col("_low") + F.col("_w") * F.col("j"))).select(*key, "sigma")
-    return _feasible(fine, key, orders, delta)
+    found = _feasible(fine, key, orders, delta)
+    return runs.select(*key).join(found, key, "left").withColumn("feasible", F.col("sigma").isNotNull())

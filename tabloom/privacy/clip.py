@@ -137,11 +137,15 @@ def threshold_otsu(df: DataFrame, column: str) -> DataFrame:
 def clip_report(norms: DataFrame, thresholds: dict, quantiles=(0.25, 0.5, 0.75)) -> DataFrame:
     """(block, threshold, quantiles, mean factor, share clipped) of rows (block, norm)."""
     spark = norms.sparkSession
+    rows_of = {r["block"]: r["n"] for r in norms.where(col("norm").isNotNull()).groupBy("block").agg(
+        F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for block, c in thresholds.items():
         picks = exact_order_statistics(
             norms.where(F.col("block") == F.lit(block)), "norm", lambda n: [max(1, math.ceil(q * n)) for q in quantiles])
-        rows.append((block, float(c), *[float(v) for _, v in sorted(picks.items())]))
+        n = rows_of.get(block, 0)  # quantiles may share a rank, so each looks its own up
+        if n:
+            rows.append((block, float(c), *[float(picks[max(1, math.ceil(q * n))]) for q in quantiles]))
     names = [f"q{int(q * 100)}" for q in quantiles]
     table = spark.createDataFrame(rows, "block int, threshold double, " + ", ".join(f"{n} double" for n in names))
     joined = norms.join(F.broadcast(table), "block")
