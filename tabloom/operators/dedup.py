@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.order import exact_order_statistics
 from tabloom.functions.scalar import col
+from tabloom.session import checkpoint
 
 HEAD_LIMIT = 1000  # largest n that Spark limits before the shuffle (its default threshold)
 HEAD_SALTS = 64
@@ -47,7 +48,8 @@ def tiered_cap(df: DataFrame, subject: str, order: str, shares: list[float], cap
     more. The borders are exact order statistics of the first appearances, so
     no global ranking is made.
     """
-    first = df.groupBy(col(subject)).agg(F.min(col(order)).alias("_first"))
+    # written once, as the borders take several passes over it
+    first = checkpoint(df.groupBy(col(subject)).agg(F.min(col(order)).alias("_first")))
     borders: list[int] = []
 
     def ranks(subjects: int) -> list[int]:
