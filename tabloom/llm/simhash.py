@@ -121,11 +121,21 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df``, one of each component of near-duplicates: that with the smallest id, once if it is repeated."""
-    found = near_duplicates(df, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("root").agg(F.first("doc_id").alias("__id"), F.min("fp").alias("__fp"), F.count("*").alias("__n"))
-    rows = fingerprints(df, text, "__own")
-    kept = rows.join(stay, rows[doc_id].eqNullSafe(stay["__id"]) & (rows["__own"] == stay["__fp"]))
-    once = kept.filter("__n = 1")
-    more = kept.filter("__n > 1").dropDuplicates(["root"])
-    return once.select(*own(df)).union(more.select(*own(df)))
+    """The rows of ``df``, one of each component of near-duplicates: that with the smallest id, once if it is repeated.
+
+    An id that occurs once tells its row. Only rows whose id is repeated are
+    told by their fingerprints, which are then made anew for these rows alone.
+    """
+    found = checkpoint(near_duplicates(df, doc_id, text))
+    ids = checkpoint(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("component_id").alias("component_id")))
+    alone = ids.filter("n = 1").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    again = ids.filter("n > 1").select(F.col("doc_id").alias("__id"))
+    once = df.join(alone, df[doc_id].eqNullSafe(alone["__id"]), "left_semi")
+    if again.isEmpty():
+        return once.select(*own(df))
+    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).join(
+        again, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    firsts = firsts.groupBy("root").agg(F.first("doc_id").alias("__id"), F.min("fp").alias("__fp"))
+    rows = fingerprints(df.join(again, df[doc_id].eqNullSafe(again["__id"]), "left_semi"), text, "__own")
+    more = rows.join(firsts, rows[doc_id].eqNullSafe(firsts["__id"]) & (rows["__own"] == firsts["__fp"]))
+    return once.select(*own(df)).union(more.dropDuplicates(["root"]).select(*own(df)))
