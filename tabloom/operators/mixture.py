@@ -1,9 +1,10 @@
 """Variational Gaussian mixture encoder for continuous columns.
 
-Each column is first reduced to at most ``BINS`` weighted points (count, sum,
-sum of squares per equal-width bin) in one pass over the table; the iterative
+Each column is first reduced to weighted points (count, sum, sum of squares per
+bin of about equal numbers of rows) in one pass over the table; the iterative
 fit then works on those points, one column per group, columns in parallel. A
-group never holds more than ``BINS`` rows whatever the size of the table.
+group never holds more than ``BINS + 2 * RINGS`` rows whatever the size of the
+table, and every row is in one of them.
 """
 
 from __future__ import annotations
@@ -15,42 +16,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.order import add_bucket, quantile_edges
 from tabloom.functions.scalar import clip, col, keyed_uniform, let, literal_array
 from tabloom.operators.encoder import append, fit_all, register
 from tabloom.operators.categorical import OneHotEncoder
 from tabloom.operators.numeric import NumericEncoder
 
-BINS = 4_096
+BINS = 1_024
+RINGS = 64  # doublings beyond the outermost edges
+CORE = 0.01  # share of the rows at either end that the priors leave aside
 STD_MULTIPLIER = 4
 PROBABILITY_FLOOR = 1e-6
 NORMAL_BOUND = 0.99
 WEIGHT_PRIOR = 0.001
 TOLERANCE = 1e-3
-MAX_ROUNDS = 100
+MAX_ROUNDS = 1_000
 
+POINT_SCHEMA = "column string, centre double, bin int, ring int, n double, sx double, sxx double"
 FIT_SCHEMA = "column string, component int, weight double, mean double, std double, rounds int"
 
 
 def binned_points(df: DataFrame, filled: dict[str, Column]) -> DataFrame:
     """(column, bin, n, sx, sxx) of every column, two passes in all.
 
-    The sums are taken around the column mean so that they stay accurate.
+    Bins hold about equal numbers of rows, so that a far value takes none of
+    the others' resolution. Beyond the outermost edges they double in width,
+    which keeps far values apart from the rows near the edge. The sums are taken
+    around the median so that they stay accurate.
     """
     names = list(filled)
-    values = df.select(*[c.alias(f"_v{i}") for i, c in enumerate(filled.values())])
-    row = values.agg(*[a for i in range(len(names)) for a in (
-        F.min(f"_v{i}").alias(f"lo{i}"), F.max(f"_v{i}").alias(f"hi{i}"), F.avg(f"_v{i}").alias(f"m{i}"))]).first()
-    items = []
+    values = df.select(*[c.cast("double").alias(f"_v{i}") for i, c in enumerate(filled.values())])
+    edges = quantile_edges(values, values.columns, BINS)
+    items, placed = [], values
     for i, name in enumerate(names):
-        lo, hi, mean = row[f"lo{i}"], row[f"hi{i}"], row[f"m{i}"]
-        if lo is None:
+        cuts = edges[f"_v{i}"]
+        if not cuts:  # no value at all
             continue
-        width = (hi - lo) / BINS or 1.0
-        place = F.least(F.lit(BINS - 1), F.floor((F.col(f"_v{i}") - F.lit(lo)) / F.lit(width)).cast("int"))
-        items.append(F.struct(F.lit(name).alias("column"), place.alias("bin"), F.lit(mean).alias("centre"),
-                              (F.col(f"_v{i}") - F.lit(mean)).alias("x")))
-    x = values.select(F.explode(F.array(*items)).alias("p")).select("p.*").where(F.col("x").isNotNull())
-    return x.groupBy("column", "centre", "bin").agg(
+        placed = add_bucket(placed, f"_v{i}", cuts, f"_b{i}")
+        x, centre = F.col(f"_v{i}"), cuts[len(cuts) // 2]
+        step = (cuts[-1] - cuts[0]) / len(cuts) or abs(centre) or 1.0
+        out = F.greatest(F.lit(cuts[0]) - x, x - F.lit(cuts[-1]), F.lit(0.0))
+        ring = F.least(F.floor(F.log2(out / F.lit(step) + 1)), F.lit(RINGS)).cast("int")
+        items.append(F.struct(F.lit(name).alias("column"), F.col(f"_b{i}").alias("bin"), ring.alias("ring"),
+                              F.lit(centre).alias("centre"), (x - F.lit(centre)).alias("x")))
+    if not items:
+        return df.sparkSession.createDataFrame([], POINT_SCHEMA)
+    x = placed.select(F.explode(F.array(*items)).alias("p")).select("p.*").where(F.col("x").isNotNull())
+    return x.groupBy("column", "centre", "bin", "ring").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
 
 
@@ -65,15 +77,40 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return shift + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
+def core_moments(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray) -> tuple[float, float]:
+    """Mean and variance without the outermost ``CORE`` of the rows; of all rows if the rest does not vary."""
+    order = np.argsort(sx / n)
+    share = np.cumsum(n[order]) / n.sum()
+    for keep in (order[(share > CORE) & (share - n[order] / n.sum() < 1 - CORE)], order):
+        mean = sx[keep].sum() / n[keep].sum()
+        var = sxx[keep].sum() / n[keep].sum() - mean**2
+        if var > 1e-12 * max(1.0, mean**2):
+            return mean, var
+    return mean, 1e-12
+
+
+def _gap(a, b, beta, mean, shape, rate, mean0: float, var0: float) -> float:
+    """How far the fitted sticks and components are from their priors (the divergence that the bound subtracts)."""
+    lg = np.vectorize(math.lgamma)
+    sticks = (lg(a + b) - lg(a) - lg(b) - math.log(WEIGHT_PRIOR) + (a - 1) * _digamma(a)
+              + (b - WEIGHT_PRIOR) * _digamma(b) + (1 + WEIGHT_PRIOR - a - b) * _digamma(a + b))
+    means = 0.5 * (np.log(beta) + 1 / beta - 1 + shape / rate * (mean - mean0) ** 2)
+    rate0 = 0.5 * var0
+    spreads = ((shape - 0.5) * _digamma(shape) - lg(shape) + math.lgamma(0.5) + 0.5 * (np.log(rate) - math.log(rate0))
+               + shape * (rate0 - rate) / rate)
+    return float((sticks + means + spreads).sum())
+
+
 def fit_points(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, components: int) -> tuple:
     """Mean-field fit of a stick-breaking 1-D mixture to weighted points.
 
     Normal-Gamma components and Beta sticks (Bishop 2006, ch. 10; Blei and
-    Jordan 2006). Returns weights, means, standard deviations and rounds.
+    Jordan 2006). Ends when the bound on the evidence of all rows settles, so
+    that the prior has emptied superfluous components by then. Returns weights,
+    means, standard deviations and rounds.
     """
     total, x = n.sum(), sx / n
-    mean0 = sx.sum() / total
-    var0 = max(sxx.sum() / total - mean0**2, 1e-12)
+    mean0, var0 = core_moments(n, sx, sxx)
     order = np.argsort(x)
     share = np.cumsum(n[order]) / total
     starts = x[order][np.minimum(np.searchsorted(share, (np.arange(components) + 0.5) / components), len(x) - 1)]
@@ -102,7 +139,7 @@ def fit_points(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, components: int)
         top = logp.max(axis=1, keepdims=True)
         norm = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
         resp = np.exp(logp - norm[:, None])
-        score = float((n * norm).sum() / total)
+        score = float((n * norm).sum()) - _gap(a_stick, b_stick, beta, mean, shape, rate, mean0, var0)
         if abs(score - previous) < TOLERANCE:
             break
         previous = score
@@ -114,8 +151,8 @@ def fit_points(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, components: int)
 def _fit_group(components: int):
     def fit(key, points: pd.DataFrame) -> pd.DataFrame:
         centre = float(points["centre"].iloc[0])
-        points = points.sort_values("bin")
-        scale = math.sqrt(max(points.sxx.sum() / points.n.sum(), 1e-300)) or 1.0
+        points = points.sort_values(["bin", "ring"])
+        scale = math.sqrt(core_moments(*(points[c].to_numpy() for c in ("n", "sx", "sxx")))[1])
         n, sx, sxx = points.n.to_numpy(), points.sx.to_numpy() / scale, points.sxx.to_numpy() / scale**2
         weight, mean, std, rounds = fit_points(n, sx, sxx, components)
         return pd.DataFrame({
