@@ -30,7 +30,7 @@ PROBABILITY_FLOOR = 1e-6
 NORMAL_BOUND = 0.99
 WEIGHT_PRIOR = 0.001
 TOLERANCE = 1e-3
-MAX_ROUNDS = 1_000
+MAX_ROUNDS = 100  # of one ascent
 
 POINT_SCHEMA = "column string, centre double, bin int, ring int, n double, sx double, sxx double"
 FIT_SCHEMA = "column string, component int, weight double, mean double, std double, rounds int"
@@ -101,23 +101,12 @@ def _gap(a, b, beta, mean, shape, rate, mean0: float, var0: float) -> float:
     return float((sticks + means + spreads).sum())
 
 
-def fit_points(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, components: int) -> tuple:
-    """Mean-field fit of a stick-breaking 1-D mixture to weighted points.
-
-    Normal-Gamma components and Beta sticks (Bishop 2006, ch. 10; Blei and
-    Jordan 2006). Ends when the bound on the evidence of all rows settles, so
-    that the prior has emptied superfluous components by then. Returns weights,
-    means, standard deviations and rounds.
-    """
-    total, x = n.sum(), sx / n
-    mean0, var0 = core_moments(n, sx, sxx)
-    order = np.argsort(x)
-    share = np.cumsum(n[order]) / total
-    starts = x[order][np.minimum(np.searchsorted(share, (np.arange(components) + 0.5) / components), len(x) - 1)]
-    nearest = np.abs(x[:, None] - starts[None, :]).argmin(axis=1)
-    resp = np.eye(components)[nearest]
+def settle(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, resp: np.ndarray, mean0: float, var0: float) -> dict:
+    """Coordinate ascent from the given responsibilities until the bound on the evidence of all rows settles."""
+    x, second = sx / n, sxx / n
     previous, rounds = -math.inf, 0
     for rounds in range(1, MAX_ROUNDS + 1):
+        resp = resp[:, np.argsort(-(resp.T @ n), kind="stable")]  # the prior expects the largest first
         nk = resp.T @ n + 1e-10
         xk = (resp.T @ sx) / nk
         sk = np.maximum((resp.T @ sxx) / nk - xk**2, 0.0) + 1e-6 * var0
@@ -133,19 +122,51 @@ def fit_points(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, components: int)
         log_weight = log_stick + np.concatenate([[0.0], np.cumsum(log_rest)[:-1]])
         log_precision = _digamma(shape) - np.log(rate)
         # within-bin spread enters through the second moment of the bin
-        second = sxx / n
         quad = second[:, None] - 2 * x[:, None] * mean[None, :] + mean[None, :] ** 2
         logp = log_weight + 0.5 * (log_precision - 1 / beta - math.log(2 * math.pi)) - 0.5 * (shape / rate) * quad
         top = logp.max(axis=1, keepdims=True)
         norm = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
         resp = np.exp(logp - norm[:, None])
-        score = float((n * norm).sum()) - _gap(a_stick, b_stick, beta, mean, shape, rate, mean0, var0)
-        if abs(score - previous) < TOLERANCE:
+        bound = float((n * norm).sum()) - _gap(a_stick, b_stick, beta, mean, shape, rate, mean0, var0)
+        if abs(bound - previous) < TOLERANCE:
             break
-        previous = score
+        previous = bound
     stick = a_stick / (a_stick + b_stick)
     weight = stick * np.concatenate([[1.0], np.cumprod(1 - stick)[:-1]])
-    return weight / weight.sum(), mean, np.sqrt(rate / shape), rounds
+    return {"bound": bound, "resp": resp, "weight": weight / weight.sum(), "mean": mean, "std": np.sqrt(rate / shape),
+            "rounds": rounds}
+
+
+def fit_points(n: np.ndarray, sx: np.ndarray, sxx: np.ndarray, components: int) -> tuple:
+    """Mean-field fit of a stick-breaking 1-D mixture to weighted points.
+
+    Normal-Gamma components and Beta sticks (Bishop 2006, ch. 10; Blei and
+    Jordan 2006). Ascent alone is slow to empty superfluous components, so
+    neighbours in the order of their means are merged as long as that raises the
+    bound. Returns weights, means, standard deviations and rounds.
+    """
+    total, x = n.sum(), sx / n
+    mean0, var0 = core_moments(n, sx, sxx)
+    order = np.argsort(x)
+    share = np.cumsum(n[order]) / total
+    starts = x[order][np.minimum(np.searchsorted(share, (np.arange(components) + 0.5) / components), len(x) - 1)]
+    best = settle(n, sx, sxx, np.eye(components)[np.abs(x[:, None] - starts[None, :]).argmin(axis=1)], mean0, var0)
+    rounds, merged = best["rounds"], True
+    while merged:
+        merged = False
+        live = [k for k in np.argsort(best["mean"]) if best["weight"][k] * total > 1e-3]
+        gaps = [abs(best["mean"][a] - best["mean"][b]) / (best["std"][a] + best["std"][b]) for a, b in zip(live, live[1:])]
+        for i in np.argsort(gaps, kind="stable"):  # the most alike first
+            a, b = live[i], live[i + 1]
+            resp = best["resp"].copy()
+            resp[:, a] += resp[:, b]
+            resp[:, b] = 0.0
+            tried = settle(n, sx, sxx, resp, mean0, var0)
+            rounds += tried["rounds"]
+            if tried["bound"] > best["bound"]:
+                best, merged = tried, True
+                break
+    return best["weight"], best["mean"], best["std"], rounds
 
 
 def _fit_group(components: int):

@@ -12,7 +12,7 @@ from tabloom.operators import numeric as N
 from tabloom.operators.categorical import CategoricalEncoder, LabelEncoder, OneHotEncoder
 from tabloom.operators.copula import CopulaEncoder, candidates
 from tabloom.operators.encoder import NotFittedError, field_prefix, make
-from tabloom.operators.mixture import fit_mixtures, fit_points
+from tabloom.operators.mixture import binned_points, fit_mixtures, fit_points
 from tabloom.operators.table import TableEncoder, dotted_names, infer_types
 from tabloom.roles import ColumnRoles
 
@@ -180,6 +180,20 @@ def test_mixture_finds_modes_and_prunes(spark):
     assert np.allclose(sorted(r["mean"] for r in rows), sorted(r["mean"] for r in again), atol=1e-6)
 
 
+def test_one_far_value_leaves_the_modes_alone(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, 6000), rng.normal(10, 1, 4000)])
+    found = []
+    for values in (x, np.append(x, 999_999.0)):
+        df = spark.createDataFrame(pd.DataFrame({"x": values}))
+        assert binned_points(df, {"x": F.col("x")}).agg(F.sum("n")).first()[0] == len(values)
+        rows = fit_mixtures(df, {"x": F.col("x")}).collect()
+        found.append(sorted((r["mean"], r["std"], r["weight"]) for r in rows if r["weight"] > 0.005))
+    assert len(found[0]) == len(found[1]) == 2
+    assert np.allclose(found[0], found[1], atol=0.02)
+    assert np.allclose(found[0], [(0, 1, 0.6), (10, 1, 0.4)], atol=0.05)
+
+
 def test_mixture_on_a_constant():
     weight, mean, std, _ = fit_points(np.array([10.0]), np.array([0.0]), np.array([0.0]), 4)
     assert np.isfinite(weight).all() and np.isfinite(std).all()
