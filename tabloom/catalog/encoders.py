@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.functions import scalar as M
 from tabloom.functions.scalar import (
     EPSILON, PHI_DENOMINATOR, PHI_NUMERATOR, PHI_SWITCH, SQRT_TWO_PI, with_normal_cdf,
 )
 from tabloom.operators import categorical as C
 from tabloom.operators import copula
 from tabloom.operators.encoder import fit_all
-from tabloom.operators.mixture import MixtureEncoder, fit_mixtures
+from tabloom.operators.mixture import PROBABILITY_FLOOR, MixtureEncoder, fit_mixtures
 from tabloom.operators.numeric import (
     BooleanEncoder, BoundedEncoder, DatetimeEncoder, IdentityEncoder, NullEncoder, NumericEncoder,
     RoundedBoundedEncoder, RoundedEncoder, StandardEncoder, divider_candidates, rounding_aggs, rounding_digits,
@@ -171,6 +172,19 @@ def sql_poly(x: str, coefficients) -> str:
     return out
 
 
+def sql_ppf(p: str) -> str:
+    def ratio(x, num, den):
+        return f"({sql_poly(x, num[::-1])} / {sql_poly(x, den[::-1])})"
+
+    q = f"({p} - 0.5::DOUBLE)"
+    depth = f"sqrt(-ln(least({p}, 1 - {p})))"
+    centre = f"{q} * {ratio(f'(0.180625::DOUBLE - {q} * {q})', M.PPF_CENTRE_NUMERATOR, M.PPF_CENTRE_DENOMINATOR)}"
+    middle = ratio(f"({depth} - 1.6::DOUBLE)", M.PPF_MIDDLE_NUMERATOR, M.PPF_MIDDLE_DENOMINATOR)
+    tail = ratio(f"({depth} - 5)", M.PPF_TAIL_NUMERATOR, M.PPF_TAIL_DENOMINATOR)
+    outer = f"(CASE WHEN {depth} <= 5 THEN {middle} ELSE {tail} END)"
+    return f"(CASE WHEN abs({q}) <= 0.425::DOUBLE THEN {centre} WHEN {q} < 0 THEN -{outer} ELSE {outer} END)"
+
+
 def sql_phi(z: str) -> str:
     a = f"abs({z})"
     near = f"exp(-{a} * {a} / 2) * {sql_poly(a, PHI_NUMERATOR)} / {sql_poly(a, PHI_DENOMINATOR)}"
@@ -260,15 +274,29 @@ def bgmm_fit(spark, d):
     return fit_mixtures(df, {c: F.col(c) for c in ["l_quantity", "l_extendedprice", "l_discount"]})
 
 
-def mixture_sql() -> str:
-    dens = [f"{w}::DOUBLE / {s}::DOUBLE * exp(-(price - {m}) * (price - {m}) / (2 * {s}::DOUBLE * {s}::DOUBLE))" for w, m, s in VALID]
-    best = " ".join(f"WHEN p{i} = greatest(p0, p1, p2) THEN {i}" for i in range(3))
+DENSITIES = [f"{w}::DOUBLE / {s}::DOUBLE * exp(-(price - {m}) * (price - {m}) / (2 * {s}::DOUBLE * {s}::DOUBLE))" for w, m, s in MIXTURE]
+KEPT = [i for i, p in enumerate(MIXTURE) if p in VALID]
+LIKELIEST = "CASE " + " ".join(f"WHEN p{i} = greatest({', '.join(f'p{k}' for k in KEPT)}) THEN {n}" for n, i in enumerate(KEPT)) + " END"
+
+
+def drawn_sql(u: str) -> str:
+    """How many of the kept components' running sums, floor included, stay below the draw."""
+    total = " + ".join(f"p{i}" for i in range(len(MIXTURE)))
+    chances = [f"(p{i} / ({total}) + {PROBABILITY_FLOOR!r}::DOUBLE)" for i in KEPT]
+    below = [f"({' + '.join(chances[:n + 1])} < {u} * ({' + '.join(chances)}))::INTEGER" for n in range(len(KEPT) - 1)]
+    return " + ".join(below)
+
+
+def mixture_sql(component: str) -> str:
     means = ", ".join(f"{m}::DOUBLE" for _, m, _ in VALID)
     stds = ", ".join(f"{s}::DOUBLE" for *_, s in VALID)
     return f"""
 SELECT {IDS}, component, {sql_r(f'greatest(-0.99::DOUBLE, least(0.99::DOUBLE, (price - [{means}][component + 1]) / (4 * [{stds}][component + 1])))', 9)} AS normalized
-FROM (SELECT {IDS}, price, (CASE {best} END)::INTEGER AS component
-      FROM (SELECT {IDS}, price, {dens[0]} AS p0, {dens[1]} AS p1, {dens[2]} AS p2 FROM {GAPS}))"""
+FROM (SELECT {IDS}, price, ({component})::INTEGER AS component
+      FROM (SELECT {IDS}, price, {', '.join(f'{x} AS p{i}' for i, x in enumerate(DENSITIES))} FROM {GAPS}))"""
+
+
+DRAW = "l_orderkey * 7 + l_linenumber"
 
 
 def mixture(spark, d, **options):
@@ -278,14 +306,14 @@ def mixture(spark, d, **options):
         *ID, F.col("price__component").alias("component"), r(F.col("price__normalized"), 9).alias("normalized"))
 
 
-@query("bgmm_transform_argmax", mixture_sql())
+@query("bgmm_transform_argmax", mixture_sql(LIKELIEST))
 def bgmm_transform_argmax(spark, d):
     return mixture(spark, d, selection="argmax")
 
 
-@query("bgmm_transform_sample")
+@query("bgmm_transform_sample", mixture_sql(drawn_sql(sql_u(DRAW, 7))))
 def bgmm_transform_sample(spark, d):
-    return mixture(spark, d, selection="sample", keys=ID, seed=7)
+    return mixture(spark, d, selection="sample", u=given_u(F.expr(DRAW), 7))
 
 
 @query("bgmm_reverse", f"""
@@ -329,10 +357,12 @@ def cat_transform(spark, d):
     return e.transform(df, "s").select(*ID, r(F.col("s__value"), 9).alias("value"))
 
 
-@query("cat_transform_fuzzy")
+@query("cat_transform_fuzzy", f"""
+SELECT {IDS}, {sql_r(f"mid + std * {sql_ppf('u')}", 9)} AS value
+FROM (SELECT *, {sql_u(DRAW, 11)} AS u FROM {GAPS}) g JOIN {INTERVALS} i ON g.s IS NOT DISTINCT FROM i.value""")
 def cat_transform_fuzzy(spark, d):
-    df, e = fitted_category(spark, d, fuzzy=True, keys=ID, seed=11)
-    return e.transform(df, "s").select(*ID, F.col("s__value").alias("value"))
+    df, e = fitted_category(spark, d, fuzzy=True, u=given_u(F.expr(DRAW), 11))
+    return e.transform(df, "s").select(*ID, r(F.col("s__value"), 9).alias("value"))
 
 
 OUTSIDE = "price / 40000 - 0.5::DOUBLE"

@@ -4,29 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.functions import scalar as M
 from tabloom.sources import generators as G
 
 from .base import given_u, load, query, r, sql_r, sql_u
-from .encoders import sql_poly
+from .encoders import sql_ppf
 
 U0, U1 = sql_u("o_orderkey", 20), sql_u("o_orderkey", 21)
 SHARE = 0.3
 
 
-def sql_ppf(p: str) -> str:
-    def ratio(x, num, den):
-        return f"({sql_poly(x, num[::-1])} / {sql_poly(x, den[::-1])})"
-
-    q = f"({p} - 0.5::DOUBLE)"
-    depth = f"sqrt(-ln(least({p}, 1 - {p})))"
-    centre = f"{q} * {ratio(f'(0.180625::DOUBLE - {q} * {q})', M.PPF_CENTRE_NUMERATOR, M.PPF_CENTRE_DENOMINATOR)}"
-    middle = ratio(f"({depth} - 1.6::DOUBLE)", M.PPF_MIDDLE_NUMERATOR, M.PPF_MIDDLE_DENOMINATOR)
-    tail = ratio(f"({depth} - 5)", M.PPF_TAIL_NUMERATOR, M.PPF_TAIL_DENOMINATOR)
-    outer = f"(CASE WHEN {depth} <= 5 THEN {middle} ELSE {tail} END)"
-    return f"(CASE WHEN abs({q}) <= 0.425::DOUBLE THEN {centre} WHEN {q} < 0 THEN -{outer} ELSE {outer} END)"
-
-
 def pick_sql(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][floor(u0 * {len(values)})::INTEGER + 1]"
 

@@ -12,10 +12,12 @@ from tabloom.privacy import clip as K
 from tabloom.privacy import sampling as S
 
 from .base import given_u, load, query, r, sql_r, sql_u
+from .encoders import sql_ppf
 
 DELTA = 1e-5
 ORDERS = [*range(2, 64), 128, 256]
-FRACTIONS = [1.5, 2.7, 8.3]
+WHOLE = [int(a) for a in A.DEFAULT_ORDERS if a == int(a)]
+FRACTIONS = [a for a in A.DEFAULT_ORDERS if a != int(a)]
 
 # every customer is a dataset; each order status it has is one mechanism of its ledger
 LEDGER = """(SELECT o_custkey AS dataset, 1 / (10 + o_custkey % 13)::DOUBLE AS q, 0.8 + (o_custkey % 5) * 0.4::DOUBLE AS sigma,
@@ -68,7 +70,7 @@ FROM (SELECT q, sigma, alpha, (alpha + 24 * sigma) / 4000 AS h, -12 * sigma + i
 
 @query("rdp_fractional", f"SELECT {Q9}, {S9}, alpha, {sql_r('rdp_step')} AS rdp FROM {FRACTIONAL_SQL}")
 def rdp_fractional(spark, d):
-    rows = A.with_orders(settings(spark, d), FRACTIONS)
+    rows = A.with_orders(settings(spark, d), FRACTIONS).repartition(8, "q", "sigma", "alpha")
     return shown(rows.withColumn("rdp", A.rdp_fractional(F.col("q"), F.col("sigma"), F.col("alpha"))), "q", "sigma")
 
 
@@ -87,19 +89,21 @@ def rdp_special(spark, d):
     return rows.withColumn("rdp", known)
 
 
+STEPS = f"""(SELECT q, sigma, alpha, rdp_step FROM {integer_sql(SETTINGS, 'q, sigma', WHOLE)}
+ UNION ALL SELECT q, sigma, alpha, rdp_step FROM {FRACTIONAL_SQL})"""
 CURVE = f"""(SELECT l.dataset, l.run, l.q, l.sigma, c.alpha, l.steps * c.rdp_step AS rdp
- FROM {LEDGER} l JOIN {integer_sql(SETTINGS, 'q, sigma')} c ON l.q = c.q AND l.sigma = c.sigma)"""
+ FROM {LEDGER} l JOIN {STEPS} c ON l.q = c.q AND l.sigma = c.sigma)"""
 
 
 @query("rdp_curve", f"SELECT dataset, run, alpha, {sql_r('rdp')} AS rdp FROM {CURVE}")
 def rdp_curve(spark, d):
-    out = A.rdp_curve(ledger(spark, d), ORDERS, fractional=False)
+    out = A.rdp_curve(ledger(spark, d), A.DEFAULT_ORDERS)
     return out.select("dataset", "run", "alpha", r(F.col("rdp")).alias("rdp"))
 
 
 @query("rdp_ledger", f"SELECT dataset, alpha, {sql_r('sum(rdp)')} AS rdp FROM {CURVE} GROUP BY dataset, alpha")
 def rdp_ledger(spark, d):
-    out = A.compose(ledger(spark, d), ["dataset"], ORDERS, fractional=False)
+    out = A.compose(ledger(spark, d), ["dataset"], A.DEFAULT_ORDERS)
     return out.withColumn("rdp", r(F.col("rdp")))
 
 
@@ -110,7 +114,7 @@ EPS = f"rdp - (ln({DELTA}::DOUBLE) + ln(alpha)) / (alpha - 1) + ln((alpha - 1) /
 SELECT dataset, {sql_r('min(eps)')} AS epsilon, arg_min(alpha, eps) AS best_alpha
 FROM (SELECT dataset, alpha, {EPS} AS eps FROM (SELECT dataset, alpha, sum(rdp) AS rdp FROM {CURVE} GROUP BY ALL)) GROUP BY dataset""")
 def eps_spent(spark, d):
-    curve = A.compose(ledger(spark, d), ["dataset"], ORDERS, fractional=False)
+    curve = A.compose(ledger(spark, d), ["dataset"], A.DEFAULT_ORDERS)
     return A.privacy_spent(curve, ["dataset"], DELTA).withColumn("epsilon", r(F.col("epsilon")))
 
 
@@ -119,12 +123,12 @@ RUNS = f"(SELECT DISTINCT q, sigma, steps AS epochs, (steps * ceil(1 / q))::BIGI
 
 @query("dp_report", f"""
 SELECT {Q9}, {S9}, epochs, steps, {sql_r('min(eps)')} AS epsilon, arg_min(alpha, eps) AS best_alpha,
-       arg_min(alpha, eps) IN ({ORDERS[0]}, {ORDERS[-1]}) AS at_end
+       arg_min(alpha, eps) IN ({A.DEFAULT_ORDERS[0]}::DOUBLE, {A.DEFAULT_ORDERS[-1]}::DOUBLE) AS at_end
 FROM (SELECT r.q, r.sigma, epochs, steps, alpha, {EPS.replace('rdp ', 'steps * rdp_step ')} AS eps
-      FROM {RUNS} r JOIN {integer_sql(SETTINGS, 'q, sigma')} c ON r.q = c.q AND r.sigma = c.sigma) GROUP BY q, sigma, epochs, steps""")
+      FROM {RUNS} r JOIN {STEPS} c ON r.q = c.q AND r.sigma = c.sigma) GROUP BY q, sigma, epochs, steps""")
 def dp_report(spark, d):
     runs = ledger(spark, d).withColumnRenamed("steps", "epochs")
-    out = A.report(runs, ORDERS, DELTA, fractional=False)
+    out = A.report(runs, A.DEFAULT_ORDERS, DELTA)
     return out.withColumns({"q": r(F.col("q"), 9), "sigma": r(F.col("sigma"), 9), "epsilon": r(F.col("epsilon"))})
 
 
@@ -218,13 +222,17 @@ def clip_block(spark, d):
     return block_norms(spark, d).select("vec_id", "block", r(K.factor(F.col("norm"), threshold)).alias("factor"))
 
 
-def sum_sql(per_block: bool, mean: bool) -> str:
+def clipped_sql(per_block: bool) -> str:
     parts = []
     for i, h in enumerate(HALVES):
         f = sql_factor(sql_norm(h), C_BLOCK[i]) if per_block else sql_factor(sql_norm("embedding"), C_FLAT)
         parts.append(f"SELECT {i}::INTEGER AS block, vec_id, unnest(range(32)) AS pos, unnest({h})::DOUBLE * {f} AS x FROM embeddings")
+    return f"({' UNION ALL '.join(parts)})"
+
+
+def sum_sql(per_block: bool, mean: bool) -> str:
     value = "sum(x) / count(*)" if mean else "sum(x)"
-    return f"SELECT block, pos::INTEGER AS pos, {sql_r(value)} AS value FROM ({' UNION ALL '.join(parts)}) GROUP BY block, pos"
+    return f"SELECT block, pos::INTEGER AS pos, {sql_r(value)} AS value FROM {clipped_sql(per_block)} GROUP BY block, pos"
 
 
 @query("clipped_sum", sum_sql(per_block=True, mean=False))
@@ -239,9 +247,15 @@ def clipped_mean(spark, d):
     return out.select("block", "pos", r(F.col("total") / F.col("n")).alias("value"))
 
 
-@query("noisy_sum", sum_sql(per_block=True, mean=True))
+NOISE = 1.3
+
+
+@query("noisy_sum", f"""
+SELECT block, pos, {sql_r(f"(total + {sql_ppf('u')} * {K.noise_scale(list(C_BLOCK), NOISE)!r}::DOUBLE) / n")} AS value
+FROM (SELECT block, pos::INTEGER AS pos, sum(x) AS total, count(*) AS n, {sql_u('block * 1000 + pos', 8)} AS u FROM {clipped_sql(per_block=True)} GROUP BY ALL)""")
 def noisy_sum(spark, d):
-    out = K.noisy_mean(vectors(spark, d), ["a", "b"], list(C_BLOCK), sigma=0.0, per_block=True)
+    out = K.noisy_mean(vectors(spark, d), ["a", "b"], list(C_BLOCK), sigma=NOISE, per_block=True,
+                       u=given_u(F.col("block") * 1000 + F.col("pos"), 8))
     return out.withColumn("value", r(F.col("value")))
 
 
@@ -293,10 +307,22 @@ def thresh_momentum(spark, d):
     return out.select("user_id", "event_id", r(F.col("threshold")).alias("threshold"))
 
 
-@query("poisson_batches")
+POISSON_RATE = 0.05
+POISSON_TOP = S.batches_per_epoch(POISSON_RATE)
+
+
+# the subset grows by one number a step: the drawn one, or the step's own if that is taken
+@query("poisson_batches", f"""
+WITH RECURSIVE n AS (SELECT o_orderkey, o_totalprice, len(list_filter([{', '.join(f'{c!r}::DOUBLE' for c in S.binomial_cdf(POISSON_TOP, POISSON_RATE))}],
+  lambda c: c <= {sql_u('o_orderkey * 31', 3)})) AS n FROM orders),
+t AS (SELECT o_orderkey, o_totalprice, {POISSON_TOP} - n + 1 AS step, []::BIGINT[] AS taken FROM n WHERE n > 0
+  UNION ALL SELECT o_orderkey, o_totalprice, step + 1, list_append(taken, CASE WHEN list_contains(taken, drawn) THEN step ELSE drawn END)
+  FROM (SELECT *, least(step, floor({sql_u('o_orderkey * 31 + step * 17', 3)} * step)::BIGINT + 1) AS drawn FROM t WHERE step <= {POISSON_TOP}))
+SELECT o_orderkey, o_totalprice, unnest(taken)::INTEGER AS batch FROM t WHERE step > {POISSON_TOP}""")
 def poisson_batches(spark, d):
     df = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    return S.poisson_batches(df, ["o_orderkey"], S.sample_rate(rate=0.05), seed=3)
+    return S.poisson_batches(df, ["o_orderkey"], S.sample_rate(rate=POISSON_RATE),
+                             u=lambda step: given_u(F.col("o_orderkey") * 31 + step * 17, 3))
 
 
 @query("poisson_empty", f"SELECT o_orderkey, floor(ln({sql_u('o_orderkey', 6)}) / {10 * math.log(0.9)!r}::DOUBLE)::BIGINT AS empty_batches FROM orders")

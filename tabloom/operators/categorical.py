@@ -86,18 +86,18 @@ class CategoricalEncoder(ColumnEncoder):
     """Each category becomes the midpoint of its frequency interval in [0, 1].
 
     ``fuzzy`` adds normal noise of a sixth of the interval, from a hash of
-    ``keys`` when given (repeatable) or from ``seed``. ``lookup`` picks the
+    ``keys`` when given (repeatable), from a given uniform ``u``, or from ``seed``. ``lookup`` picks the
     reverse: the nearest midpoint, or the last interval starting at or below.
     """
 
     input_type = "categorical"
 
     def __init__(self, fuzzy: bool = False, clip_values: bool = False, lookup_by: str = "nearest",
-                 keys: list[str] | None = None, seed: int = 0):
+                 keys: list[str] | None = None, seed: int = 0, u: Column | None = None):
         if lookup_by not in ("nearest", "interval"):
             raise ValueError("lookup_by must be 'nearest' or 'interval'")
         self.fuzzy, self.clip_values, self.lookup_by = fuzzy, clip_values, lookup_by
-        self.keys, self.seed = keys, seed
+        self.keys, self.seed, self.u = keys, seed, u
         self.transform_deterministic = not fuzzy
 
     def fit_aggs(self, c):
@@ -119,9 +119,10 @@ class CategoricalEncoder(ColumnEncoder):
             self.cats = Categories(table, table.count(), None)
 
     def with_noise(self, df: DataFrame) -> DataFrame:
-        if not self.keys:
+        if self.u is None and not self.keys:
             return df.withColumn("_noise", F.randn(self.seed))
-        return with_normal_ppf(df, {"_noise": keyed_uniform(self.keys, self.seed)})
+        u = keyed_uniform(self.keys, self.seed) if self.u is None else self.u
+        return with_normal_ppf(df, {"_noise": u})
 
     def encode(self, df, column, prefix):
         out = f"{prefix}__value"

@@ -193,7 +193,7 @@ class MixtureEncoder(NumericEncoder):
     """Continuous value to (position inside its component, component).
 
     ``selection="sample"`` draws the component from the posterior (from a hash
-    of ``keys`` and ``seed``), ``"argmax"`` takes the likeliest.
+    of ``keys`` and ``seed``, or the given uniform ``u``), ``"argmax"`` takes the likeliest.
     """
 
     output_types = {"normalized": "float", "component": "categorical"}
@@ -201,8 +201,9 @@ class MixtureEncoder(NumericEncoder):
 
     def __init__(self, nan="mean", null_column=None, rounding=None, min_value=None, max_value=None, dtype=None,
                  max_clusters: int = 10, weight_threshold: float = 0.005, selection: str = "sample",
-                 keys: list[str] | None = None, seed: int = 0):
+                 keys: list[str] | None = None, seed: int = 0, u: Column | None = None):
         super().__init__(nan, null_column, rounding, min_value, max_value, dtype)
+        self.u = u
         self.max_clusters, self.weight_threshold = max_clusters, weight_threshold
         self.selection, self.keys, self.seed = selection, keys, seed
         self.transform_deterministic = selection == "argmax"
@@ -266,6 +267,8 @@ class MixtureEncoder(NumericEncoder):
         return F.least(walked, F.size(p) - 1)
 
     def draw(self) -> Column:
+        if self.u is not None:
+            return self.u
         return keyed_uniform(self.keys, self.seed) if self.keys else F.rand(self.seed)
 
     def encode(self, df, column, prefix):

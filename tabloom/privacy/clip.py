@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.order import exact_order_statistics
-from tabloom.functions.scalar import col, let
+from tabloom.functions.scalar import col, let, normal_ppf
 
 STABILITY = 1e-6
 
@@ -78,16 +78,19 @@ def noise_scale(thresholds: list[float], sigma: float) -> float:
 
 
 def noisy_mean(df: DataFrame, blocks: list[str], thresholds: list[float], sigma: float, per_block: bool = False,
-               expected: float | None = None, seed: int | None = None) -> DataFrame:
+               expected: float | None = None, seed: int | None = None, u: Column | None = None) -> DataFrame:
     """(block, pos, value): clipped sum plus one normal draw per coordinate, over n or the expected batch.
 
     The noise is drawn once on the summed vector. A fixed ``seed`` is for
-    experiments: noise that can be replayed protects nobody.
+    experiments: noise that can be replayed protects nobody. So is ``u``, a given
+    uniform of (block, pos).
     """
     total = clipped_sum(df, blocks, thresholds, per_block)
     repeated = thresholds_for(len(blocks), thresholds) if per_block else thresholds
     scale = noise_scale(repeated, sigma)
-    if scale > 0:
+    if scale > 0 and u is not None:
+        total = total.withColumn("total", F.col("total") + normal_ppf(u) * F.lit(scale))
+    elif scale > 0:
         base = np.random.SeedSequence(seed).generate_state(2)
         draws = F.randn(int(base[0])) * F.lit(scale)
         total = total.coalesce(1).withColumn("total", F.col("total") + draws)
