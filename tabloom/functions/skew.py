@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalar import col
 
@@ -24,24 +25,40 @@ def hot_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> list[R
             .drop("_n").collect())
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: list[Row] | None = None, how: str = "inner") -> DataFrame:
-    """Inner or left equi-join whose hot keys on the left are spread over salts.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], hot: list[Row] | None = None, how: str = "inner",
+              hot_right: list[Row] | None = None) -> DataFrame:
+    """Inner or left equi-join whose hot keys are spread over salts.
 
-    The right side's few rows of hot keys are copied once per salt. With no hot
-    key, and on a stream, whose keys cannot be counted, this is the plain join.
+    A hot key's rows on one side are spread, those on the other copied once per
+    salt. A key that is hot on both sides becomes a grid of cells; the copies
+    are then far fewer than the pairs that the join returns. A left join spreads
+    the left side only, since a copied left row could miss its match. With no
+    hot key, and on a stream, whose keys cannot be counted, this is the plain join.
     """
+    still = not (left.isStreaming or right.isStreaming)
     if hot is None:
-        hot = [] if left.isStreaming else hot_keys(left, on)
-    if not hot:
+        hot = hot_keys(left, on) if still else []
+    if how != "inner":
+        hot_right = []
+    elif hot_right is None:
+        hot_right = hot_keys(right, on) if still else []
+    if not hot and not hot_right:
         return left.join(right, on, how)
-    spark = left.sparkSession
-    table = F.broadcast(spark.createDataFrame(hot))
-    salted = (left.join(table, on, "left")
-              .withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(
-                  F.xxhash64(*[col(c) for c in left.columns]), F.col("_salts"))).otherwise(F.lit(0)).cast("int"))
-              .drop("_salts"))
-    copied = (right.join(table, on, "left")
-              .withColumn("_salt", F.explode(F.sequence(
-                  F.lit(0), F.coalesce(F.col("_salts").cast("int"), F.lit(1)) - 1)))
-              .drop("_salts"))
-    return salted.join(copied, [*on, "_salt"], how).drop("_salt")
+    grid: dict[tuple, list[int]] = {}
+    for side, rows in enumerate((hot, hot_right)):
+        for r in rows:
+            grid.setdefault(tuple(r[k] for k in on), [1, 1])[side] = r["_salts"]
+    schema = T.StructType([*left.select(*[col(k) for k in on]).schema.fields,
+                           T.StructField("_a", T.IntegerType()), T.StructField("_b", T.IntegerType())])
+    table = F.broadcast(left.sparkSession.createDataFrame([(*k, *salts) for k, salts in grid.items()], schema))
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in one of its own salts and in all of the other side's."""
+        marked = df.join(table, on, "left")
+        salted = marked.withColumn(f"_salt{own}", F.when(F.col(own).isNotNull(), F.pmod(
+            F.xxhash64(*[col(c) for c in df.columns]), F.col(own))).otherwise(F.lit(0)).cast("int"))
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        return salted.withColumn(f"_salt{other}", every).drop("_a", "_b")
+
+    cells = ["_salt_a", "_salt_b"]
+    return spread(left, "_a", "_b").join(spread(right, "_b", "_a"), [*on, *cells], how).drop(*cells)

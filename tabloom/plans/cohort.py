@@ -75,8 +75,10 @@ def build_cohort(t: CohortTables, size: str = "small", draws: Draws | None = Non
     # patient); joining charts to stays first keeps the fanned-out side small.
     patients = dates.rebase_birth_date(t.patients, "DOB", draws.birth)
     charted = t.stays.join(charts.select(*CHART_COLUMNS, t.chart_key), [SUBJECT, STAY])
-    admitted = dates.with_shift_ranges(t.admissions.join(patients, [SUBJECT]), "DOB", "ADMITTIME", "DISCHTIME")
-    fanned = skew_join(charted, admitted, [SUBJECT], hot_keys(t.stays, [SUBJECT]))
+    often = hot_keys(t.admissions, [SUBJECT])
+    admissions = skew_join(t.admissions, patients, [SUBJECT], often, hot_right=[])  # a patient has one row
+    admitted = dates.with_shift_ranges(admissions, "DOB", "ADMITTIME", "DISCHTIME")
+    fanned = skew_join(charted, admitted, [SUBJECT], hot_keys(t.stays, [SUBJECT]), hot_right=often)
     moved = dates.draw_stay_times(fanned, "DOB", "ADMITTIME", "DISCHTIME", "CHARTTIME",
                                   draws.admit, draws.stay, draws.chart)
     labelled = lookup_join(moved.where(chronology()), t.items, ["ITEMID"])

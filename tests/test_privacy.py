@@ -103,5 +103,20 @@ def test_poisson_batches(spark):
     assert len(n) == 20 and (abs(n["count"] - 250) < 4 * math.sqrt(5000 * 0.05 * 0.95)).all()
     again = S.poisson_batches(df.repartition(7), ["id"], 0.05, seed=1)
     assert out.exceptAll(again).isEmpty()
+    assert out.groupBy("id", "batch").count().where("count > 1").isEmpty()
     with pytest.raises(ValueError):
         S.sample_rate(rows=10, batch=20)
+
+
+def test_number_of_batches_is_binomial(spark):
+    """A row costs as much as it has batches, so a thousand batches are drawn from as few numbers."""
+    cdf = S.binomial_cdf(1000, 0.001)
+    assert len(cdf) < 30 and abs(cdf[0] - 0.999**1000) < 1e-12 and cdf == sorted(cdf)
+    rows = spark.range(20_000)
+    drawn = S.poisson_batches(rows, ["id"], 0.001, seed=4)
+    per_row = {r["n"]: r["count"] for r in drawn.groupBy("id").agg(F.count("*").alias("n")).groupBy("n").count().collect()}
+    for n in (1, 2, 3):
+        p = cdf[n] - cdf[n - 1]
+        assert abs(per_row[n] - 20_000 * p) < 5 * math.sqrt(20_000 * p)
+    assert drawn.agg(F.min("batch"), F.max("batch")).first() == (1, 1000)
+    assert S.poisson_batches(rows, ["id"], 1.0, batches=3).count() == 60_000

@@ -37,6 +37,26 @@ def test_skewed_fanout_keeps_all_pairs(hot):
     assert skew_join(left, right, ["k"]).count() == left.join(right, "k").count()
 
 
+@pytest.mark.parametrize("hot_left, hot_right", [(True, False), (False, True), (True, True)])
+def test_hot_keys_of_either_side(spark, hot, hot_left, hot_right):
+    """Repeated rows and null keys included; a null key matches nothing."""
+    even = spark.range(98).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    void = spark.createDataFrame([(None, 5), (0, 5), (0, 5)], "k bigint, v bigint")
+    left = (hot.where("v < 600") if hot_left else even).union(void)
+    right = (hot.where("v < 600") if hot_right else even).union(void).withColumnRenamed("v", "w")
+    joined = skew_join(left, right, ["k"])
+    assert pairs(joined, "k", "v", "w") == pairs(left.join(right, "k"), "k", "v", "w")
+    assert "_salt" in joined._jdf.queryExecution().toString()
+
+
+def test_lookup_of_few_wide_rows(spark, hot, monkeypatch):
+    wide = spark.range(98).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("w"))
+    assert joins.is_small(wide) and joins.is_small(wide.limit(0))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 50_000)
+    assert not joins.is_small(wide)
+    assert joins.lookup_join(hot, wide, ["k"]).count() == 6000
+
+
 def test_lookup_beyond_the_broadcast_bound(spark, hot, monkeypatch):
     side = spark.range(98).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
