@@ -59,7 +59,18 @@ for _name, _g in G.GENERATORS.items():
     query(f"gen_{_name}", f"SELECT o_orderkey, {_value} AS value FROM (SELECT o_orderkey, {U0} AS u0, {U1} AS u1 FROM orders)")(generated(_name))
 
 
-@query("demo_table")
+DEMO = {
+    "0_int": "floor(u0 * 100)::DOUBLE", "1_float": "u1 * 100", "2_str": pick_sql(["a", "b", "c", "d"]).replace("u0", "u2"),
+    "3_datetime": f"{BASE} + to_days(floor(u3 * 3650)::INTEGER)",
+}
+
+
+# the fifth of the rows with the smallest lots is null, in each column by lots of its own
+@query("demo_table", f"""
+SELECT o_orderkey, {', '.join(f'CASE WHEN lot{i} > floor(n / 5) THEN {x} END AS "{c}"' for i, (c, x) in enumerate(DEMO.items()))}
+FROM (SELECT o_orderkey, count(*) OVER () AS n, {', '.join(
+    f"{sql_u('o_orderkey', i)} AS u{i}, row_number() OVER (ORDER BY {sql_u('o_orderkey', 100 + i)}) AS lot{i}" for i in range(len(DEMO)))}
+  FROM orders)""")
 def demo_table(spark, d):
     keys = load(spark, d, "orders").select("o_orderkey")
-    return G.demo_columns(keys, "o_orderkey", keys.count())
+    return G.demo_columns(keys, "o_orderkey", keys.count(), draw=lambda number: given_u("o_orderkey", number))

@@ -111,11 +111,12 @@ def generate(spark: SparkSession, name: str, rows: int, seed: int = 0, null_shar
 
 
 def demo_columns(df: DataFrame, key: str, rows: int, null_share: float = 0.2, seed: int = 0,
-                 dtypes: tuple[str, ...] = ("int", "float", "str", "datetime")) -> DataFrame:
+                 dtypes: tuple[str, ...] = ("int", "float", "str", "datetime"), draw=None) -> DataFrame:
     """Columns ``0_int``, ``1_float``, ... for the rows of ``df``, each with exactly int(rows * share) nulls.
 
     The rows whose hash is among the smallest become null; the border is an
-    exact order statistic, so no row is numbered.
+    exact order statistic, so no row is numbered. ``draw`` gives the uniforms,
+    distinct for distinct rows, by their number.
     """
     from tabloom.functions.order import exact_order_statistics
 
@@ -128,8 +129,8 @@ def demo_columns(df: DataFrame, key: str, rows: int, null_share: float = 0.2, se
     }
     out = df
     for i, kind in enumerate(dtypes):
-        lot = F.xxhash64(key, F.lit(seed + 100 + i))
-        value = make[kind](keyed_uniform([key], seed + i))
+        lot = draw(100 + i) if draw else F.xxhash64(key, F.lit(seed + 100 + i))
+        value = make[kind](draw(i) if draw else keyed_uniform([key], seed + i))
         if gaps:
             border = exact_order_statistics(df.select(lot.alias("lot")), "lot", [gaps])[gaps]
             value = F.when(lot > F.lit(border), value)
