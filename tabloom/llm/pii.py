@@ -24,6 +24,7 @@ from tabloom.session import checkpoint
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "number", "name")
 SAMPLE = 20_000  # candidates that train the classifier
+LEAST = 4  # characters of an assigned secret
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()),
                      T.StructField("end", T.IntegerType())])
@@ -47,13 +48,13 @@ thomas sarah charles karen hans peter anna maria klaus ursula jean marie pierre
 """.split())
 
 ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key)"
-                      r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{4,200})")
+                      r"\s{0,3}[:=]\s{0,3}[\"']?([^\s\"',;]{4,})")
 NUMBER = re.compile(r"(?<![0-9A-Za-z])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
                     r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z])")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.-]{6,}")
-NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([^\W\d_]{2,30}(?: [^\W\d_]{2,30})?)")
+NAME = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? ([^\W\d_]{2,}(?: [^\W\d_]{2,})?)")
 SHAPES = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{16,}|(?:sk|pk|ghp|xox[abp])[-_][A-Za-z0-9_-]{16,}"
-                    r"|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.?[A-Za-z0-9_-]*|[0-9]{3}-[0-9]{2}-[0-9]{4}")
+                    r"|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?|[0-9]{3}-[0-9]{2}-[0-9]{4}")
 UNITS = re.compile(r"[0-9]+(?:[.,:/-][0-9]+){0,2}(?:st|nd|rd|th|kg|km|cm|mm|mb|gb|px|ms|s|h|m)?")
 
 
@@ -102,8 +103,10 @@ def entropy(value: str) -> float:
 
 
 class Candidate:
-    def __init__(self, kind: str, start: int, end: int, text: str):
-        self.kind, self.start, self.end = kind, start, end
+    """A span judged as a whole; ``parts`` are what of it lies in no base span."""
+
+    def __init__(self, kind: str, start: int, end: int, text: str, parts: list[tuple[int, int]] | None = None):
+        self.kind, self.start, self.end, self.parts = kind, start, end, parts or [(start, end)]
         self.value, self.before = text[start:end], text[max(0, start - 32):start]
         self.digits = sum(c in "0123456789" for c in self.value)
         self.letters = sum(c.isalpha() for c in self.value)
@@ -139,28 +142,49 @@ def features_of(c: Candidate) -> list[float]:
             float(bool(UNITS.fullmatch(c.value)))]
 
 
+def outside(start: int, stop: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the ordered spans ``taken`` leave of a span, in pieces of at least ``LEAST`` characters."""
+    out, at = [], start
+    for a, b in [*taken, (stop, stop)]:
+        if a - at >= LEAST:
+            out.append((at, a))
+        at = max(at, b)
+    return out
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[Candidate]:
-    """Spans that might be personal data and touch no base span, earlier ones first and none overlapping another."""
-    found: list[tuple[int, int, int, str]] = []
+    """Spans that might be personal data, earlier ones first, of equal starts the longest, none overlapping another.
+
+    They touch no base span, but for assigned secrets of any length: of these the parts around the base spans are kept.
+    """
+    found: list[tuple[int, int, int, str]] = []  # start, end as a negative number, place of the pattern, kind
     if "=" in text or ":" in text:
-        found += [(m.start(1), 0, m.end(1), "secret") for m in ASSIGNED.finditer(text)]
+        found += [(m.start(1), -m.end(1), 0, "secret") for m in ASSIGNED.finditer(text)]
     if DIGIT.search(text):
-        found += [(m.start(), 1, m.end(), "number") for m in NUMBER.finditer(text)]
+        found += [(m.start(), -m.end(), 1, "number") for m in NUMBER.finditer(text)]
         for m in TOKEN.finditer(text):
             value = m.group().strip(".-/")
             if DIGIT.search(value) and len(value) >= 6:
                 start = m.start() + len(m.group()) - len(m.group().lstrip(".-/"))
-                found.append((start, 2, start + len(value), "secret"))
+                found.append((start, -start - len(value), 2, "secret"))
     if any(t in text for t in TITLES):
-        found += [(m.start(1), 3, m.end(1), "name") for m in NAME.finditer(text) if m.group(1)[0].isupper()]
+        found += [(m.start(1), -m.end(1), 3, "name") for m in NAME.finditer(text) if m.group(1)[0].isupper()]
     out, end = [], 0
     blocked = sorted((a, b) for a, _, b in taken)
     k = 0
-    for start, _, stop, kind in sorted(found):
+    for start, minus, pattern, kind in sorted(found):
+        stop = -minus
         while k < len(blocked) and blocked[k][1] <= start:
             k += 1
-        if start >= end and not any(a < stop and b > start for a, b in blocked[k:k + 8]):
-            out.append(Candidate(kind, start, stop, text))
+        if start < end:
+            continue
+        after = k
+        while after < len(blocked) and blocked[after][0] < stop:
+            after += 1
+        touched = [s for s in blocked[k:after] if s[1] > start]
+        parts = [(start, stop)] if not touched else outside(start, stop, touched) if pattern == 0 else []
+        if parts:
+            out.append(Candidate(kind, start, stop, text, parts))
             end = stop
     return out
 
@@ -222,8 +246,8 @@ class PiiFinder:
                 return []
             spans = base_spans(text)
             if weights is not None:
-                spans = sorted(spans + [(c.start, KINDS.index(c.kind), c.end) for c in candidates(text, spans)
-                                        if sum(w * x for w, x in zip(weights, features_of(c))) >= 0])
+                spans = sorted(spans + [(a, KINDS.index(c.kind), b) for c in candidates(text, spans)
+                                        if sum(w * x for w, x in zip(weights, features_of(c))) >= 0 for a, b in c.parts])
             return [(KINDS[k], a, b) for a, k, b in spans]
 
         return find

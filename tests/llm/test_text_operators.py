@@ -492,3 +492,26 @@ def test_secrets_are_added_and_clean_rows_stay(spark, odd):
     assert pii.PiiFinder.fit(odd).spans(odd).count() == len(ODD)
     empty = table(spark, [])
     assert pii.PiiFinder.fit(empty).spans(empty).count() == 0
+
+
+def test_long_secrets_are_whole(spark):
+    r = random.Random(3)
+    code = lambda n: "".join(r.choice("0123456789abcdefghijkLMNOP") for _ in range(n))
+    long, jwt = code(1000), ".".join(["eyJ" + code(150), code(400), code(43)])
+    holed = "q" + code(300) + "@ab.example:" + code(300)  # an e-mail address inside
+    name = "Wolfeschlegelsteinhausenbergerdorff"
+    rows = [(i, f"the house was old, password={code(18)} and so on") for i in range(20)]
+    rows += [(30 + i, f"see page 1{i}4 of 2021 and read on") for i in range(20)]
+    rows += [(60, f"then token={long} was sent"), (61, f"then token={jwt} was sent"), (62, f"then token=//+/{holed}; was sent")]
+    df = table(spark, rows)
+    finder = pii.PiiFinder.fit(df)
+    out = {x.doc_id: [(s.kind, x.text[s.start:s.end]) for s in x.spans] for x in finder.spans(df).collect()}
+    hidden = {x.doc_id: x.text for x in finder.redact(df).collect()}
+    assert out[60] == [("secret", long)] and out[61] == [("secret", jwt)]
+    assert hidden[60] == hidden[61] == "then token=[SECRET] was sent"
+    email, rest = holed.split(":")
+    assert out[62] == [("secret", "//+/"), ("email", email), ("secret", ":" + rest)]
+    assert hidden[62] == "then token=[SECRET][EMAIL][SECRET]; was sent"
+    assert [c.value for c in pii.candidates(f"Dr {name}, who came", [])] == [name]
+    # of equal starts the longest
+    assert [c.value for c in pii.candidates("call 555-123-4567/89 now", [])] == ["555-123-4567/89"]
