@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,49 +31,99 @@ ATTRIBUTE = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 # Fixed values of HTML: elements by how they are read.
 RAW = frozenset("script style title textarea xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav footer header aside form noscript template button select svg math iframe object canvas audio "
-                    "video menu dialog figure label fieldset".split())
+DROPPED = frozenset("head noscript template button select svg iframe object canvas audio video".split())
+SIDE = frozenset("nav footer header aside form menu".split())  # dropped unless they are the wrapper of the article
+DOUBTED = frozenset("label fieldset dialog".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 "
                   "h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul "
-                  "aside".split())
+                  "aside dialog".split())
 CONTAINER = frozenset("article main section div td body center".split())
 CLOSED_BY_BLOCK = frozenset(["p"])
 SAME_KIND = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"),
              "option": ("option",)}
 SCOPE = frozenset("ul ol dl table article section div main body td".split())
 
-# Words of class, id and role that mark what is not the article.
-BOILER = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|widget|ads?|advert"
-                    r"|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe"
-                    r"|share|social|related|recommended|comments?|replies|reply|respond|disqus|login|signup|search|pagination"
-                    r"|copyright|legal|toolbar|complementary|contentinfo)(?:$|[\s_-])", re.I)
+# Words of class, id and role that mark what is not the article, and words before them that deny it or say it of a layout.
+BOILER = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side widget ad ads advert "
+                   "advertisement sponsor sponsored promo banner cookie cookies consent notice gdpr popup modal newsletter "
+                   "subscribe share social related recommended comment comments replies reply respond disqus login signup "
+                   "search pagination copyright legal toolbar complementary contentinfo".split())
+DENIED = frozenset("no not non without has with".split())
+BETWEEN = re.compile("[-_]+")
+NEVER = frozenset("body html article main".split())  # never dropped
+PLAIN, DOUBTFUL, MARKED = range(3)
+DOUBT = 0.3  # what a doubtful block's text is worth
 
 
 class Block:
     """A run of text between block borders: the containers around it, its characters and those inside links."""
 
-    __slots__ = ("path", "nodes", "parts", "linked", "dropped")
+    __slots__ = ("path", "nodes", "parts", "linked", "dropped", "doubtful", "marks", "core")
 
-    def __init__(self, path, nodes, dropped):
+    def __init__(self, path, nodes, dropped, doubtful, marks, core):
         self.path, self.nodes, self.parts, self.linked, self.dropped = path, nodes, [], 0, dropped
+        self.doubtful, self.marks, self.core = doubtful, marks, core
 
+    def unlinked(self) -> int:
+        return max(0, len("".join(self.parts).strip()) - self.linked)
 
-def generalised(tag: str, attributes: str) -> tuple[str, bool]:
+
+@lru_cache(4096)
+def kind_of(value: str) -> int:
+    """Marked if a word of class, id or role is a boilerplate word as a whole, doubtful if only a part of a compound is."""
+    kind, before = PLAIN, ""
+    for token in value.lower().split():
+        if token in BOILER and before not in DENIED:
+            return MARKED
+        parts = BETWEEN.split(token)
+        if len(parts) > 1 and any(x in BOILER and y not in DENIED for y, x in zip(["", *parts], parts)):
+            kind = DOUBTFUL
+        before = token
+    return kind
+
+
+def generalised(tag: str, attributes: str) -> tuple[str, int]:
     """(tag with its first class, digits as 0; whether class, id or role mark it as no part of an article)."""
-    name, boiler = tag, False
+    name, kind = tag, PLAIN
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
             value = entities.unescape(m[2] or m[3] or m[4] or "")
-            boiler = boiler or bool(BOILER.search(value))
+            kind = max(kind, kind_of(value))
             if m[1].lower() == "class" and value.split():
                 name = f"{tag}.{re.sub('[0-9]+', '0', value.split()[0])}"
-    return name, boiler
+    return name, kind
+
+
+def spare(found: list[Block], holders: set[int], forms: set[int]) -> None:
+    """Drops the blocks in marked elements, but not those in one that is the article's wrapper.
+
+    Such an element holds an article or main and more text than all of these
+    outside marked elements, or, named by its class or a form, most of a page's
+    text where no article or main outside has any.
+    """
+    inside: dict[int, int] = {}
+    core = total = 0
+    for b in found:
+        if b.dropped:
+            continue
+        size = b.unlinked()
+        total += size
+        core += size if b.core and not b.marks else 0
+        for e in b.marks:
+            inside[e] = inside.get(e, 0) + size
+    spared = {e for e, n in inside.items() if e in holders and n > core or e in forms and 2 * n > total and not core}
+    for b in found:
+        if b.marks:
+            b.dropped = b.dropped or not spared.issuperset(b.marks)
+            b.doubtful = True
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order; scripts, styles, comments and markup are gone, references not yet decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, generalised name, dropped, number of the element
+    stack: list[tuple[str, str, bool, int, int]] = []  # tag, generalised name, dropped, number of the element, its kind
+    holders: set[int] = set()  # marked elements around an article or main
+    forms: set[int] = set()  # marked elements that may hold a page without these
     current: Block | None = None
     links, number, at, size = 0, 0, 0, len(page)
 
@@ -83,7 +134,8 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             around = [s for s in stack if s[0] in CONTAINER]
             current = Block(tuple(s[1] for s in around if s[0] != "body"), tuple(s[3] for s in around),
-                            any(s[2] for s in stack))
+                            any(s[2] for s in stack), any(s[4] == DOUBTFUL for s in stack),
+                            [s[3] for s in stack if s[4] == MARKED], any(s[0] in ("article", "main") for s in stack))
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -135,10 +187,22 @@ def blocks(page: str) -> list[Block]:
                     break
         if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK:
             continue
-        name, boiler = generalised(tag, m[3] or m[6] or "")
+        name, kind = generalised(tag, m[3] or m[6] or "")
         number += 1
-        stack.append((tag, name, tag in DROPPED or boiler and tag not in ("body", "html", "article", "main"), number))
+        if tag in ("article", "main") and kind == PLAIN:
+            holders.update(s[3] for s in stack if s[4] == MARKED)
+        if tag in ("body", "html"):
+            kind = PLAIN
+        elif tag in NEVER or tag in DOUBTED:
+            kind = min(kind, DOUBTFUL) if tag in NEVER else max(kind, DOUBTFUL)
+        elif kind == MARKED and tag not in SIDE or tag == "form":
+            kind = MARKED
+            forms.add(number)
+        elif tag in SIDE:
+            kind = MARKED
+        stack.append((tag, name, tag in DROPPED, number, kind))
         links += tag == "a"
+    spare(out, holders, forms)
     return out
 
 
@@ -157,7 +221,7 @@ def containers(page: str | None) -> list[tuple[str, float]]:
         if b.dropped:
             continue
         size = len("".join(b.parts).strip())
-        worth = max(0.0, size - 2.0 * b.linked) * (1.0 if size >= 25 else 0.3)
+        worth = max(0.0, size - 2.0 * b.linked) * (1.0 if size >= 25 else 0.3) * (DOUBT if b.doubtful else 1.0)
         for depth in range(len(b.path), 0, -1):
             key = b.path[:depth]
             score[key] = score.get(key, 0.0) + worth

@@ -292,6 +292,29 @@ def test_host_vote_overrules_a_page(spark, monkeypatch):
     assert of(host_paths.main_text(df), "page_id", "text") == small
 
 
+BODY = "The article has its words here, and there are many of them to be read. "
+
+
+@pytest.mark.parametrize("wrapper", [
+    "div class='content-sidebar-wrap'", "div class='layout no-sidebar'", "div class=has-sidebar", "section id=social-science",
+    "div class='page social'", "div class='no sidebar'", "form id=aspnetForm", "div role=search"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_named_by_a_layout_keep_their_page(wrapper, inner):
+    page = (f"<body><nav><a href=/>home</a> many words of the menu that nobody wants to read</nav><{wrapper}><{inner}>"
+            f"<p>{BODY * 4}</p><div class=share>share this page with all</div></{inner}></{wrapper.split()[0]}><footer>imprint</footer>")
+    assert host_paths.extract(page, []) == (BODY * 4).strip()
+
+
+def test_elements_in_the_article_are_read_and_boilerplate_beside_it_is_not():
+    page = (f"<body><article><p>{BODY}</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>{BODY}<math><mi>x</mi>"
+            f"</math></p><fieldset><label>A label</label></fieldset><dialog>A note</dialog></article>"
+            f"<div class=related><article><p>{BODY}</p></article></div><aside><p>{BODY}</p></aside>")
+    b = BODY.strip()
+    assert host_paths.extract(page, ["article"]) == f"{b}\n\nA caption.\n\n{b} x\n\nA label\n\nA note"
+    kept = [host_paths.cleaned(x) for x in host_paths.blocks(page) if not x.dropped]
+    assert kept == [b, "A caption.", f"{b} x", "A label", "A note"]
+
+
 # 7: SimHash
 
 def brute_print(text):
