@@ -19,10 +19,12 @@ from pyspark.sql.window import Window
 from tabloom.llm.arrow import append
 from tabloom.session import checkpoint
 
-SHARE = 0.1  # of a host's votes that a path needs to be read
+LONG = 25  # characters of a substantial block
+REST = 0.2  # of a page's text that containers beside the best one need for the whole body to be voted for
+WELL = 0.5  # of a page's text that the path with most votes needs to be read without a look at the others
 SENT = 8 << 20  # bytes of all hosts' paths up to which they are broadcast
 SALTS = 32
-PATHS = 5  # paths of a host at most, which bounds a row of the smaller side
+PATHS = 200  # paths of a host at most, which bounds a row of the smaller side; a page's own path is always another
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"
                    r"|<[!?/][^>]*>|<[A-Za-z/!?][^>]*\Z", re.S)
@@ -58,15 +60,19 @@ DOUBT = 0.3  # what a doubtful block's text is worth
 class Block:
     """A run of text between block borders: the containers around it, its characters and those inside links."""
 
-    __slots__ = ("path", "nodes", "parts", "linked", "dropped", "doubtful", "marks", "core")
+    __slots__ = ("path", "nodes", "parts", "linked", "dropped", "doubts", "marks", "core", "title")
 
-    def __init__(self, path, nodes, dropped, doubtful, marks, core):
+    def __init__(self, path, nodes, dropped, doubts, marks, core, title):
         self.path, self.nodes, self.parts, self.linked, self.dropped = path, nodes, [], 0, dropped
-        self.doubtful, self.marks, self.core = doubtful, marks, core
+        self.doubts, self.marks, self.core, self.title = doubts, marks, core, title
 
     def unlinked(self) -> int:
         return max(0, len("".join(self.parts).strip()) - self.linked)
 
+    def worth(self) -> float:
+        size = len("".join(self.parts).strip())
+        return max(0.0, size - 2.0 * self.linked) * (1.0 if size >= LONG else 0.3) * (DOUBT if self.doubts else 1.0)
+
 
 @lru_cache(4096)
 def kind_of(value: str) -> int:
@@ -115,7 +121,6 @@ def spare(found: list[Block], holders: set[int], forms: set[int]) -> None:
     for b in found:
         if b.marks:
             b.dropped = b.dropped or not spared.issuperset(b.marks)
-            b.doubtful = True
 
 
 def blocks(page: str) -> list[Block]:
@@ -134,8 +139,9 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             around = [s for s in stack if s[0] in CONTAINER]
             current = Block(tuple(s[1] for s in around if s[0] != "body"), tuple(s[3] for s in around),
-                            any(s[2] for s in stack), any(s[4] == DOUBTFUL for s in stack),
-                            [s[3] for s in stack if s[4] == MARKED], any(s[0] in ("article", "main") for s in stack))
+                            any(s[2] for s in stack), frozenset(s[3] for s in stack if s[4] != PLAIN),
+                            [s[3] for s in stack if s[4] == MARKED], any(s[0] in ("article", "main") for s in stack),
+                            any(s[0] == "h1" for s in stack))
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -210,45 +216,87 @@ def cleaned(block: Block) -> str:
     return " ".join(entities.unescape("".join(block.parts)).split())
 
 
-def containers(page: str | None) -> list[tuple[str, float]]:
-    """(path, score) of the page's best container, or nothing.
+def totals(found: list[Block]) -> dict[tuple, float]:
+    """What the text under each container's path is worth; () is the page."""
+    total: dict[tuple, float] = {}
+    for b in found:
+        worth = b.worth()
+        for depth in range(len(b.path) + 1):
+            key = b.path[:depth]
+            total[key] = total.get(key, 0.0) + worth
+    return total
+
+
+def enclosing(found: list[Block], total: dict[tuple, float]) -> tuple | None:
+    """Path of the smallest container around the page's substantial blocks, or nothing.
 
-    A container's score is the text of the blocks directly in it, less what
-    stands in links; a container around another gets half of its score.
+    From the container with most text of its own the way goes up: to an article
+    for any text, to another container for text of its own or a substantial
+    block, and to the body for a title or substantial text of its own, or if the
+    containers beside hold ``REST`` of the page's text.
     """
-    score: dict[tuple, float] = {}
-    for b in blocks(page or ""):
-        if b.dropped:
-            continue
-        size = len("".join(b.parts).strip())
-        worth = max(0.0, size - 2.0 * b.linked) * (1.0 if size >= 25 else 0.3) * (DOUBT if b.doubtful else 1.0)
-        for depth in range(len(b.path), 0, -1):
-            key = b.path[:depth]
-            score[key] = score.get(key, 0.0) + worth
-            worth /= 2
-        if not b.path:
-            score[()] = score.get((), 0.0) + worth
-    if not score:
-        return []
-    best = max(sorted(score), key=lambda k: score[k])
-    return [(" > ".join(best), score[best])] if score[best] > 0 else []
+    direct: dict[tuple, float] = {}
+    for b in found:
+        direct[b.path] = direct.get(b.path, 0.0) + b.worth()
+    best = max(sorted(direct), key=lambda k: direct[k], default=None)
+    if best is None or direct[best] <= 0:
+        return None
+    trusted = max((b for b in found if b.path == best), key=Block.worth).doubts  # around the best text: no reason to doubt others
+
+    shared: dict[int, list[Block]] = {}  # by how many containers a block has in common with the best one
+    for b in found:
+        n = next((i for i, (x, y) in enumerate(zip(b.path, best)) if x != y), min(len(b.path), len(best)))
+        shared.setdefault(n, []).append(b)
+    inside = next((i + 1 for i, name in enumerate(best) if name.split(".")[0] == "article"), len(best) + 1)
+
+    def calls(b, depth):
+        own, size = len(b.path) == depth, b.unlinked()
+        if size <= b.linked or depth < inside and not b.doubts <= trusted:
+            return False
+        return depth >= inside or size >= LONG and (own or depth > 0) or own and (b.title or depth > 0)
+
+    place = best
+    for depth in range(len(best) - 1, -1, -1):
+        outer = best[:depth]
+        if any(calls(b, depth) for b in shared.get(depth, ())) or not outer and total[()] - total[place] >= REST * total[()]:
+            place = outer
+    return place
+
+
+def containers(page: str | None) -> list[tuple[str, float]]:
+    """(path, worth) of the container that the page votes for, or nothing."""
+    return [(p, w) for p, w, won in votes_of(page) if won]
 
 
-def extract(page: str | None, paths: list[str]) -> str:
-    """Text of the blocks under the winning path that gives the page most; without any, under the page's own best container."""
+def votes_of(page: str | None) -> list[tuple[str, float, int]]:
+    """(path, worth, 1) of the page's container, and (path, 0, 0) of each container beside it that has text."""
     found = [b for b in blocks(page or "") if not b.dropped]
-    wanted = [tuple(p.split(" > ")) if p else () for p in paths]
+    total = totals(found)
+    place = enclosing(found, total)
+    if place is None:
+        return []
+    beside = {key for b in found if b.path[:len(place)] != place for d in range(1, len(b.path) + 1)
+              if (key := b.path[:d]) != place[:d] and total[key] > 0}
+    return [(" > ".join(place), total[place], 1), *((" > ".join(k), 0.0, 0) for k in sorted(beside))]
+
 
-    def under(path):
-        return [x for b in found if b.path[:len(path)] == path and (x := cleaned(b))]
+def extract(page: str | None, paths: list[str], refused: list[str] = ()) -> str:
+    """Text of the blocks under the path that gives the page most.
 
-    for path in wanted:
-        if path and (inside := under(path)):
-            return "\n\n".join(inside)
-    own = containers(page)
-    if own:
-        return "\n\n".join(under(tuple(own[0][0].split(" > ")) if own[0][0] else ()))
-    return ""
+    The choice is between the first of ``paths`` that covers the page well, or
+    else that of them with most text, and the page's own container unless it is
+    ``refused`` by the host's other pages.
+    """
+    found = [b for b in blocks(page or "") if not b.dropped]
+    total = totals(found)
+    present = [k for p in paths if (k := tuple(p.split(" > ")) if p else ()) in total]
+    chosen = next((k for k in present if total[k] >= WELL * total[()]), max(present, key=lambda k: total[k], default=None))
+    own = enclosing(found, total)
+    if own is not None and (chosen is None or total[own] > total[chosen] and " > ".join(own) not in refused):
+        chosen = own
+    if chosen is None:
+        return ""
+    return "\n\n".join(x for b in found if b.path[:len(chosen)] == chosen and (x := cleaned(b)))
 
 
 def host_of(url: str):
@@ -257,19 +305,26 @@ def host_of(url: str):
 
 
 def host_votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, paths): each host's winning paths, most votes first; ties by the path."""
-    best = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType())]))
+    """(host, paths, refused): each host's voted paths, most votes first, ties by the path.
+
+    A path that lies beside a page's container more often than it is one is
+    refused. A path with a single vote is only that page's own.
+    """
+    best = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("score", T.DoubleType()),
+                                     T.StructField("won", T.IntegerType())]))
     named = pages.select(host_of(url).alias("host"), F.col(html).alias("__html"))
-    voted = append(named, ["__html"], [("best", best)], lambda: lambda rows: [[containers(h) for h in rows]])
+    voted = append(named, ["__html"], [("best", best)], lambda: lambda rows: [[votes_of(h) for h in rows]])
     votes = voted.select("host", F.explode("best").alias("b")).groupBy("host", F.col("b.path").alias("path")).agg(
-        F.count("*").alias("votes"), F.sum("b.score").alias("score"))
+        F.sum("b.won").alias("votes"), F.sum(1 - F.col("b.won")).alias("lost"), F.sum("b.score").alias("score"))
+    kinds = votes.withColumn("good", F.col("lost") <= F.col("votes")).filter(
+        F.when(F.col("good"), F.col("votes") > 1).otherwise(F.col("votes") > 0))
     # a host's paths are bounded by its templates; one row a path comes here, whatever its number of pages
-    of_host = Window.partitionBy("host")
-    ranked = votes.withColumn("all", F.sum("votes").over(of_host)).withColumn(
-        "place", F.row_number().over(of_host.orderBy(F.desc("votes"), F.desc("score"), "path")))
-    winners = ranked.filter((F.col("place") <= PATHS) & (F.col("votes") >= SHARE * F.col("all")))
-    return winners.groupBy("host").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda s: s["path"]).alias("paths"))
+    ranked = kinds.withColumn("place", F.row_number().over(Window.partitionBy("host", "good").orderBy(
+        F.desc(F.when(F.col("good"), F.col("votes")).otherwise(F.col("lost"))), F.desc("score"), "path")))
+    listed = lambda which: F.transform(
+        F.array_sort(F.collect_list(F.when(which, F.struct("place", "path")))), lambda s: s["path"])
+    return ranked.filter(F.col("place") <= PATHS).groupBy("host").agg(
+        listed(F.col("good")).alias("paths"), listed(~F.col("good")).alias("refused"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
@@ -281,8 +336,10 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str
     summed up first, is small; otherwise each host's row is repeated for
     ``SALTS`` parts of its pages, so that no host's pages meet in one task.
     """
-    winners = checkpoint(host_votes(pages, url, html).select(F.col("host").alias("__host"), F.col("paths").alias("__paths")))
-    size = winners.agg(F.sum(F.octet_length("__host") + F.octet_length(F.array_join("__paths", " ")) + 64).alias("n")).first()["n"]
+    winners = checkpoint(host_votes(pages, url, html).select(F.col("host").alias("__host"), F.col("paths").alias("__paths"),
+                                                               F.col("refused").alias("__refused")))
+    sent = [F.octet_length(F.array_join(c, " ")) + 16 * F.size(c) for c in ("__paths", "__refused")]
+    size = winners.agg(F.sum(F.octet_length("__host") + sent[0] + sent[1] + 64).alias("n")).first()["n"]
     rows = pages.withColumn("__key", host_of(url))
     if (size or 0) <= SENT:
         met = rows.join(F.broadcast(winners), F.col("__key") == F.col("__host"), "left")
@@ -291,6 +348,6 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", text: str
         rows = rows.withColumn("__own", F.pmod(F.xxhash64(url, F.substring(html, 1, 1000)), F.lit(SALTS)).cast("int"))
         met = rows.join(salted, (F.col("__key") == F.col("__host")) & (F.col("__own") == F.col("__part")), "left")
     met = met.drop("__host", "__key", "__own", "__part")
-    made = append(met, [html, "__paths"], [(text, T.StringType())],
-                  lambda: lambda rows, paths: [[extract(h, p or []) for h, p in zip(rows, paths)]])
-    return made.drop("__paths")
+    made = append(met, [html, "__paths", "__refused"], [(text, T.StringType())], lambda: lambda rows, paths, refused: [
+        [extract(h, p or [], r or []) for h, p, r in zip(rows, paths, refused)]])
+    return made.drop("__paths", "__refused")

@@ -315,6 +315,32 @@ def test_elements_in_the_article_are_read_and_boilerplate_beside_it_is_not():
     assert kept == [b, "A caption.", f"{b} x", "A label", "A note"]
 
 
+@pytest.mark.parametrize("page", [
+    "<body><article><h1>Title</h1><p>{lead}</p><div class=body><p>{long}</p></div></article><div class=teaser>A word</div>",
+    "<body><div class=post><h1>Title</h1><p>{lead}</p><div class=body><p>{long}</p></div></div>",
+    "<body><div class=content-sidebar-wrap><div class=post><h1>Title</h1><p>{lead}</p><div class=body><p>{long}</p></div></div></div>",
+    "<body><main><section class=one><h1>Title</h1><p>{lead}</p></section><section class=two><div><p>{long}</p></div></section></main>",
+    "<body><h1>Title</h1><p>{lead}</p><div class=body><p>{long}</p></div>"])
+def test_nested_sections_stay_whole(page):
+    lead = "A lead that is short, but it belongs."
+    want = f"Title\n\n{lead}\n\n{(BODY * 40).strip()}"
+    filled = page.format(lead=lead, long=BODY * 40)
+    assert host_paths.extract(filled, [p for p, _ in host_paths.containers(filled)]) == want == host_paths.extract(filled, [])
+
+
+def test_host_of_many_templates_keeps_every_article(spark):
+    rows, want = [], {}
+    for k in range(30):  # template t0 has most pages; the others hold a teaser under its path
+        kind = 0 if k < 6 else 1 + k % 12
+        text = f"{BODY * 6}page {k}"
+        post, name = "<div class=post><p>{}</p></div>", chr(97 + kind)
+        body = post.format(text) if kind == 0 else f"{post.format('A teaser of another page here.')}<div class={name}><p>{text}</p></div>"
+        rows.append((k, f"http://h/{k}", f"<body>{body}"))
+        want[k] = text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert dict(of(host_paths.main_text(df), "page_id", "text")) == want
+
+
 # 7: SimHash
 
 def brute_print(text):
