@@ -21,7 +21,8 @@ from tabloom.llm.arrow import append
 HIDDEN = 16
 LONGEST = 24  # bytes read at once; a longer word is read in pieces
 CACHED = 300_000
-DOCUMENTS, WORDS = 400, 64  # training documents of each language, words taken of each
+DOCUMENTS, WORDS = 400, 64  # different training texts of each language, words taken of each
+SPREAD = 1 << 40  # least share of hashes that a bound can tell
 STEPS, BATCH, RATE = 350, 256, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = re.compile(r"[A-Za-z]")
@@ -172,31 +173,47 @@ class LanguageId:
     @classmethod
     def fit(cls, df: DataFrame, text: str = "text", lang: str = "lang", documents: int = DOCUMENTS,
             words: int = WORDS) -> LanguageId:
-        """Learns from about ``documents`` rows of each language, taken by a hash of the text, and ``words`` words of
-        each, spread over the whole text."""
+        """Learns from ``documents`` different texts of each language that have a word, those of the least hashes, or all
+        if there are fewer, and from ``words`` words of each, spread over the whole text."""
         known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
             F.col(lang).alias("lang"), F.col(text).alias("text"))
-        counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+        known = known.withColumn("h", F.xxhash64("text"))
+        worded = F.col("text").rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")  # else words_of() finds nothing
+        counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(
+            F.approx_count_distinct(F.when(worded, F.col("h"))).alias("n")).collect()}
         labels = sorted(counts)
         if not labels:
             return cls([], {})
-        spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-        bound = F.lit(0)
+        # about twice as many hashes as are wanted pass the bound, copies as one; the least of them are those of all
+        spread, bound = F.pmod("h", F.lit(SPREAD)), F.lit(0)
         for name, n in counts.items():
-            bound = F.when(F.col("lang") == name, int(min(1.0, documents / n) * 1_000_000) + 1).otherwise(bound)
+            bound = F.when(F.col("lang") == name, int(min(1.0, 2 * (documents + 50) / max(n, 1)) * SPREAD) + 1).otherwise(bound)
+        passed: dict[str, list[tuple[int, int]]] = {}
+        for r in known.filter(worded & (spread < bound)).select("lang", "h", spread.alias("s")).distinct().collect():
+            passed.setdefault(r["lang"], []).append((r["s"], r["h"]))
+        chosen = df.sparkSession.createDataFrame(
+            [(name, h) for name, found in passed.items() for _, h in sorted(found)[:documents]], "lang string, h long")
+        met = known.join(F.broadcast(chosen), ["lang", "h"])
 
         def make():
-            def work(texts):
+            seen: set[tuple[str, int]] = set()  # of the chosen ones at most
+
+            def work(langs, hashes, texts):
                 out = []
-                for t in texts:
+                for key, t in zip(zip(langs, hashes), texts):
+                    if key in seen:
+                        out.append(None)
+                        continue
+                    seen.add(key)
                     found = words_of(t)
                     step = max(1, len(found) / words)
                     out.append([found[int(i * step)] for i in range(min(words, len(found)))])
                 return [out]
             return work
 
-        taken = append(known.filter(spread < bound), ["text"], [("words", T.ArrayType(T.BinaryType()))], make)
-        rows = taken.select("lang", "words").collect()  # about documents * words words of each language
+        taken = append(met, ["lang", "h", "text"], [("words", T.ArrayType(T.BinaryType()))], make).drop("text")
+        # of copies a task sends one on and one is kept: documents * words words of each language
+        rows = taken.filter("words is not null").groupBy("lang", "h").agg(F.min("words").alias("words")).collect()
         pairs = sorted((bytes(w), labels.index(r["lang"])) for r in rows for w in r["words"])
         if not pairs:
             return cls([], {})

@@ -444,6 +444,19 @@ def test_language_held_out_and_odd_rows(spark):
     assert {r.lang_pred for r in nothing.predict(probe).collect()} == {"und"}
 
 
+def test_language_sample_is_of_different_texts(spark, monkeypatch):
+    taught = []
+    monkeypatch.setattr(language.BiGru, "fit", lambda self, words, label: taught.append((words, label)) or self)
+    rows = [("same words again", "aa")] * 3000 + [(f"other {chr(97 + i)}{chr(98 + i)} text", "aa") for i in range(20)]
+    rows += [(f"bb{chr(97 + i)} {chr(97 + j)}x", "bb") for i in range(20) for j in range(20)] + [("12 !", "aa"), (None, "bb")]
+    rows += [("ganz gleich", "cc")] * 50
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    for documents, want in ((100, {0: 21 * 3, 1: 100 * 2, 2: 2}), (10, {0: 10 * 3, 1: 10 * 2, 2: 2})):
+        language.LanguageId.fit(df, documents=documents)
+        words, label = taught.pop()
+        assert Counter(label.tolist()) == want and len(words) == sum(want.values())
+
+
 # 9: decontamination
 
 def brute_distance(pattern, text):
