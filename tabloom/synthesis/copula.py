@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.pairwise import correlation
-from tabloom.functions.scalar import EPSILON, clip, col, keyed_uniform, lookup, with_normal_cdf, with_normal_ppf
-from tabloom.operators.categorical import CategoricalEncoder
+from tabloom.functions.scalar import EPSILON, clip, col, keyed_uniform, with_normal_cdf, with_normal_ppf
+from tabloom.operators.categorical import CategoricalEncoder, attach
 from tabloom.operators.copula import CopulaEncoder
 from tabloom.operators.encoder import fit_all
 from tabloom.roles import ColumnRoles
@@ -18,10 +18,13 @@ class GaussianCopula:
     """Fit on a table, then sample any number of rows lazily.
 
     Continuous columns use ``distribution`` marginals; categories use their
-    frequency intervals, inside which a row's position is drawn from its keys.
+    frequency intervals, inside which a row's position is drawn from its keys,
+    however many categories there are; so a table with categories needs keys.
     """
 
     def __init__(self, roles: ColumnRoles, distribution: str = "gaussian", keys: list[str] | None = None, seed: int = 0):
+        if roles.categorical and not keys:
+            raise ValueError("keys are required, as a category's rows are drawn inside its interval by their keys")
         self.roles, self.distribution, self.keys, self.seed = roles, distribution, keys or [], seed
 
     def fit(self, df: DataFrame) -> "GaussianCopula":
@@ -46,13 +49,10 @@ class GaussianCopula:
         """Every column as its standard normal score."""
         out = df
         for i, c in enumerate(self.roles.categorical):
-            e = self.encoders[c]
-            width = {r["value"]: 6 * r["std"] for r in e.cats.rows} if e.cats.small else None
-            out = e.encode(out, c, c)
-            if width and self.keys:
-                inside = keyed_uniform(self.keys, self.seed + 1000 + i) - 0.5
-                out = out.withColumn(f"{c}__value", col(f"{c}__value") + inside * lookup(col(c).cast("string"), width))
-            out = out.withColumn(f"{c}__value", clip(col(f"{c}__value"), EPSILON, 1 - EPSILON))
+            inside = keyed_uniform(self.keys, self.seed + 1000 + i) - 0.5
+            out = attach(out, c, self.encoders[c].cats, ["mid", "std"], [f"{c}__value", f"{c}__std"])
+            drawn = col(f"{c}__value") + inside * 6 * col(f"{c}__std")  # the interval is six of its stds wide
+            out = out.withColumn(f"{c}__value", clip(drawn, EPSILON, 1 - EPSILON)).drop(f"{c}__std")
         for c in self.roles.continuous:
             out = self.encoders[c].with_uniform(out, c, f"{c}__value")
         out = with_normal_ppf(out, {f"{c}__value": f"{c}__value" for c in self.columns})

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tabloom.fidelity.marginal import chi_square_tail, ks
 from tabloom.fidelity.pairwise import correlation_rmse, kl_continuous
 from tabloom.fidelity.row import METRICS, metric_row
+from tabloom.operators import categorical
 from tabloom.plans.flat import FlatEncoder
 from tabloom.roles import ColumnRoles
 from tabloom.sources import generators as G
@@ -110,6 +111,21 @@ def test_copula_keeps_marginals(spark, lines):
     assert made.where(~F.col("l_quantity").between(low, high)).isEmpty()
 
 
+def test_copula_of_many_categories_equals_that_of_few(spark, monkeypatch):
+    rows = [(i, ("a", "b", "c", None)[min(3, i % 7)], float(min(3, i % 7) + i % 3)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, c string, x double")
+    roles = ColumnRoles(categorical=("c",), continuous=("x",))
+    small = GaussianCopula(roles, "gaussian", ["k"]).fit(df)
+    assert small.normal_scores(df).distinct().count() > 600
+    monkeypatch.setattr(categorical, "LITERAL_LIMIT", -1)
+    large = GaussianCopula(roles, "gaussian", ["k"]).fit(df)
+    assert not large.encoders["c"].cats.small and np.allclose(large.matrix, small.matrix, atol=1e-9)
+    scores = [sorted(tuple(r) for r in m.normal_scores(df).collect()) for m in (small, large)]
+    assert np.allclose(*scores)
+    with pytest.raises(ValueError):
+        GaussianCopula(roles)
+
+
 def test_identical_tables_score_one(lines):
     cols = list(ROLES.continuous)
     assert all(r["score"] == 1.0 for r in ks(lines, lines, cols).collect())
