@@ -1,8 +1,10 @@
 """Copula encoder: a column's marginal distribution to a standard normal and back.
 
-The Gaussian marginal is closed form. Other families are tabulated on a grid
-of at most ``GRID`` points from moments, and applied as grid search plus linear
-interpolation, which stays inside the JVM.
+The Gaussian marginal is closed form. Other families are tabulated from moments
+on a grid of about ``GRID`` points, most at quantiles of the column, the rest in
+equal steps and in rings beyond the quantiles, and applied as grid search plus linear
+interpolation, which stays inside the JVM. So a far value takes no resolution
+from the other rows.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ from pyspark.sql import functions as F
 from tabloom.functions.order import add_bucket
 from tabloom.functions.scalar import EPSILON, clip, col, let, literal_array, with_normal_cdf, with_normal_ppf
 from tabloom.operators.encoder import append, register
+from tabloom.operators.mixture import binned_points
 from tabloom.operators.numeric import NumericEncoder
 
 GRID = 1024
 KDE_BINS = 512
+KDE_CELLS = 1 << 20  # grid points times bins handled at once
+RINGS = 64  # doublings beyond the outermost quantiles
 QUANTILES = 200
+CORE = 2  # quantiles at either end that the core leaves aside
 
 # The families, whether each is parametric, and its support.
 FAMILIES = {
@@ -75,30 +81,53 @@ def family_parameters(family: str, m: dict) -> dict[str, float]:
         return {"dof": dof, "loc": mean, "scale": math.sqrt(var * (dof - 2) / dof)}
     if family == "truncated_gaussian":
         return {"mean": mean, "std": math.sqrt(var), "min": low, "max": high}
-    return {"bandwidth": math.sqrt(var) * max(m["m_n"], 1) ** -0.2}
+    return {"bandwidth": min(math.sqrt(var), core_spread(m) or math.inf) * max(m["m_n"], 1) ** -0.2}
+
+
+def core_spread(m: dict) -> float:
+    """Standard deviation of the column's core: of its quantiles without the outermost; 0 if they do not vary or are not given."""
+    q = np.array(m.get("m_q") or [])
+    inner = q[CORE:len(q) - CORE]
+    return float(inner.std()) if len(inner) else 0.0
 
 
 def _phi(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
 
 
+def points(left: float, right: float, m: dict) -> np.ndarray:
+    """Grid points of a table: equal steps, the column's quantiles with steps between them, and rings beyond these."""
+    q = np.unique(np.array(m.get("m_q") or [], dtype=float))
+    parts = [np.linspace(left, right, GRID // 4 if len(q) > 1 else GRID)]
+    if len(q) > 1:
+        steps = max(1, 3 * GRID // 4 // (len(q) - 1))
+        parts.append(np.interp(np.arange((len(q) - 1) * steps + 1) / steps, np.arange(len(q)), q))
+        spread = core_spread(m) or (q[-1] - q[0]) / len(q)
+        rings = spread / 64 * 2.0 ** np.arange(RINGS)
+        parts += [q[0] - rings, q[-1] + rings]
+    x = np.unique(np.concatenate(parts))
+    x = x[(x >= left) & (x <= right)]
+    return x[np.concatenate([[True], np.diff(x) > 1e-12 * np.maximum(1e-300, np.abs(x[1:]))])] if len(x) > 1 else x
+
+
 def tabulate(family: str, p: dict, m: dict, histogram: tuple | None = None) -> tuple[list[float], list[float]]:
     """Grid of (x, CDF) for a family, by closed form or trapezoid sums of the density."""
     low, high = m["m_min"], m["m_max"]
     sd = math.sqrt(max(m["m_var"], 1e-300))
     inside = family in ("beta", "truncated_gaussian")
     left = low if inside or family == "gamma" else low - 4 * sd
-    x = np.linspace(left, high if inside else high + 4 * sd, GRID)
+    x = points(left, high if inside else high + 4 * sd, m)
     if family in ("gaussian", "truncated_gaussian"):
         cdf = _phi((x - p["mean"]) / p["std"])
     elif family == "gaussian_kde":
         centre, weight = histogram
         h = p["bandwidth"]
-        cdf = (_phi((x[:, None] - centre[None, :]) / h) * weight[None, :]).sum(axis=1) / weight.sum()
+        part = max(1, KDE_CELLS // len(centre))
+        cdf = np.concatenate([_phi((x[a:a + part, None] - centre[None, :]) / h) @ weight for a in range(0, len(x), part)]) / weight.sum()
     else:
         # half-step offsets keep the density finite at the support's ends
-        t = np.linspace(0, 1, 8 * GRID + 1)
-        mid = x[0] + (t[:-1] + t[1:]) / 2 * (x[-1] - x[0])
+        t = np.unique(np.interp(np.arange(8 * (len(x) - 1) + 1) / 8, np.arange(len(x)), x))
+        mid = (t[:-1] + t[1:]) / 2
         if family == "gamma":
             y = (mid - p["loc"]) / p["scale"]
             logpdf = (p["shape"] - 1) * np.log(y) - y
@@ -108,22 +137,19 @@ def tabulate(family: str, p: dict, m: dict, histogram: tuple | None = None) -> t
         else:
             y = (mid - p["loc"]) / p["scale"]
             logpdf = -(p["dof"] + 1) / 2 * np.log1p(y * y / p["dof"])
-        mass = np.exp(logpdf - logpdf.max())
+        mass = np.exp(logpdf - logpdf.max()) * np.diff(t)
         edge = np.concatenate([[0.0], np.cumsum(mass)])
-        cdf = np.interp(x, x[0] + t * (x[-1] - x[0]), edge)
+        cdf = np.interp(x, t, edge)
     cdf = cdf - cdf[0] if family not in ("gaussian", "gaussian_kde") else cdf
     cdf = cdf / cdf[-1] if family not in ("gaussian", "gaussian_kde") and cdf[-1] > 0 else cdf
     rising = np.concatenate([[True], np.diff(np.maximum.accumulate(cdf)) > 1e-15])
     return x[rising].tolist(), np.maximum.accumulate(cdf)[rising].tolist()
 
 
-def histogram_points(df: DataFrame, x: Column, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
-    """Bin centres and counts of a column (bounded by ``KDE_BINS``)."""
-    width = (high - low) / KDE_BINS or 1.0
-    place = F.least(F.lit(KDE_BINS - 1), F.floor((F.col("x") - low) / width).cast("int"))
-    rows = (df.select(x.alias("x")).where(F.col("x").isNotNull()).groupBy(place.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect())
-    return (np.array([low + (r["b"] + 0.5) * width for r in rows]), np.array([float(r["n"]) for r in rows]))
+def histogram_points(df: DataFrame, x: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Bin means and counts of a column in bins of equal numbers of rows, with rings that double in width beyond them."""
+    rows = binned_points(df, {"x": x}, KDE_BINS).orderBy("bin", "ring").collect()  # KDE_BINS + 2 * RINGS at most
+    return np.array([r["centre"] + r["sx"] / r["n"] for r in rows]), np.array([r["n"] for r in rows])
 
 
 def interpolate(df: DataFrame, value: str, xs: list[float], ys: list[float], out: str) -> DataFrame:
@@ -179,7 +205,7 @@ class CopulaEncoder(NumericEncoder):
         fits = {}
         for family in self.options:
             p = family_parameters(family, m)
-            hist = histogram_points(df, self.filled(col(column)), m["m_min"], m["m_max"]) if family == "gaussian_kde" else None
+            hist = histogram_points(df, self.filled(col(column))) if family == "gaussian_kde" else None
             fits[family] = (p, tabulate(family, p, m, hist))
         self.distances = {f: self._distance(grid) for f, (_, grid) in fits.items()}
         self.family = min(self.distances, key=self.distances.get)

@@ -36,7 +36,7 @@ POINT_SCHEMA = "column string, centre double, bin int, ring int, n double, sx do
 FIT_SCHEMA = "column string, component int, weight double, mean double, std double, rounds int"
 
 
-def binned_points(df: DataFrame, filled: dict[str, Column]) -> DataFrame:
+def binned_points(df: DataFrame, filled: dict[str, Column], bins: int = BINS) -> DataFrame:
     """(column, bin, n, sx, sxx) of every column, two passes in all.
 
     Bins hold about equal numbers of rows, so that a far value takes none of
@@ -46,7 +46,7 @@ def binned_points(df: DataFrame, filled: dict[str, Column]) -> DataFrame:
     """
     names = list(filled)
     values = df.select(*[c.cast("double").alias(f"_v{i}") for i, c in enumerate(filled.values())])
-    edges = quantile_edges(values, values.columns, BINS)
+    edges = quantile_edges(values, values.columns, bins)
     items, placed = [], values
     for i, name in enumerate(names):
         cuts = edges[f"_v{i}"]

@@ -159,6 +159,17 @@ def test_copula_round_trip(spark, family):
     assert (inner.x_x - inner.x_y).abs().max() < 0.02
 
 
+@pytest.mark.parametrize("far", [999_999.0, -999_999.0])
+def test_copula_with_a_far_value(spark, far):
+    x = np.append(np.random.default_rng(0).uniform(0, 10, 3000), far)
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(x)), "x": x}))
+    e = CopulaEncoder(distribution="gaussian_kde").fit(df, "x")
+    assert e.distances["gaussian_kde"] < 0.06
+    back = e.reverse_transform(e.transform(df, "x"), "x").toPandas().merge(df.toPandas(), on="i")
+    inner = back[(back.x_y > 0.5) & (back.x_y < 9.5)]
+    assert len(inner) > 2000 and (inner.x_x - inner.x_y).abs().max() < 0.05
+
+
 def test_copula_selection(spark):
     assert candidates("parametric_bounded") == ["beta", "truncated_gaussian"]
     with pytest.raises(TypeError):
