@@ -14,6 +14,7 @@ from tabloom.llm.host_paths import main_text
 from tabloom.llm.language import LanguageId, remainder
 from tabloom.llm.line_crf import QualityClassifier
 from tabloom.llm.pigeonhole import leaks
+from tabloom.llm.pieces import PieceCodec
 from tabloom.llm.pii import BASE, PiiFinder, written
 from tabloom.llm.quality import QualityRules, measure
 from tabloom.llm.simhash import near_duplicates
@@ -21,25 +22,34 @@ from tabloom.llm.token_counts import token_counts
 from tabloom.session import checkpoint
 
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def pieces_path() -> str:
+    return public_tokenizers.path(PIECES)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents", "doc_id", "text")
-    coded = BpeCodec.fit(docs, vocabulary_path()).encode(docs, decoded="decoded")
+def digests(coded: DataFrame, ids: str) -> DataFrame:
+    """Number and hash of the ids, hash of the decoded text."""
     return coded.select(
-        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        "doc_id", F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col(ids).cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return digests(BpeCodec.fit(docs, vocabulary_path()).encode(docs, decoded="decoded"), "token_ids")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = checkpoint(measure(load(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
     return QualityRules.fit_measured(measured).judge(measured).select(
@@ -101,6 +111,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         written(F.col("spans")).alias("spans"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    return digests(PieceCodec(spark, pieces_path()).encode(docs, decoded="decoded"), "piece_ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -112,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_pieces": op11_pieces,
 }
 
 # SQL that repeats a result from the given tables alone.
