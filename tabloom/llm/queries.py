@@ -13,8 +13,10 @@ from tabloom.llm.bpe import BpeCodec
 from tabloom.llm.host_paths import main_text
 from tabloom.llm.language import LanguageId, remainder
 from tabloom.llm.line_crf import QualityClassifier
-from tabloom.llm.pigeonhole import leaks
+from tabloom.llm.lockstep import align, weigh
+from tabloom.llm.phrases import collocations
 from tabloom.llm.pieces import PieceCodec
+from tabloom.llm.pigeonhole import leaks
 from tabloom.llm.pii import BASE, PiiFinder, written
 from tabloom.llm.quality import QualityRules, measure
 from tabloom.llm.simhash import near_duplicates
@@ -116,6 +118,18 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(PieceCodec(spark, pieces_path()).encode(docs, decoded="decoded"), "piece_ids")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    aligned = align(docs, vocabulary_path(), pieces_path())
+    hashed = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return weigh(aligned.select("doc_id", "n_a", "n_b", "n_groups", hashed.alias("groups_sha256"), "links")).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(load(spark, sf_dir, "documents", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -128,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
     "op11_pieces": op11_pieces,
+    "op12_alignment": op12_alignment,
+    "op13_phrases": op13_phrases,
 }
 
 # SQL that repeats a result from the given tables alone.
@@ -139,4 +155,30 @@ ORACLES: dict[str, str] = {
                CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN original <> page_id THEN original END AS refers_to
         FROM p LEFT JOIN o USING (d, n)""",
+    "op13_phrases": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents),
+        p AS (SELECT lang, unnest(string_split_regex(
+                  translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+        w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+        g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        f1 AS (SELECT lang, w[i] AS a1, count(*) AS f FROM g GROUP BY ALL),
+        f2 AS (SELECT lang, w[i] AS a1, w[i + 1] AS a2, count(*) AS f FROM g WHERE i + 1 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w[i] AS a1, w[i + 1] AS a2, w[i + 2] AS a3, count(*) AS f
+               FROM g WHERE i + 2 <= len(w) GROUP BY ALL HAVING count(*) >= 10),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang),
+        c AS (SELECT f2.lang, f2.a1 || ' ' || f2.a2 AS phrase, f2.f AS a, x.f AS l1, y.f AS r1, NULL::BIGINT AS l2, NULL::BIGINT AS r2
+              FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a1 = f2.a1 JOIN f1 y ON y.lang = f2.lang AND y.a1 = f2.a2
+              WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.a1 = f2.a1 AND f3.a2 = f2.a2 AND 100 * f3.f >= 50 * f2.f)
+                AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.a2 = f2.a1 AND f3.a3 = f2.a2 AND 100 * f3.f >= 50 * f2.f)
+              UNION ALL
+              SELECT f3.lang, f3.a1 || ' ' || f3.a2 || ' ' || f3.a3, f3.f, x.f, t.f, h.f, y.f
+              FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a1 = f3.a1 JOIN f1 y ON y.lang = f3.lang AND y.a1 = f3.a3
+              JOIN f2 h ON h.lang = f3.lang AND h.a1 = f3.a1 AND h.a2 = f3.a2
+              JOIN f2 t ON t.lang = f3.lang AND t.a1 = f3.a2 AND t.a2 = f3.a3),
+        s AS (SELECT *, (1000000::HUGEINT * a * a) // (l1::HUGEINT * r1) AS s1, (1000000::HUGEINT * a * a) // (l2::HUGEINT * r2) AS s2 FROM c),
+        b AS (SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END AS l, CASE WHEN s2 < s1 THEN r2 ELSE r1 END AS r,
+                     least(s1, coalesce(s2, s1)) AS score FROM s),
+        k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+        SELECT k.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score
+        FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000""",
 }
