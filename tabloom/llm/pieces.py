@@ -6,17 +6,20 @@ score, the leftmost of equal ones first; the best pair is joined and its new
 neighbours enter the agenda, until it is empty. Characters that are no piece
 become byte pieces.
 
-No piece has a space symbol after another character, and none joins a line
-break, so texts fall into chunks that never influence each other. A task
-remembers the ids of chunks. The new chunks of every Arrow batch are also
-encoded by the sentencepiece library, and other ids stop the job.
+No merge crosses two characters that no piece has side by side. Space symbols
+after other characters and line breaks are such places, so texts fall into
+chunks, and chunks into parts, that never influence each other. A task remembers
+the ids of both. The new parts of every Arrow batch are also encoded by the
+sentencepiece library, and other ids stop the job.
 """
 
 from __future__ import annotations
 
 import codecs
 import heapq
+import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,7 @@ from tabloom.llm.arrow import append, local_path, publish
 
 SPACE = "▁"
 CACHED = 400_000  # chunks whose ids a task remembers
+HEAP = 32  # symbols from which the agenda is a heap
 LONG = 80  # characters beyond which a chunk is not remembered
 MARK = "\x01"  # in a split text: the chunk that follows has no space before it
 
@@ -61,37 +65,62 @@ class PieceVocabulary:
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in joined)  # chunks begin at spaces
         self.lines = self.apart and not any("\n" in p for p in joined)  # and at line breaks
         self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if self.lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.joined = {pair for p in joined for pair in zip(p, p[1:])}
         probe = "a  é́ ﬁ 東.\n b "
         if self.merge(SPACE + probe.replace(" ", SPACE)) != lib.encode(probe):
             raise ValueError("only merge-type models without normalisation are supported")
 
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk cut between characters that no piece has side by side, which no merge can cross."""
+        joined, at, out = self.joined, 0, []
+        for i, pair in enumerate(zip(chunk, chunk[1:]), 1):
+            if pair not in joined:
+                out.append(chunk[at:i])
+                at = i
+        return [*out, chunk[at:]] if chunk else []
+
     def merge(self, chunk: str) -> list[int]:
-        """Ids of one chunk, by the agenda."""
-        symbols, loss, n = list(chunk), self.loss, len(chunk)
+        """Ids of one chunk, by the agenda: a list searched for its least loss, or a heap if it is long."""
+        symbols = list(chunk)
+        if len(symbols) > HEAP:
+            self._join_by_heap(symbols)
+        elif len(symbols) > 1:
+            get, never = self.loss.get, math.inf
+            agenda = [get(p, never) for p in map(str.__add__, symbols, symbols[1:])]
+            while agenda and (best := min(agenda)) != never:
+                i = agenda.index(best)
+                piece = symbols[i] + symbols[i + 1]
+                symbols[i:i + 2] = [piece]
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = get(symbols[i - 1] + piece, never)
+                if i < len(agenda):
+                    agenda[i] = get(piece + symbols[i + 1], never)
+        own = list(map(self.id.get, symbols))
+        if None not in own:
+            return own
+        return [x for s, i in zip(symbols, own) if s for x in ([i] if i is not None else [self.byte[b] for b in s.encode()])]
+
+    def _join_by_heap(self, symbols: list[str]) -> None:
+        """Joins in place; the right symbol of a pair is left empty."""
+        loss, n = self.loss, len(symbols)
         agenda = [(loss[p], i, p) for i, p in enumerate(map(str.__add__, symbols, symbols[1:])) if p in loss]
-        if agenda:
-            heapq.heapify(agenda)
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            while agenda:
-                _, i, piece = heapq.heappop(agenda)
-                j = after[i]
-                if j >= n or not symbols[i] or symbols[i] + symbols[j] != piece:
-                    continue  # one of the two has been joined elsewhere
-                symbols[i], symbols[j] = piece, ""
-                k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                    if (p := piece + symbols[k]) in loss:
-                        heapq.heappush(agenda, (loss[p], i, p))
-                k = before[i]
-                if k >= 0 and (p := symbols[k] + piece) in loss:
-                    heapq.heappush(agenda, (loss[p], k, p))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.id.get(s)
-                out += [i] if i is not None else [self.byte[b] for b in s.encode()]
-        return out
+        heapq.heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while agenda:
+            _, i, piece = heapq.heappop(agenda)
+            j = after[i]
+            if j >= n or not symbols[i] or symbols[i] + symbols[j] != piece:
+                continue  # one of the two has been joined elsewhere
+            symbols[i], symbols[j] = piece, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (p := piece + symbols[k]) in loss:
+                    heapq.heappush(agenda, (loss[p], i, p))
+            k = before[i]
+            if k >= 0 and (p := symbols[k] + piece) in loss:
+                heapq.heappush(agenda, (loss[p], k, p))
 
     def decode(self, ids) -> str:
         """The text of the ids as the library gives it: the space put before the text is taken away."""
@@ -113,7 +142,9 @@ class PieceEncoder:
 
     def __init__(self, vocabulary: PieceVocabulary, check: bool = True):
         self.vocabulary, self.check = vocabulary, check
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of chunks by key
+        self.before: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}  # ids of parts by their characters
 
     def chunks(self, text: str) -> list[str]:
         """Keys of the text's chunks: a plain word stands for itself with a space before it."""
@@ -142,32 +173,38 @@ class PieceEncoder:
         """All ids in a row, and the number of them up to each text's end."""
         split = [self.chunks(t) for t in texts]
         if len(self.known) > CACHED:
-            self.known = {}
-        known = self.known
+            self.known, self.before = {}, self.known  # frequent chunks come back from the older half
+        known, before = self.known, self.before
         found = [list(map(known.get, keys)) for keys in split]
         gaps = [k for k, parts in enumerate(found) if None in parts]
-        new = list({w for k in gaps for w, ids in zip(split[k], found[k]) if ids is None})
-        if new:
-            fresh = {w: np.array(self.vocabulary.merge(self.spelt(w)), np.int32).tobytes() for w in new}
-            if self.check:
-                self._compare(fresh)
-            known |= {w: ids for w, ids in fresh.items() if len(w) <= LONG}
-            for k in gaps:
-                found[k] = [fresh[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
+        new = {w: before.get(w) for k in gaps for w, ids in zip(split[k], found[k]) if ids is None}
+        parts = {w: self.vocabulary.parts(self.spelt(w)) for w, ids in new.items() if ids is None}
+        fresh = {s: self.ids.get(s) for own in parts.values() for s in own}
+        fresh |= (made := {s: array("i", self.vocabulary.merge(s)).tobytes() for s, ids in fresh.items() if ids is None})
+        if made and self.check:
+            self._compare(made)
+        if len(self.ids) > CACHED:
+            self.ids = {}
+        self.ids |= {s: ids for s, ids in made.items() if len(s) <= LONG}
+        new |= {w: b"".join(map(fresh.__getitem__, own)) for w, own in parts.items()}
+        known |= {w: ids for w, ids in new.items() if len(w) <= LONG}
+        for k in gaps:
+            found[k] = [new[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
         rows = [b"".join(parts) for parts in found]
         return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *map(len, rows)]) // 4
 
-    def _compare(self, fresh: dict[str, bytes]) -> None:
-        """The new chunks, one a line where line breaks part them, through the library."""
-        spelt = {w: s for w in fresh if (s := self.spelt(w)) and s != "\n"}
+    def _compare(self, made: dict[str, bytes]) -> None:
+        """The new parts, one a line where line breaks part them, through the library."""
+        alone = {s: ids for s, ids in made.items() if s != "\n"}
         if self.vocabulary.lines:
-            lead, line = (np.array(self.vocabulary.merge(s), np.int32).tobytes() for s in (SPACE, "\n"))
-            texts = ["".join("\n" + s for s in spelt.values()).replace(SPACE, " ")] if spelt else []
-            want = [lead + b"".join(line + fresh[w] for w in spelt)]
-        else:
-            texts, want = [s[1:].replace(SPACE, " ") for s in spelt.values()], [fresh[w] for w in spelt]
+            lead, line = (array("i", self.vocabulary.merge(s)).tobytes() for s in (SPACE, "\n"))
+            texts = ["".join("\n" + s for s in alone).replace(SPACE, " ")] if alone else []
+            want = [lead + b"".join(line + ids for ids in alone.values())]
+        else:  # only parts that begin with a space symbol are texts by themselves
+            alone = {s: ids for s, ids in alone.items() if s.startswith(SPACE)}
+            texts, want = [s[1:].replace(SPACE, " ") for s in alone], list(alone.values())
         for text, ids in zip(texts, want):
-            if np.array(self.vocabulary.library.encode(text), np.int32).tobytes() != ids:
+            if array("i", self.vocabulary.library.encode(text)).tobytes() != ids:
                 raise RuntimeError("the sentencepiece library gives other ids for these texts")
 
 
