@@ -14,6 +14,8 @@ in the same lane.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 from tabloom.functions.skew import skew_join
 from tabloom.llm.arrow import append, local_path, own, publish
 from tabloom.llm.bpe import Vocabulary, splitter
+from tabloom.llm.merging import WIDTHS, PairTable, merge_words
 from tabloom.llm.pieces import CACHED, LONG, PieceCodec, PieceEncoder
 from tabloom.sources.io import scratch
 
@@ -35,33 +38,77 @@ LINK = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.I
 
 
 class PlainBytes:
-    """Ids of a byte-level vocabulary for texts in which no string is special."""
+    """Ids of a byte-level vocabulary for texts in which no string is special; new words of a batch are merged together."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.split = vocabulary, splitter()
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         top = max(vocabulary.bytes_of) + 1
         self.raw = [vocabulary.bytes_of.get(i, b"") for i in range(top)]
         self.lengths = np.array([len(b) for b in self.raw], np.int64)
+        self.symbol = np.array(vocabulary.symbol, np.int32)
+        pairs = np.array(list(vocabulary.rank), np.int32).reshape(-1, 2)
+        ranks = np.fromiter(vocabulary.rank.values(), np.int32, len(pairs))
+        self.table = PairTable(pairs[:, 0], pairs[:, 1], ranks, np.array(vocabulary.made, np.int32)[ranks])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of them up to each text's end."""
         if len(self.known) > CACHED:
-            self.known = {}
-        known, rows = self.known, []
-        for text in texts:
-            words = self.split(text)
-            parts = list(map(known.get, words))
-            if None in parts:
-                for k, ids in enumerate(parts):
-                    if ids is None:
-                        word = words[k]
-                        parts[k] = known.get(word) or np.array(self.vocabulary.merge(word.encode()), np.int32).tobytes()
-                        if len(word) <= LONG:
-                            known[word] = parts[k]
-            rows.append(b"".join(parts))
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        split = [self.split(t) for t in texts]
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [k for k, parts in enumerate(found) if None in parts]
+        new = {w: before.get(w) for k in gaps for w, ids in zip(split[k], found[k]) if ids is None}
+        new |= self._ids_of([w for w, ids in new.items() if ids is None])
+        known |= {w: ids for w, ids in new.items() if len(w) <= LONG}
+        for k in gaps:
+            found[k] = [new[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
+        rows = [b"".join(parts) for parts in found]
         return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *map(len, rows)]) // 4
 
+    def _ids_of(self, words: list[str]) -> dict[str, bytes]:
+        raw = [w.encode() for w in words]
+        short = [k for k, b in enumerate(raw) if len(b) <= WIDTHS[-1]]
+        out = {words[k]: array("i", self.vocabulary.merge(b)).tobytes() for k, b in enumerate(raw) if len(b) > WIDTHS[-1]}
+        flat = self.symbol[np.frombuffer(b"".join(raw[k] for k in short), np.uint8)]
+        return out | cut_rows([words[k] for k in short], *merge_words(flat, np.array([len(raw[k]) for k in short], np.int64), self.table))
+
+
+class PlainPieces(PieceEncoder):
+    """The piece encoder with the new chunks of a batch merged together; pairs are all halves of pieces."""
+
+    def __init__(self, vocabulary):
+        super().__init__(vocabulary, check=False)
+        ids, losses = vocabulary.id, sorted(set(vocabulary.loss.values()))
+        place = {x: k for k, x in enumerate(losses)}
+        halves = [(ids[p[:k]], ids[p[k:]], place[vocabulary.loss[p]], i) for p, i in ids.items()
+                  for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+        self.table = PairTable(*np.array(halves, np.int64).reshape(-1, 4).T)
+        self.letters = np.full(0x110000, -1, np.int32)
+        single = [(ord(p), i) for p, i in ids.items() if len(p) == 1]
+        self.letters[[c for c, _ in single]] = [i for _, i in single]
+
+    def _ids_of(self, keys: list[str]) -> dict[str, bytes]:
+        spelt = [self.spelt(w) for w in keys]
+        short = [k for k, s in enumerate(spelt) if len(s) <= WIDTHS[-1]]
+        lengths = np.array([len(spelt[k]) for k in short], np.int64)
+        flat = self.letters[np.frombuffer("".join(spelt[k] for k in short).encode("utf-32-le"), np.uint32)]
+        # characters that are no piece become bytes, one by one
+        row = np.repeat(np.arange(len(short)), lengths)
+        odd = np.zeros(len(short), bool)
+        odd[row[flat < 0]] = True
+        plain = [k for k, o in zip(short, odd.tolist()) if not o]
+        done = set(plain)
+        out = {keys[k]: array("i", self.vocabulary.merge(s)).tobytes() for k, s in enumerate(spelt) if k not in done}
+        return out | cut_rows([keys[k] for k in plain], *merge_words(flat[~odd[row]], lengths[~odd], self.table))
+
+
+def cut_rows(names: list[str], flat: np.ndarray, lengths: np.ndarray) -> dict[str, bytes]:
+    data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(lengths)).tolist()
+    return {n: data[a:b] for n, a, b in zip(names, [0, *ends], ends)}
+
 
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, texts_a: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
     """For each token whether it ends a group, from the ends of all tokens of a batch.
@@ -180,7 +227,7 @@ def align(df: DataFrame, byte_file: str, piece_model: str, text: str = "text") -
         from pyspark.sql.pandas.types import to_arrow_type
 
         with open(local_path(vocabulary), "rb") as f:
-            aligner = Aligner(PlainBytes(Vocabulary(f.read())), load())
+            aligner = Aligner(PlainBytes(Vocabulary(f.read())), PlainPieces(load().vocabulary))
         kind = to_arrow_type(fields[-1][1])
 
         def work(texts):

@@ -178,7 +178,16 @@ class PieceEncoder:
         found = [list(map(known.get, keys)) for keys in split]
         gaps = [k for k, parts in enumerate(found) if None in parts]
         new = {w: before.get(w) for k in gaps for w, ids in zip(split[k], found[k]) if ids is None}
-        parts = {w: self.vocabulary.parts(self.spelt(w)) for w, ids in new.items() if ids is None}
+        new |= self._ids_of([w for w, ids in new.items() if ids is None])
+        known |= {w: ids for w, ids in new.items() if len(w) <= LONG}
+        for k in gaps:
+            found[k] = [new[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
+        rows = [b"".join(parts) for parts in found]
+        return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *map(len, rows)]) // 4
+
+    def _ids_of(self, keys: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not known, by key."""
+        parts = {w: self.vocabulary.parts(self.spelt(w)) for w in keys}
         fresh = {s: self.ids.get(s) for own in parts.values() for s in own}
         fresh |= (made := {s: array("i", self.vocabulary.merge(s)).tobytes() for s, ids in fresh.items() if ids is None})
         if made and self.check:
@@ -186,12 +195,7 @@ class PieceEncoder:
         if len(self.ids) > CACHED:
             self.ids = {}
         self.ids |= {s: ids for s, ids in made.items() if len(s) <= LONG}
-        new |= {w: b"".join(map(fresh.__getitem__, own)) for w, own in parts.items()}
-        known |= {w: ids for w, ids in new.items() if len(w) <= LONG}
-        for k in gaps:
-            found[k] = [new[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
-        rows = [b"".join(parts) for parts in found]
-        return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *map(len, rows)]) // 4
+        return {w: b"".join(map(fresh.__getitem__, own)) for w, own in parts.items()}
 
     def _compare(self, made: dict[str, bytes]) -> None:
         """The new parts, one a line where line breaks part them, through the library."""
