@@ -48,10 +48,10 @@ def union_sql(parts) -> str:
     return " UNION ALL ".join(parts)
 
 
-def counts_sql(c: str, value: str | None = None) -> str:
+def counts_sql(c: str, value: str | None = None, real: str = REAL, synth: str = SYNTH) -> str:
     """(value, r, s) of a column over both tables."""
     v = value or c
-    return f"(SELECT v, sum(r)::DOUBLE AS r, sum(s)::DOUBLE AS s FROM (SELECT {v} AS v, 1 AS r, 0 AS s FROM {REAL} UNION ALL SELECT {v}, 0, 1 FROM {SYNTH}) GROUP BY v)"
+    return f"(SELECT v, sum(r)::DOUBLE AS r, sum(s)::DOUBLE AS s FROM (SELECT {v} AS v, 1 AS r, 0 AS s FROM {real} UNION ALL SELECT {v}, 0, 1 FROM {synth}) GROUP BY v)"
 
 
 @query("chisq_stat", union_sql(f"""
@@ -97,13 +97,11 @@ def grid_sql(c: str) -> str:
     return f"least(9, greatest(0, floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 10)))::INTEGER"
 
 
-GRID_LIMITS = "(SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM) + f" FROM {REAL})"
-
-
-def kl_continuous_sql(a: str, b: str) -> str:
+def kl_continuous_sql(a: str, b: str, real: str = REAL, synth: str = SYNTH) -> str:
+    limits = "(SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM) + f" FROM {real})"
     cells = " UNION ALL ".join(
-        f"SELECT {grid_sql(a)} * 10 + {grid_sql(b)} AS cell, {rs} FROM {t}, {GRID_LIMITS}"
-        for t, rs in ((REAL, "1 AS r, 0 AS s"), (SYNTH, "0 AS r, 1 AS s")))
+        f"SELECT {grid_sql(a)} * 10 + {grid_sql(b)} AS cell, {rs} FROM {t}, {limits}"
+        for t, rs in ((real, "1 AS r, 0 AS s"), (synth, "0 AS r, 1 AS s")))
     return f"""SELECT '{a}' AS column_a, '{b}' AS column_b, sum(p * ln(p / q)) AS kl
 FROM (SELECT (r + 1e-5::DOUBLE) / sum(r + 1e-5::DOUBLE) OVER () AS p, (s + 1e-5::DOUBLE) / sum(s + 1e-5::DOUBLE) OVER () AS q
       FROM (SELECT g.cell, coalesce(sum(r), 0)::DOUBLE AS r, coalesce(sum(s), 0)::DOUBLE AS s
@@ -148,11 +146,11 @@ def svc_detection(spark, d):
     return learned.detection(*pair(spark, d), [*NUM, *CAT])
 
 
-def gower_numeric_sql(c: str) -> str:
+def gower_numeric_sql(c: str, counts: str | None = None) -> str:
     return f"""SELECT sum(coalesce(step, 0) * (f * (1 - g) + g * (1 - f)) / span) AS distance
 FROM (SELECT lead(v) OVER (ORDER BY v) - v AS step, max(v) OVER () - min(v) OVER () AS span,
    sum(r) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / sum(r) OVER () AS f,
-   sum(s) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS g FROM {counts_sql(c)})"""
+   sum(s) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) / sum(s) OVER () AS g FROM {counts or counts_sql(c)})"""
 
 
 def gower_category_sql(c: str) -> str:
@@ -198,6 +196,53 @@ def hist_compare_num(spark, d):
     return marginal.histogram_numeric(*pair(spark, d), NUM).withColumnRenamed("column", "column_name")
 
 
+# --- missing numbers written as NaN ---------------------------------------------
+
+HOLES = {"quantity": "3", "tax": "5"}
+
+
+def with_nan(spark, d):
+    """The same tables with NaN in two columns; the SQL has nulls there."""
+    return [t.withColumns({c: F.when(F.col("line") == v, F.lit(float("nan"))).otherwise(F.col(c)) for c, v in HOLES.items()})
+            for t in pair(spark, d)]
+
+
+REAL_GAPS, SYNTH_GAPS = ("(SELECT * REPLACE (" + ", ".join(f"CASE WHEN line = '{v}' THEN NULL ELSE {c} END AS {c}" for c, v in HOLES.items())
+                         + f") FROM {t})" for t in (REAL, SYNTH))
+
+
+def gap_counts(c: str) -> str:
+    return f"(SELECT * FROM {counts_sql(c, None, REAL_GAPS, SYNTH_GAPS)} WHERE v IS NOT NULL)"
+
+
+@query("ks_nan", union_sql(ks_sql(c, gap_counts(c)) for c in NUM))
+def ks_nan(spark, d):
+    return rounded_ks(marginal.ks(*with_nan(spark, d), NUM))
+
+
+@query("kl_nan", kl_rounded_sql(union_sql(kl_continuous_sql(a, b, REAL_GAPS, SYNTH_GAPS) for a, b in combinations(NUM, 2))))
+def kl_nan(spark, d):
+    return rounded_kl(pairwise.kl_continuous(*with_nan(spark, d), NUM))
+
+
+@query("gower_nan", f"SELECT {sql_r('avg(distance)')} AS gower FROM ({union_sql(gower_numeric_sql(c, gap_counts(c)) for c in NUM)})")
+def gower_nan(spark, d):
+    return distance.gower_mean(*with_nan(spark, d), NUM, []).select(r(F.col("gower")).alias("gower"))
+
+
+@query("corr_nan", f"SELECT column_a, column_b, {sql_r('corr')} AS corr FROM ({corr_sql(REAL_GAPS)})")
+def corr_nan(spark, d):
+    return pairwise.correlation(with_nan(spark, d)[0], NUM).withColumn("corr", r(F.col("corr")))
+
+
+@query("hist_nan", union_sql(f"""
+SELECT '{c}' AS column_name, '{name}' AS source, least(10, floor(({c} - lo) / (hi - lo) * 10) + 1)::INTEGER AS bin, count(*) AS n
+FROM {t}, (SELECT min({c}) AS lo, max({c}) AS hi FROM {t}) WHERE {c} IS NOT NULL GROUP BY bin"""
+    for c in NUM for name, t in (("real", REAL_GAPS), ("synthetic", SYNTH_GAPS))))
+def hist_nan(spark, d):
+    return marginal.histogram_numeric(*with_nan(spark, d), NUM).withColumnRenamed("column", "column_name")
+
+
 @query("hist_compare_cat", union_sql(
     f"SELECT '{c}' AS column_name, v AS value, r::BIGINT AS real, s::BIGINT AS synthetic FROM {counts_sql(c)}" for c in CAT))
 def hist_compare_cat(spark, d):

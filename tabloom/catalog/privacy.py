@@ -10,6 +10,8 @@ from tabloom.functions.order import linear_recurrence
 from tabloom.privacy import accountant as A
 from tabloom.privacy import clip as K
 from tabloom.privacy import sampling as S
+from tabloom.privacy.ledger import StoredLedger
+from tabloom.sources.io import scratch
 
 from .base import given_u, load, query, r, sql_r, sql_u
 from .encoders import sql_ppf
@@ -118,6 +120,25 @@ def eps_spent(spark, d):
     return A.privacy_spent(curve, ["dataset"], DELTA).withColumn("epsilon", r(F.col("epsilon")))
 
 
+# two sessions extend one stored ledger, and one of them repeats a commit
+@query("ledger_stored", f"""
+SELECT x.dataset, {sql_r('epsilon')} AS epsilon, best_alpha, steps::BIGINT AS steps
+FROM (SELECT dataset, min(eps) AS epsilon, arg_min(alpha, eps) AS best_alpha
+      FROM (SELECT dataset, alpha, {EPS} AS eps FROM (SELECT dataset, alpha, sum(rdp) AS rdp FROM {CURVE} GROUP BY ALL)) GROUP BY dataset) x
+JOIN (SELECT dataset, sum(steps) AS steps FROM {LEDGER} GROUP BY dataset) y USING (dataset)""")
+def ledger_stored(spark, d):
+    path = scratch(spark, "ledger")
+    for s in (spark, spark.newSession()):
+        rows = ledger(s, d)
+        part = F.pmod(F.xxhash64("dataset", "q", "sigma"), F.lit(3))
+        kept = StoredLedger(s, path)
+        kept.commit("run-0", rows.where(part == 0))
+        kept.commit("run-1", rows.where(part == 1))
+    kept.commit("run-2", rows.where(part == 2))
+    both = StoredLedger(spark, path)
+    return both.spent(DELTA).join(both.steps(), "dataset").withColumn("epsilon", r(F.col("epsilon")))
+
+
 RUNS = f"(SELECT DISTINCT q, sigma, steps AS epochs, (steps * ceil(1 / q))::BIGINT AS steps FROM {LEDGER})"
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators.categorical import OneHotEncoder
+from tabloom.operators.fields import DatePartsEncoder, JointEncoder
 from tabloom.operators.mixture import MixtureEncoder
 from tabloom.operators.shape import block_order, project
+from tabloom.operators.store import load_encoder, save_encoder
 from tabloom.operators.table import TableEncoder, infer_types
 from tabloom.plans.flat import FlatEncoder
 from tabloom.roles import ColumnRoles
+from tabloom.sources.io import scratch
 
 from .base import LINE_NUMERIC, load, query, r, sql_r
 from .encoders import GAPS, ID, IDS, MIXTURE, gaps, state
@@ -189,3 +192,76 @@ SELECT {', '.join(ROW_ID)}, {', '.join(CLINICAL.categorical)}, l_quantity, l_tax
 def metric_view(spark, d):
     df = clinical_rows(spark, d)
     return FlatEncoder(CLINICAL, "standard", keep=tuple(ROW_ID)).fit(df).metric_view(df)
+
+
+# --- saved encoders, wide one-hots, fields of several columns --------------------
+
+# orders and parts as text: more categories than one-hot columns, or than literals
+WIDE_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey::VARCHAR AS order_text, l_partkey::VARCHAR AS part_text, l_returnflag, l_quantity, l_shipdate"
+WIDE_ROLES = ColumnRoles(categorical=("order_text", "part_text", "l_returnflag"), continuous=("l_quantity",), datetime=("l_shipdate",))
+WIDE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey")
+
+
+def wide_rows(spark, d):
+    return load(spark, d, "lineitem").select(
+        *WIDE_KEYS, F.col("l_orderkey").cast("string").alias("order_text"), F.col("l_partkey").cast("string").alias("part_text"),
+        "l_returnflag", "l_quantity", "l_shipdate")
+
+
+@query("encoder_roundtrip", f"{WIDE_SQL} FROM lineitem")
+def encoder_roundtrip(spark, d):
+    df = wide_rows(spark, d)
+    path = scratch(spark, "encoder")
+    save_encoder(spark, FlatEncoder(WIDE_ROLES, "standard", keep=WIDE_KEYS).fit(df), path)
+    other = spark.newSession()
+    e = load_encoder(other, path)
+    out = e.decode(e.encode(wide_rows(other, d)))
+    day = F.date_trunc("day", F.col("l_shipdate") + F.expr("INTERVAL 1 HOUR")).cast("timestamp_ntz")
+    return out.withColumns({"l_quantity": F.round("l_quantity", 6), "l_shipdate": day})
+
+
+@query("onehot_wide", """
+WITH k AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i FROM (SELECT DISTINCT l_orderkey::VARCHAR AS p FROM lineitem))
+SELECT l_orderkey, l_linenumber, l_partkey, i::INTEGER AS position, 1.0::DOUBLE AS value, p AS order_text
+FROM lineitem JOIN k ON k.p = l_orderkey::VARCHAR""")
+def onehot_wide(spark, d):
+    df = wide_rows(spark, d).select(*WIDE_KEYS, "order_text")
+    e = OneHotEncoder(limit=100).fit(df, "order_text")
+    encoded = e.transform(df, "order_text")
+    cell = F.get("order_text__value", 0)
+    kept = encoded.withColumns({"position": cell["i"], "value": cell["v"]})
+    return e.decode(kept, "order_text", "order_text").drop("order_text__value")
+
+
+FIELD_SQL = """(SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, nullif(l_linestatus, 'F') AS l_linestatus,
+ year(l_shipdate)::INTEGER AS y, month(l_shipdate)::INTEGER AS m, day(l_shipdate)::INTEGER AS d FROM lineitem)"""
+
+
+def field_rows(spark, d):
+    return load(spark, d, "lineitem").select(
+        *WIDE_KEYS, "l_returnflag", F.nullif("l_linestatus", F.lit("F")).alias("l_linestatus"),
+        F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.dayofmonth("l_shipdate").alias("d"))
+
+
+def field_encoder() -> TableEncoder:
+    return TableEncoder({("l_returnflag", "l_linestatus"): JointEncoder(), ("y", "m", "d"): DatePartsEncoder()}, keep=WIDE_KEYS)
+
+
+@query("field_transform", f"""
+WITH i AS (SELECT l_returnflag AS f, l_linestatus AS s, (2 * cum - n)::DOUBLE / (2 * total) AS mid FROM (
+   SELECT l_returnflag, l_linestatus, count(*) AS n, sum(count(*)) OVER () AS total, sum(count(*)) OVER (
+     ORDER BY count(*) DESC, l_returnflag, l_linestatus NULLS LAST ROWS UNBOUNDED PRECEDING) AS cum FROM {FIELD_SQL} GROUP BY ALL))
+SELECT l_orderkey, l_linenumber, l_partkey, {sql_r('mid', 9)} AS pair, (epoch_us(make_date(y, m, d)) / 86400000000)::BIGINT AS day
+FROM {FIELD_SQL} x JOIN i ON x.l_returnflag = i.f AND x.l_linestatus IS NOT DISTINCT FROM i.s""")
+def field_transform(spark, d):
+    df = field_rows(spark, d)
+    out = field_encoder().fit_transform(df)
+    return out.select(*WIDE_KEYS, r(F.col("`l_returnflag#l_linestatus__value__value`"), 9).alias("pair"),
+                      (F.col("`y#m#d__value__value`") / 86_400_000_000).cast("bigint").alias("day"))
+
+
+@query("field_roundtrip", f"SELECT * FROM {FIELD_SQL}")
+def field_roundtrip(spark, d):
+    df = field_rows(spark, d)
+    t = field_encoder().fit(df)
+    return t.reverse_transform(t.transform(df))

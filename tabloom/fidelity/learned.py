@@ -8,16 +8,18 @@ from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.marginal import numeric_view
+from tabloom.functions.order import numbered
 from tabloom.functions.scalar import col, literal_array
 from tabloom.operators.categorical import LabelEncoder, OneHotEncoder
 from tabloom.operators.encoder import fit_all
 from tabloom.operators.numeric import StandardEncoder
-from pyspark.ml.functions import vector_to_array
+from tabloom.session import checkpoint
 
 FOLDS = 3
 
@@ -57,15 +59,17 @@ def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, columns: list[
     """Mean log-likelihood of synthetic rows under the best mixture (by BIC) of the real ones."""
     a, b = _scaled(real, [synthetic], columns)
     a = a.persist()
-    rows, d = a.count(), len(columns)
-    best = None
-    for k in components:
-        model = GaussianMixture(k=k, maxIter=iterations, seed=seed).fit(a)
-        free = k - 1 + k * d + k * d * (d + 1) / 2
-        bic = free * math.log(rows) - 2 * model.summary.logLikelihood
-        if best is None or bic < best[0]:
-            best = (bic, k, model)
-    a.unpersist()
+    try:
+        rows, d = a.count(), len(columns)
+        best = None
+        for k in components:
+            model = GaussianMixture(k=k, maxIter=iterations, seed=seed).fit(a)
+            free = k - 1 + k * d + k * d * (d + 1) / 2
+            bic = free * math.log(rows) - 2 * model.summary.logLikelihood
+            if best is None or bic < best[0]:
+                best = (bic, k, model)
+    finally:
+        a.unpersist()
     bic, k, model = best
     gaussians = [(g.mean.toArray(), g.cov.toArray()) for g in model.gaussians]
     logs = b.select(vector_to_array("features").alias("x")).select(_log_density(model.weights, gaussians).alias("l"))
@@ -75,17 +79,24 @@ def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, columns: list[
 
 
 def detection(real: DataFrame, synthetic: DataFrame, columns: list[str], iterations: int = 10) -> DataFrame:
-    """Score 1 - (2 max(AUC, 1/2) - 1) of a classifier that tells the tables apart, per fold."""
-    a, b = numeric_view(real, synthetic, columns)
-    both = a.withColumn("label", F.lit(1.0)).unionByName(b.withColumn("label", F.lit(0.0)))
-    folded = both.withColumn("fold", F.pmod(F.xxhash64(*[col(c) for c in columns]), F.lit(FOLDS)))
-    scaled = _scaled(folded, [], columns, ["label", "fold"])[0].persist()
+    """Score 1 - (2 max(AUC, 1/2) - 1) of a classifier that tells the tables apart, per fold.
+
+    A fold holds the same share of each table's rows, so both sides of every
+    split hold both tables. There are as many folds as the smaller table has
+    rows where these are fewer than ``FOLDS``, and none below two rows.
+    """
+    numbers = [numbered(t, "fold") for t in numeric_view(real, synthetic, columns)]
+    folds = min(FOLDS, *[t.count() for t in numbers])
     rows = []
-    for k in range(FOLDS):
-        model = LinearSVC(maxIter=iterations, regParam=0.01).fit(scaled.where(F.col("fold") != k))
-        auc = BinaryClassificationEvaluator().evaluate(model.transform(scaled.where(F.col("fold") == k)))
-        rows.append((k, float(auc), float(1 - (2 * max(auc, 0.5) - 1))))
-    scaled.unpersist()
+    if folds > 1:
+        both = numbers[0].withColumn("label", F.lit(1.0)).unionByName(numbers[1].withColumn("label", F.lit(0.0)))
+        folded = both.withColumn("fold", F.pmod("fold", F.lit(folds)))
+        # written once: the classifier and its folds read the vectors many times
+        scaled = checkpoint(_scaled(folded, [], columns, ["label", "fold"])[0])
+        for k in range(folds):
+            model = LinearSVC(maxIter=iterations, regParam=0.01).fit(scaled.where(F.col("fold") != k))
+            auc = BinaryClassificationEvaluator().evaluate(model.transform(scaled.where(F.col("fold") == k)))
+            rows.append((k, float(auc), float(1 - (2 * max(auc, 0.5) - 1))))
     return real.sparkSession.createDataFrame(rows, "fold int, auc double, score double")
 
 

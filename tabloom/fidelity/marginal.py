@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.pair import category_counts, cumulative, with_totals
-from tabloom.functions.scalar import col
+from tabloom.functions.scalar import col, nan_to_null
 from tabloom.operators.table import TableEncoder
 
 HISTOGRAM_BINS = 10
@@ -69,7 +69,7 @@ def numeric_view(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> t
 
     def apply(df):
         given = [col(c).isNotNull().alias(f"_given_{i}") for i, c in enumerate(columns)]
-        out = encoder.transform(df.select(*[col(c) for c in columns], *given))
+        out = encoder.transform(nan_to_null(df).select(*[col(c) for c in columns], *given))
         return out.select(*[F.when(F.col(f"_given_{i}"), F.coalesce(col(f"{c}__value"), F.lit(UNSEEN))).alias(c)
                             for i, c in enumerate(columns)])
     return apply(real), apply(synthetic)
@@ -83,6 +83,7 @@ def ks_extended(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> Da
 def histogram_numeric(real: DataFrame, synthetic: DataFrame, columns: list[str], bins: int = HISTOGRAM_BINS) -> DataFrame:
     """(column, source, bin, n): equal bins over each table's own range, last bin closed."""
     def one(df, source):
+        df = nan_to_null(df)
         limits = df.agg(*[a for i, c in enumerate(columns) for a in (
             F.min(col(c).cast("double")).alias(f"lo{i}"), F.max(col(c).cast("double")).alias(f"hi{i}"))]).first()
         items = []

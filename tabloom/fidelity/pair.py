@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.order import long_values, quantile_edges, running_totals
-from tabloom.functions.scalar import col
+from tabloom.functions.scalar import col, nan_to_null
 from tabloom.session import checkpoint
 
 
 def tagged(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
-    """Both tables with counters: r is 1 on real rows, s is 1 on synthetic rows."""
+    """Both tables with counters: r is 1 on real rows, s is 1 on synthetic rows. NaN is a missing value."""
     def mark(df, r, s):
-        return df.select(*[col(c) for c in columns], F.lit(r).cast("bigint").alias("r"), F.lit(s).cast("bigint").alias("s"))
+        return nan_to_null(df.select(*[col(c) for c in columns])).select("*", F.lit(r).cast("bigint").alias("r"), F.lit(s).cast("bigint").alias("s"))
     return mark(real, 1, 0).unionByName(mark(synthetic, 0, 1))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.pair import column_pairs, smoothed_kl, tagged
-from tabloom.functions.scalar import clip, col
+from tabloom.functions.scalar import clip, col, literal_array, nan_to_null
 
 SMOOTHING = 1e-5
 CELLS_PER_SIDE = 10
@@ -18,7 +22,7 @@ def kl_continuous(real: DataFrame, synthetic: DataFrame, columns: list[str]) ->
     A row becomes one cell number per pair; map tasks reduce them to at most
     100 cells per pair before anything is shuffled.
     """
-    limits = real.agg(*[a for i, c in enumerate(columns) for a in (
+    limits = nan_to_null(real).agg(*[a for i, c in enumerate(columns) for a in (
         F.min(col(c).cast("double")).alias(f"lo{i}"), F.max(col(c).cast("double")).alias(f"hi{i}"))]).first()
     both = tagged(real, synthetic, columns)
     bins = []
@@ -52,19 +56,50 @@ def kl_discrete(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> Da
     return kl.withColumn("score", 1 / (1 + F.col("kl")))
 
 
+def pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(i, n, sx, sy, sxx, syy, sxy): for column i against every column, arrays over the rows in which both are given.
+
+    One pass: a task multiplies blocks of rows into matrices and hands on one
+    row a column, and these are summed. Values are taken from a value of their
+    column, so that sums of squares keep their digits.
+    """
+    d = len(columns)
+    numbers = nan_to_null(df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
+    origin = numbers.agg(*[F.first(f"x{i}", ignorenulls=True).alias(f"x{i}") for i in range(d)]).first()
+    base = np.array([0.0 if v is None else v for v in origin])
+    base[~np.isfinite(base)] = 0.0
+
+    def run(batches):
+        total = np.zeros((6, d, d))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - base
+            given = ~np.isnan(x)
+            x[~given] = 0.0
+            m, square = given.astype(float), x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, square.T @ m, m.T @ square, x.T @ x])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(d), pa.int32()), pa.array(np.moveaxis(total, 1, 0).reshape(d, 6 * d).tolist(), pa.list_(pa.float64()))],
+            names=["i", "s"])
+
+    parts = numbers.mapInArrow(run, "i int, s array<double>").select("i", array_to_vector("s").alias("s"))
+    summed = parts.groupBy("i").agg(vector_to_array(Summarizer.metrics("sum").summary(F.col("s")).getField("sum")).alias("s"))
+    return summed.select("i", *[F.slice("s", k * d + 1, d).alias(n) for k, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))])
+
+
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column_a, column_b, corr) for every ordered pair, in one aggregate.
+    """(column_a, column_b, corr) for every ordered pair, from one pass over the table.
 
-    A constant column has no correlation (null).
+    A pair counts the rows in which both columns are given. A constant column
+    has no correlation (null).
     """
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    wide = df.agg(*[F.corr(col(columns[i]).cast("double"), col(columns[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs])
-    items = []
-    for i, j in pairs:
-        value = F.when(~F.isnan(F.col(f"c{i}_{j}")), F.col(f"c{i}_{j}")).alias("corr")
-        for a, b in {(i, j), (j, i)}:
-            items.append(F.struct(F.lit(columns[a]).alias("column_a"), F.lit(columns[b]).alias("column_b"), value))
-    return wide.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    names = literal_array(columns, "string")
+    sums = pair_sums(df, columns).select("i", F.posexplode(F.arrays_zip("n", "sx", "sy", "sxx", "syy", "sxy")).alias("j", "p"))
+    n, sx, sy = F.col("p.n"), F.col("p.sx"), F.col("p.sy")
+    vx, vy = F.col("p.sxx") - sx * sx / n, F.col("p.syy") - sy * sy / n
+    cov = F.col("p.sxy") - sx * sy / n
+    same = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(cov / F.sqrt(vx * vy))
+    value = F.when((n > 0) & (vx > 0) & (vy > 0), same)
+    return sums.select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), value.alias("corr"))
 
 
 def correlation_difference(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,49 @@ def _widen(v, sign: int):
     return max(-2**63, min(2**63 - 1, v + sign * ((abs(v) >> 50) + 1)))
 
 
+TOP_LIMIT = 100_000  # rows that one task sorts
+
+
+def top_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """Exactly the first ``n`` rows in the order of keys of any type and direction, or all where there are fewer.
+
+    Rows are dealt to blocks by ranges of the whole key; counts say which blocks
+    are in, and only the block at the border is cut, again by ranges where it is
+    large. So no task holds more than a block, whatever ``n`` is. Rows with
+    equal keys are told apart by a hash of their content.
+    """
+    by = [col(o) for o in order]
+    if n <= TOP_LIMIT:
+        return df.orderBy(*by).limit(n)
+    names, tie = df.columns, "_tie"
+    rows, taken = df.withColumn(tie, F.xxhash64(*[col(c) for c in names])), []
+    parts = max(2, block_count(df))
+    while n > 0:
+        ranged = ordered_blocks(rows, [*by, F.col(tie)], parts)
+        counts = {r["blk"]: r["count"] for r in ranged.groupBy("blk").count().collect()}  # a row a block
+        inside, border = [], None
+        for b in sorted(counts):
+            if counts[b] > n:
+                border = b
+                break
+            inside.append(b)
+            n -= counts[b]
+        taken.append(ranged.where(F.col("blk") <= (inside[-1] if inside else -1)).drop("blk"))
+        if border is None or n == 0:
+            break
+        rest = ranged.where(F.col("blk") == border).drop("blk")
+        if counts[border] <= TOP_LIMIT:
+            taken.append(rest.orderBy(*by, tie).limit(n))
+            break
+        if len(counts) == 1:  # ranges cannot part the rows any more
+            same = rest.select(tie).distinct().limit(2).count() == 1
+            taken.append(numbered(rest, "_number").where(F.col("_number") < n).drop("_number") if same
+                         else rest.orderBy(*by, tie).limit(n))
+            break
+        rows = rest
+    return reduce(DataFrame.unionByName, taken).select(*[col(c) for c in names]) if taken else df.limit(0)
+
+
 def running_totals(counts: DataFrame, group: list[str], block: str, order: list[Column],
                    measures: list[str], next_of: str | None = None) -> DataFrame:
     """Inclusive running sums of ``measures`` in ``order`` within ``group``.
@@ -155,6 +199,59 @@ def ordered_blocks(df: DataFrame, order: list[Column], blocks: int | None = None
     return checkpoint(df.repartitionByRange(parts, *order).withColumn("blk", F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """Rows numbered from 0, from a count per written partition and the offsets of the partitions.
+
+    The rows are written once, so a retried task gives the same numbers.
+    """
+    from tabloom.session import checkpoint
+
+    held = checkpoint(df.withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = held.join(F.broadcast(offsets), part == F.col("_part"))
+    return joined.select(*[col(c) for c in df.columns], (F.col("_before") + place).alias(out))
+
+
+SCAN_BLOCK = 256
+
+
+def decayed_sums(y: np.ndarray, decay: float, block: int = SCAN_BLOCK) -> np.ndarray:
+    """t_i = y_i + decay * t_(i-1) from zero, by blocks: each block times a triangle of decay powers,
+    and the blocks' carries by the same scan with the decay of a whole block."""
+    n = len(y)
+    if n == 0:
+        return y.astype(float)
+    size = min(block, n)
+    back = np.arange(size)[:, None] - np.arange(size)
+    triangle = np.where(back >= 0, np.power(float(decay), np.maximum(back, 0)), 0.0)
+    if n <= block:
+        return triangle @ y
+    rows = np.zeros(-(-n // size) * size)
+    rows[:n] = y
+    inner = rows.reshape(-1, size) @ triangle.T
+    carry = decayed_sums(inner[:-1, -1], decay**size, block)
+    inner[1:] += np.power(float(decay), np.arange(1, size + 1)) * carry[:, None]
+    return inner.reshape(-1)[:n]
+
+
+def segmented_sums(y: np.ndarray, starts: np.ndarray, decay: float) -> np.ndarray:
+    """``decayed_sums`` of the stretches that begin at ``starts``: long ones by blocks, short ones all at once by place."""
+    out = y.astype(float).copy()
+    ends = np.append(starts[1:], len(y))
+    sizes = ends - starts
+    for a, b in zip(starts[sizes > SCAN_BLOCK], ends[sizes > SCAN_BLOCK]):
+        out[a:b] = decayed_sums(out[a:b], decay)
+    short = starts[sizes <= SCAN_BLOCK]
+    left = sizes[sizes <= SCAN_BLOCK]
+    for place in range(1, int(left.max(initial=1))):
+        short, left = short[left > place], left[left > place]
+        out[short + place] += decay * out[short + place - 1]
+    return out
+
+
 def linear_recurrence(df: DataFrame, series: list[str], order: list[str], value: str, decay: float,
                       start: float, out: str) -> DataFrame:
     """t_i = (1 - decay) * x_i + decay * t_(i-1) per series in order, t_0 = ``start``.
@@ -172,19 +269,28 @@ def linear_recurrence(df: DataFrame, series: list[str], order: list[str], value:
     keys = [c for c in df.columns]
 
     def scan(batches):
-        part, current, t, steps = TaskContext.get().partitionId(), None, 0.0, 0
+        part, last, t, steps = TaskContext.get().partitionId(), None, 0.0, 0
         for pdf in batches:
-            ids = list(zip(*[pdf[s] for s in series])) if len(pdf) else []
-            locals_, counts = [], []
-            for sid, x in zip(ids, pdf[value].tolist()):
-                if sid != current:
-                    current, t, steps = sid, 0.0, 0
-                t = (1 - decay) * x + decay * t
-                steps += 1
-                locals_.append(t)
-                counts.append(steps)
-            yield pdf.assign(_t=pd.Series(locals_, index=pdf.index, dtype="float64"),
-                             _k=pd.Series(counts, index=pdf.index, dtype="int64"), blk=part)
+            n = len(pdf)
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for c in series:  # nulls are equal to each other
+                codes = pd.factorize(pdf[c])[0]
+                new[1:] |= codes[1:] != codes[:-1]
+            first = tuple(None if pd.isna(v) else v for v in pdf[series].iloc[0])
+            new[0] = first != last
+            goes_on = not new[0]
+            starts = np.unique(np.append(0, np.flatnonzero(new)))
+            y = (1 - decay) * pdf[value].to_numpy(float)
+            if goes_on:
+                y[0] += decay * t
+            made = segmented_sums(y, starts, decay)
+            count = np.arange(1, n + 1) - np.repeat(starts, np.diff(np.append(starts, n)))
+            if goes_on:
+                count[:starts[1] if len(starts) > 1 else n] += steps
+            last, t, steps = tuple(None if pd.isna(v) else v for v in pdf[series].iloc[-1]), float(made[-1]), int(count[-1])
+            yield pdf.assign(_t=made, _k=count, blk=part)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _t double, _k bigint, blk int"
     parts = df.repartitionByRange(block_count(df), *[col(c) for c in (*series, *order)])

@@ -22,7 +22,8 @@ CASE_LIMIT = 32           # categories spelled out as CASE branches
 LITERAL_LIMIT = 5_000     # categories kept on the driver and in literals
 WINDOW_LIMIT = 100_000    # categories ordered inside one task
 CELLS = 1 << 20           # cells of [0, 1] for the distributed interval search
-ONEHOT_LIMIT = 1_000
+ONEHOT_LIMIT = 1_000      # categories with a column each; more share one sparse column
+SPARSE = "array<struct<i: int, v: double>>"
 
 
 def interval_table(counts: DataFrame, total: int, size: int) -> DataFrame:
@@ -91,6 +92,7 @@ class CategoricalEncoder(ColumnEncoder):
     """
 
     input_type = "categorical"
+    value_counts = True
 
     def __init__(self, fuzzy: bool = False, clip_values: bool = False, lookup_by: str = "nearest",
                  keys: list[str] | None = None, seed: int = 0, u: Column | None = None):
@@ -107,7 +109,7 @@ class CategoricalEncoder(ColumnEncoder):
         self.dtype, self.total, self.about = dtype, stats["rows"], stats["distinct"] + 1
 
     def extra_fit(self, df, column):
-        counts = count_values(df, column)
+        counts = count_values(df, column) if self.counts is None else self.counts
         table = interval_table(counts, max(1, self.total), self.about)
         if self.about <= LITERAL_LIMIT:
             rows = sorted(table.collect(), key=lambda r: r["start"])
@@ -188,9 +190,12 @@ class OneHotEncoder(ColumnEncoder):
     """One 0/1 column per category, the null column last.
 
     Categories are ordered by first appearance along ``order`` or by value, or
-    given as ``categories``.
+    given as ``categories``. A column with more than ``limit`` of them gets one
+    sparse output instead (see :class:`SparseOneHotEncoder`).
     """
 
+    wide: SparseOneHotEncoder | None = None
+
     input_type = "categorical"
 
     def __init__(self, order: str | None = None, error_on_unknown: bool = False, limit: int = ONEHOT_LIMIT,
@@ -211,15 +216,25 @@ class OneHotEncoder(ColumnEncoder):
         key = F.min(col(self.order)) if self.order else F.min(col(column))
         seen = (df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(key.alias("k"))
                 .orderBy("k", "value").limit(self.limit + 1).collect())
+        self.wide = None
         if len(seen) > self.limit:
-            raise ValueError(f"column {column!r} has more than {self.limit} categories; "
-                             "use the label or interval encoder instead of one-hot")
+            self.wide = SparseOneHotEncoder(self.order, self.error_on_unknown)
+            self.wide.fit(df, column)
+            return
         self.categories = [r["value"] for r in seen]
 
+    @property
+    def width(self) -> int:
+        return self.wide.width if self.wide else len(self.categories) + self.has_null
+
     def get_output_types(self):
+        if self.wide:
+            return self.wide.get_output_types()
         return {f"value{i}": "float" for i in range(len(self.categories) + self.has_null)}
 
     def encode(self, df, column, prefix):
+        if self.wide:
+            return self.wide.encode(df, column, prefix)
         c = col(column)
         hits = [(c.eqNullSafe(F.lit(v))).cast("int") for v in self.categories]
         if self.has_null:
@@ -231,6 +246,8 @@ class OneHotEncoder(ColumnEncoder):
         return df.select("*", *[h.alias(f"{prefix}__value{i}") for i, h in enumerate(hits)])
 
     def decode(self, df, prefix, column):
+        if self.wide:
+            return self.wide.decode(df, prefix, column)
         blocks = F.array(*[col(c).cast("double") for c in self.output_columns(prefix)])
         place = F.array_position(blocks, F.array_max(blocks)).cast("int")
         values = [F.lit(v).cast(self.dtype) for v in self.categories]
@@ -293,6 +310,10 @@ class LabelEncoder(ColumnEncoder):
 
     def decode(self, df, prefix, column):
         code = F.rint(clip(col(f"{prefix}__value").cast("double"), 0.0, float(self.cats.size - 1))).cast("bigint")
+        return self.named(df, code, column)
+
+    def named(self, df: DataFrame, code: Column, column: str) -> DataFrame:
+        """``column`` with the values of the codes; a null code is a null value."""
         if self.cats.small:
             values = literal_array([r["value"] for r in self.cats.rows], "string")
             return append(df, F.get(values, code.cast("int")).cast(self.dtype), column)
@@ -300,3 +321,63 @@ class LabelEncoder(ColumnEncoder):
         table = self.cats.table.select("code", F.col("value").alias("_value"))
         joined = skew_join(coded, table, ["code"], how="left")
         return joined.withColumn(column, F.col("_value").cast(self.dtype)).drop("code", "_value")
+
+
+@register("one_hot_sparse")
+class SparseOneHotEncoder(LabelEncoder):
+    """All categories in one output: the positions that are not zero, with their values.
+
+    The dictionary of positions is a table, joined in both directions, so any
+    number of categories fits; null is the last of them. An unknown value has no
+    position. Reverse takes the position with the largest value, the first of
+    equal ones; an output without positions means the first category, as a row
+    of zeros does in the dense form.
+    """
+
+    output_types = {"value": "sparse"}
+
+    def __init__(self, order: str | None = None, error_on_unknown: bool = False):
+        super().__init__(order)
+        self.error_on_unknown = error_on_unknown
+
+    @property
+    def width(self) -> int:
+        return self.cats.size
+
+    def encode(self, df, column, prefix):
+        out = f"{prefix}__value"
+        code = col(out)
+        none = F.array().cast(SPARSE)
+        if self.error_on_unknown:
+            none = F.raise_error(F.lit(f"unknown category in {column}")).cast(SPARSE)
+        one = F.array(F.struct(code.cast("int").alias("i"), F.lit(1.0).alias("v")))
+        return super().encode(df, column, prefix).withColumn(out, F.when(code.isNull(), none).otherwise(one))
+
+    def decode(self, df, prefix, column):
+        out = col(f"{prefix}__value")
+        best = F.array_max(F.transform(out, lambda x: F.struct(x["v"].alias("v"), (-x["i"]).alias("i"))))
+        code = F.when(out.isNotNull(), F.coalesce(clip(-best["i"], 0, self.width - 1), F.lit(0)).cast("bigint"))
+        return self.named(df, code, column)
+
+
+def sparse_to_dense(value: Column, width: int) -> Column:
+    """The array of all positions of a sparse output."""
+    known = F.map_from_entries(value)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(known, i), F.lit(0.0)))
+
+
+def dense_to_sparse(values: Column) -> Column:
+    """The positions of an array that are not zero."""
+    cells = F.transform(values, lambda x, i: F.struct(i.cast("int").alias("i"), x.cast("double").alias("v")))
+    return F.filter(cells, lambda c: c["v"] != 0)
+
+
+def sparse_vectors(df: DataFrame, value: str, width: int, out: str) -> DataFrame:
+    """A sparse one-hot output as a sparse vector for ``pyspark.ml``, made in the JVM; all zeros where there is no position."""
+    from pyspark.ml.feature import OneHotEncoder as Vectors
+
+    # the category after the last one stands for none; without it the vector is empty there
+    ends = df.sparkSession.range(width, width + 1).select(F.col("id").cast("double").alias("_at"))
+    model = Vectors(inputCols=["_at"], outputCols=[out], dropLast=True).fit(ends)
+    at = F.coalesce(F.get(col(value), 0)["i"], F.lit(width)).cast("double")
+    return model.transform(df.withColumn("_at", at)).drop("_at")

@@ -11,13 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.order import exact_order_statistics
+from tabloom.functions.order import exact_order_statistics, top_rows
 from tabloom.functions.scalar import col
 from tabloom.session import checkpoint
 
 HEAD_LIMIT = 1000  # largest n that Spark limits before the shuffle (its default threshold)
 HEAD_SALTS = 64
-TRIM_LIMIT = 100_000
 
 
 def _ordering(order: list[str | Column]) -> list[Column]:
@@ -84,24 +83,8 @@ def append_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def trim_to(df: DataFrame, n: int, order: list[str | Column]) -> DataFrame:
-    """Exactly the first ``n`` rows in order.
-
-    A large n along one numeric column becomes a filter up to the n-th value
-    (an exact order statistic), so the rows are not gathered in one task. Nulls
-    come first, as in any ascending order, and of the rows that share the last
-    value only as many as are needed.
-    """
-    if n > TRIM_LIMIT and len(order) == 1 and isinstance(order[0], str):
-        if df.limit(n).count() < n:
-            return df
-        c = col(order[0])
-        nulls = df.where(c.isNull()).count()
-        if nulls >= n:
-            return df.where(c.isNull()).limit(n)
-        border = exact_order_statistics(df.where(c.isNotNull()), order[0], [n - nulls])[n - nulls]
-        below = df.where(c.isNull() | (c < F.lit(border)))
-        return below.union(df.where(c == F.lit(border)).limit(n - below.count()))
-    return df.orderBy(*_ordering(order)).limit(n)
+    """Exactly the first ``n`` rows in order, which may have several keys and directions. Nulls come first in ascending order."""
+    return top_rows(df, order, n)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

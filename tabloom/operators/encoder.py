@@ -49,8 +49,10 @@ class ColumnEncoder(ABC):
     reverse_deterministic = True
     composition_identity = True
 
+    value_counts = False  # whether ``extra_fit`` uses (value, n) of the column, null as a value
     fitted = False
     source_type = ""
+    counts: DataFrame | None = None
 
     # fitting ---------------------------------------------------------------
     def fit_aggs(self, c: Column) -> dict[str, Column]:
@@ -115,42 +117,88 @@ class ColumnEncoder(ABC):
         return out.drop(*[o for o in outputs if o != column]) if drop else out
 
 
-def free_prefix(df: DataFrame, column: str, encoder: ColumnEncoder) -> str:
-    """The column name, with ``#`` appended until no output name is taken."""
-    prefix, taken = column, set(df.columns)
+class FieldEncoder(ColumnEncoder):
+    """Several columns to one or more outputs named ``<a#b#...>__<output>``.
+
+    Columns come as a tuple of names; ``fit_aggs`` gets a tuple of columns and
+    ``finish`` a tuple of types.
+    """
+
+    def transform(self, df: DataFrame, columns: tuple[str, ...], drop: bool = True) -> DataFrame:
+        self._need_fit()
+        if not set(columns) <= set(df.columns):
+            return df
+        out = self.encode(df, columns, free_prefix(df, columns, self))
+        return out.drop(*columns) if drop else out
+
+    def reverse_transform(self, df: DataFrame, columns: tuple[str, ...], drop: bool = True, prefix: str | None = None) -> DataFrame:
+        return super().reverse_transform(df, columns, drop, prefix or field_prefix(columns))
+
+
+def columns_of(field: str | tuple[str, ...]) -> tuple[str, ...]:
+    return (field,) if isinstance(field, str) else tuple(field)
+
+
+def field_prefix(field: str | tuple[str, ...]) -> str:
+    """The name of a field: its column's, or its columns' with ``#`` between them."""
+    return "#".join(columns_of(field))
+
+
+def free_prefix(df: DataFrame, field: str | tuple[str, ...], encoder: ColumnEncoder) -> str:
+    """The field's name, with ``#`` appended until no output name is taken."""
+    prefix, taken = field_prefix(field), set(df.columns)
     while taken & set(encoder.output_columns(prefix)):
         prefix += "#"
     return prefix
 
 
-def field_prefix(columns: list[str]) -> str:
-    """Name of a field made of several columns."""
-    return "#".join(columns)
-
+def fit_all(df: DataFrame, encoders: dict) -> dict:
+    """Fit the encoders of columns, or of fields of several columns.
 
-def fit_all(df: DataFrame, encoders: dict[str, ColumnEncoder]) -> dict[str, ColumnEncoder]:
-    """Fit every encoder; the aggregates of all columns share one pass."""
-    missing = [c for c in encoders if c not in df.columns]
+    The aggregates of all share one pass, and so do the value counts of all
+    columns that want them.
+    """
+    missing = [c for f in encoders for c in columns_of(f) if c not in df.columns]
     if missing:
         raise KeyError(f"columns to fit are not in the table: {missing}")
     types = dict(df.dtypes)
+
+    def given(name: str) -> Column:
+        return F.when(~F.isnan(col(name)), col(name)) if types[name] in ("double", "float") else col(name)
+
+    def typed(field):
+        return tuple(types[c] for c in field) if isinstance(field, tuple) else types[field]
+
     wanted, places = [], {}
-    for i, (name, enc) in enumerate(encoders.items()):
-        c, enc.source_type = col(name), types[name]
-        if types[name] in ("double", "float"):
-            c = F.when(~F.isnan(c), c)
+    for i, (field, enc) in enumerate(encoders.items()):
+        c = tuple(given(x) for x in field) if isinstance(field, tuple) else given(field)
+        enc.source_type = typed(field)
         for key, agg in enc.fit_aggs(c).items():
-            places[(name, key)] = len(wanted)
+            places[(field, key)] = len(wanted)
             wanted.append(agg.alias(f"a{i}_{key}"))
     row = df.agg(*wanted).first() if wanted else []
-    for name, enc in encoders.items():
-        enc.finish({k: row[p] for (n, k), p in places.items() if n == name}, types[name])
-    for name, enc in encoders.items():
-        enc.extra_fit(df, name)
-        enc.fitted = True
+    for field, enc in encoders.items():
+        enc.finish({k: row[p] for (f, k), p in places.items() if f == field}, typed(field))
+    counted = [f for f, enc in encoders.items() if enc.value_counts]
+    if len(counted) > 1:
+        shared = count_all_values(df, counted)
+        for f in counted:
+            encoders[f].counts = shared.where(F.col("column") == f).select("value", "n")
+    for field, enc in encoders.items():
+        enc.extra_fit(df, field)
+        enc.fitted, enc.counts = True, None
     return encoders
 
 
+def count_all_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n) of several columns, written once: their repeats collapse in the map tasks of one pass."""
+    from tabloom.session import checkpoint
+
+    items = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
+    rows = df.select(F.explode(items).alias("x")).select("x.*")
+    return checkpoint(rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def append(df: DataFrame, column: Column, name: str) -> DataFrame:
     return df.withColumn(name, column)
 

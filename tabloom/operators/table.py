@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from tabloom.functions.scalar import col, nan_to_null
 from tabloom.operators.categorical import CategoricalEncoder
-from tabloom.operators.encoder import ColumnEncoder, NotFittedError, fit_all, free_prefix
+from tabloom.operators.encoder import ColumnEncoder, NotFittedError, columns_of, field_prefix, fit_all, free_prefix
 from tabloom.operators.mixture import MixtureEncoder, fit_mixture_encoders
 from tabloom.operators.numeric import BooleanEncoder, DatetimeEncoder, NumericEncoder
+from tabloom.operators.store import savable
 
-NUMERIC_OUTPUTS = ("float", "integer", "numerical")
+NUMERIC_OUTPUTS = ("float", "integer", "numerical", "sparse")
 
 # The default encoder of each data type.
 DEFAULTS = {
@@ -46,22 +47,28 @@ def infer_types(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[
     return {f.name: overrides.get(f.name) or data_type(f.dataType, f.name) for f in df.schema.fields}
 
 
+@savable("table", "input_columns", "keep", "types", "steps", "tree")
 class TableEncoder:
     """Encoders for the columns of a table.
 
     ``encoders`` overrides by column, ``type_encoders`` by data type and
-    ``data_types`` declares types. ``keep`` passes columns (such as row keys)
-    through untouched. Fitting runs one shared pass per level: first the input
-    columns, then outputs that are not numeric yet.
+    ``data_types`` declares types. A tuple of columns is a field with one
+    encoder; its columns may be outputs of other encoders, and it is fitted at
+    the level at which all of them exist. ``keep`` passes columns (such as row
+    keys) through untouched. Fitting runs one shared pass per level: first the
+    input columns, then outputs that are not numeric yet, until all are.
     """
 
-    def __init__(self, encoders: dict[str, ColumnEncoder] | None = None, type_encoders: dict | None = None,
+    def __init__(self, encoders: dict[str | tuple[str, ...], ColumnEncoder] | None = None, type_encoders: dict | None = None,
                  data_types: dict[str, str] | None = None, keep: tuple[str, ...] = ()):
         self.encoders = dict(encoders or {})
         self.type_encoders = dict(type_encoders or {})
         self.data_types = dict(data_types or {})
         self.keep = tuple(keep)
-        self.steps: list[tuple[str, ColumnEncoder, str]] | None = None
+        self.input_columns: list[str] = []
+        self.types: dict[str, str] = {}
+        self.tree: dict[str, dict] = {}
+        self.steps: list[tuple[str | tuple[str, ...], ColumnEncoder, str]] | None = None
 
     # settings; any change un-fits ------------------------------------------
     def update_data_types(self, types: dict[str, str]) -> None:
@@ -86,36 +93,48 @@ class TableEncoder:
     def fit(self, df: DataFrame) -> "TableEncoder":
         df = nan_to_null(df)
         self.input_columns = [c for c in df.columns if c not in self.keep]
-        unknown = set(self.encoders) - set(df.columns)
-        if unknown:
-            warnings.warn(f"encoders for columns not in the table are ignored: {sorted(unknown)}")
         self.types = infer_types(df.select(*[col(c) for c in self.input_columns]), self.data_types)
-        level = {c: self.encoders.get(c) or self.default_for(self.types[c]) for c in self.input_columns}
+        field_of = {c: f for f in self.encoders for c in columns_of(f)}
         self.steps, self.tree = [], {}
-        current = df
-        while level:
-            mixtures = {c: e for c, e in level.items() if isinstance(e, MixtureEncoder) and e.parameters is None}
-            if mixtures:
-                fit_mixture_encoders(current, mixtures)
-            plain = {c: e for c, e in level.items() if c not in mixtures}
-            if plain:
-                fit_all(current, plain)
-            following: dict[str, ColumnEncoder] = {}
-            for name, enc in level.items():
-                prefix = free_prefix(current, name, enc)
-                self.steps.append((name, enc, prefix))
+        current, waiting = df, dict(self.types)  # columns that exist and need an encoder, with their types
+        chosen: dict[str, ColumnEncoder] = {}  # encoders that an encoder wants for its outputs
+        while waiting:
+            level: dict = {}
+            for c in waiting:
+                field = field_of.get(c, c)
+                if set(columns_of(field)) <= set(waiting):
+                    level.setdefault(field, self.encoders.get(field) or chosen.get(c) or self.default_for(waiting[c]))
+            if not level:  # fields whose other columns never came: their columns are encoded one by one
+                for f in {field_of[c] for c in waiting}:
+                    field_of = {c: g for c, g in field_of.items() if g != f}
+                waiting = {c: t for c, t in waiting.items() if c in self.types or t not in NUMERIC_OUTPUTS}
+                continue
+            self._fit_level(current, level)
+            used = [c for f in level for c in columns_of(f)]
+            waiting = {c: t for c, t in waiting.items() if c not in used}
+            for field, enc in level.items():
+                prefix = free_prefix(current, field, enc)
+                self.steps.append((field, enc, prefix))
                 outputs = dict(zip(enc.output_columns(prefix), enc.get_output_types().values()))
-                self.tree[name] = {"encoder": type(enc).__name__, "outputs": list(outputs)}
-                current = enc.encode(current, name, prefix)
-                chosen = {f"{prefix}__{o}": e for o, e in enc.next_encoders().items()}
-                for out, kind in outputs.items():
-                    if out in self.encoders:
-                        following[out] = self.encoders[out]
-                    elif kind not in NUMERIC_OUTPUTS:
-                        following[out] = chosen.get(out) or self.default_for(kind)
-            level = following
+                self.tree[field_prefix(field)] = {"encoder": type(enc).__name__, "outputs": list(outputs)}
+                current = enc.encode(current, field, prefix)
+                chosen |= {f"{prefix}__{o}": e for o, e in enc.next_encoders().items()}
+                waiting |= {o: kind for o, kind in outputs.items() if o in field_of or kind not in NUMERIC_OUTPUTS}
+        done = {f for f, _, _ in self.steps}
+        unknown = sorted(map(field_prefix, set(self.encoders) - done))
+        if unknown:
+            warnings.warn(f"encoders for columns not in the table are ignored: {unknown}")
         return self
 
+    @staticmethod
+    def _fit_level(df: DataFrame, level: dict) -> None:
+        mixtures = {c: e for c, e in level.items() if isinstance(e, MixtureEncoder) and e.parameters is None}
+        if mixtures:
+            fit_mixture_encoders(df, mixtures)
+        plain = {c: e for c, e in level.items() if c not in mixtures}
+        if plain:
+            fit_all(df, plain)
+
     def _need_fit(self) -> None:
         if self.steps is None:
             raise NotFittedError("fit the table encoder first")
@@ -125,16 +144,22 @@ class TableEncoder:
         """Encoded columns in the order of the input columns."""
         self._need_fit()
         out: list[str] = []
+        first = {columns_of(f)[0]: field_prefix(f) for f, _, _ in self.steps}
+        later = {c for f, _, _ in self.steps for c in columns_of(f)[1:]}
+
+        def begin(c: str) -> None:
+            if c not in later:  # a field's outputs stand at its first column
+                walk_from(first.get(c, c))
 
-        def walk(name: str) -> None:
+        def walk_from(name: str) -> None:
             if name in self.tree:
                 for o in self.tree[name]["outputs"]:
-                    walk(o)
+                    begin(o)
             else:
                 out.append(name)
 
         for c in self.input_columns:
-            walk(c)
+            begin(c)
         return out
 
     # use -------------------------------------------------------------------
@@ -143,7 +168,7 @@ class TableEncoder:
         self._need_fit()
         out = nan_to_null(df)
         for name, enc, prefix in self.steps:
-            if name in out.columns:
+            if set(columns_of(name)) <= set(out.columns):
                 out = enc.encode(out, name, prefix)
         others = [c for c in df.columns if c not in self.input_columns]
         return out.select(*[col(c) for c in others], *[col(c) for c in self.final_outputs if c in out.columns])

@@ -12,20 +12,23 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import col
 from tabloom.operators import shape
-from tabloom.operators.categorical import OneHotEncoder
+from tabloom.operators.categorical import OneHotEncoder, dense_to_sparse, sparse_to_dense
 from tabloom.operators.encoder import NotFittedError, fit_all
 from tabloom.operators.mixture import MixtureEncoder
 from tabloom.operators.numeric import DatetimeEncoder, StandardEncoder
+from tabloom.operators.store import savable
 from tabloom.operators.table import TableEncoder
 from tabloom.roles import ColumnRoles
 
 
+@savable("flat", "roles", "method", "rename", "integers", "keep", "mixture_options", "dates", "table")
 class FlatEncoder:
     """Fit once, then encode, decode and view tables lazily.
 
     ``method`` is "standard" (suits near-Gaussian columns) or "mixture"
     (multi-modal columns). ``rename`` and ``integers`` are applied first;
-    ``keep`` columns (row keys) pass through.
+    ``keep`` columns (row keys) pass through. A category column with very many
+    values is one sparse column here, and as wide as its values in a vector.
     """
 
     def __init__(self, roles: ColumnRoles, method: str = "standard", rename: dict[str, str] | None = None,
@@ -34,6 +37,7 @@ class FlatEncoder:
             raise ValueError("method must be 'standard' or 'mixture'")
         self.roles, self.method, self.rename = roles, method, rename or {}
         self.integers, self.keep, self.mixture_options = integers, tuple(keep), mixture_options or {}
+        self.dates: dict[str, DatetimeEncoder] = {}
         self.table: TableEncoder | None = None
 
     def prepare(self, df: DataFrame) -> DataFrame:
@@ -85,9 +89,15 @@ class FlatEncoder:
         suffix = "value" if self.method == "standard" else "normalized"
         return [f"{c}__{suffix}" for c in self.continuous]
 
+    @property
+    def wide(self) -> dict[str, int]:
+        """Sparse columns with the number of their categories."""
+        return {p + "__value": e.width for _, e, p in self._fitted().steps if isinstance(e, OneHotEncoder) and e.wide}
+
     @property
     def widths(self) -> list[int]:
-        return [len(b) for b in self.blocks]
+        wide = self.wide
+        return [sum(wide.get(c, 1) for c in b) for b in self.blocks]
 
     @property
     def columns(self) -> list[str]:
@@ -100,12 +110,23 @@ class FlatEncoder:
         return shape.block_order(encoded, onehots, self.continuous_outputs, list(self.keep))
 
     def encode_vector(self, df: DataFrame, out: str = "features") -> DataFrame:
-        return shape.as_vector(self.encode(df), self.columns, out, list(self.keep))
+        encoded, wide = self.encode(df), self.wide
+        if not wide:
+            return shape.as_vector(encoded, self.columns, out, list(self.keep))
+        parts = [sparse_to_dense(col(c), wide[c]).cast("array<float>") if c in wide else F.array(col(c).cast("float"))
+                 for c in self.columns]
+        return encoded.select(*[col(k) for k in self.keep], F.concat(*parts).alias(out))
 
     def from_vector(self, df: DataFrame, vector: str = "features", keep: tuple[str, ...] = ()) -> DataFrame:
         """Split an array in model order back into encoded columns."""
-        return df.select(*[col(k) for k in keep], *[
-            F.get(col(vector), i).cast("double").alias(c) for i, c in enumerate(self.columns)])
+        wide, at, parts = self.wide, 0, []
+        for c in self.columns:
+            if c in wide:
+                parts.append(dense_to_sparse(F.slice(col(vector), at + 1, wide[c])).alias(c))
+            else:
+                parts.append(F.get(col(vector), at).cast("double").alias(c))
+            at += wide.get(c, 1)
+        return df.select(*[col(k) for k in keep], *parts)
 
     def decode(self, df: DataFrame) -> DataFrame:
         """Categorical, continuous and datetime columns back, in their original order."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.order import TOP_LIMIT, top_rows
 from tabloom.functions.scalar import col
 from tabloom.session import shared_dir
 
@@ -34,8 +35,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def first_rows(df: DataFrame, n: int, order: list) -> DataFrame:
-    """A bounded scan: the first n rows of a stated order."""
-    return df.orderBy(*[col(o) for o in order]).limit(n)
+    """A bounded scan: the first n rows of a stated order, in that order."""
+    by = [col(o) for o in order]
+    return df.orderBy(*by).limit(n) if n <= TOP_LIMIT else top_rows(df, by, n).orderBy(*by)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -183,7 +183,7 @@ def test_gower_against_all_pairs(spark):
 
 def test_trim_by_border(hot, monkeypatch):
     want = pairs(dedup.trim_to(hot, 123, ["v"]), "v")
-    monkeypatch.setattr(dedup, "TRIM_LIMIT", 10)
+    monkeypatch.setattr(order, "TOP_LIMIT", 10)
     assert pairs(dedup.trim_to(hot, 123, ["v"]), "v") == want
     assert dedup.trim_to(hot, 10**6, ["v"]).count() == 6000
 

@@ -33,7 +33,7 @@ def test_decode_keeps_rows_without_a_code_on_both_paths(spark, monkeypatch, make
 def test_trim_takes_exactly_n_with_ties_and_nulls(spark, monkeypatch):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,), (3,), (2,), (2,)], "x int")
     small = {n: rows(dedup.trim_to(df, n, ["x"])) for n in range(1, 9)}
-    monkeypatch.setattr(dedup, "TRIM_LIMIT", 0)
+    monkeypatch.setattr(order, "TOP_LIMIT", 0)
     assert {n: rows(dedup.trim_to(df, n, ["x"])) for n in range(1, 9)} == small
 
 
