@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.operators.joins import is_small
 from tabloom.session import checkpoint, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST = 1_000  # bytes from which an equal payload is not stored again
 LARGEST = 256 << 20  # bytes of records in a package
 RANGE = 4 << 20  # bytes read at once
+READERS = 64  # tasks that read packages, at least
 LEVEL = 3
 DATE = "2000-01-01T00:00:00Z"
 
@@ -56,8 +58,13 @@ def with_originals(pages: DataFrame, page_id: str = "page_id", html: str = "html
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     least = rows.filter(F.col("size") >= LEAST)
     equal = least.groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    equal = equal.filter("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "original")
-    return rows.join(equal, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")), "left").drop("d", "s")
+    equal = checkpoint(equal.filter("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "original"))
+    same = (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s"))
+    if is_small(equal):  # by rows and bytes; then no payload is shuffled
+        return rows.join(F.broadcast(equal), same, "left").drop("d", "s")
+    # rows too small to have an original stay where they are
+    met = rows.filter(F.col("size") >= LEAST).join(equal, same, "left").drop("d", "s")
+    return met.unionByName(rows.filter(F.col("size") < LEAST).withColumn("original", F.lit(None).cast("long")))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
@@ -261,7 +268,9 @@ def read_packages(paths: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     places = paths.mapInArrow(locate, LOCATION)
-    spread = places.repartition(F.xxhash64("path", "start"))
+    # with a number, so that adaptive execution does not join the few small rows, each megabytes to be read
+    parts = max(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), READERS)
+    spread = places.repartition(parts, F.xxhash64("path", "start"))
     return spread.mapInArrow(read, RECORD)
 
 

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.functions.order import numbered, running_totals
+from tabloom.functions.skew import skew_join
+from tabloom.llm.archive import opened
 from tabloom.llm.arrow import append
+from tabloom.session import checkpoint
+from tabloom.sources.io import scratch
 
 PER_EDIT = 20  # characters of an item for each edit allowed
-BLOCK = 2_000_000  # characters of items that one pass over the texts searches for
+BLOCK = 2_000_000  # characters of different items that one pass over the texts searches for
 
 HITS = T.ArrayType(T.StructType([
-    T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()),
+    T.StructField("item", T.LongType()), T.StructField("distance", T.IntegerType()),
     T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 # ASCII punctuation and white space become spaces; other characters stay.
@@ -25,8 +30,8 @@ PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 def normal(text: str | None) -> str:
-    """Lower case, words joined by one space; one character for each byte of the UTF-8 form."""
-    return b" ".join((text or "").lower().encode().translate(PLAIN).split()).decode("latin-1")
+    """Lower case, words joined by one space."""
+    return b" ".join((text or "").lower().encode().translate(PLAIN).split()).decode()
 
 
 def edit_budget(item: str) -> int:
@@ -136,35 +141,95 @@ class Searcher:
         return distance, end - length, end
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items, in blocks by a hash of the id, so that no block's size grows with the benchmark."""
-    size = benchmark.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    blocks = 1 + int(size) // BLOCK
-    keyed = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).filter(
-        F.col("i").isNotNull() & F.col("t").isNotNull())
-    return [[(r["i"], normal(r["t"])) for r in
-             keyed.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()] for b in range(blocks)]
+class Benchmark:
+    """Items made ready to be searched for, in blocks of bounded size in the shared folder.
+
+    Items are normalised and made different in Spark, so equal ones are searched
+    for once; their ids, of any type and null among them, are joined to what is
+    found. Tasks read a block's file themselves: no item passes through the
+    driver. A block holds at most ``BLOCK`` characters and one item more.
+    """
+
+    def __init__(self, path: str, blocks: list[int], ids: DataFrame):
+        self.path, self.blocks, self.ids = path, blocks, ids
+
+    @classmethod
+    def fit(cls, benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Benchmark:
+        spark = benchmark.sparkSession
+        path = scratch(spark, "benchmark")
+        given = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("norm"))
+        normed = append(given, ["norm"], [("norm", T.StringType())], lambda: lambda texts: [[normal(t) for t in texts]])
+        normed.filter(F.col("norm") != "").write.parquet(f"{path}/items")
+        items = spark.read.schema(normed.schema).parquet(f"{path}/items")
+        texts = numbered(items.select("norm").distinct(), "item")
+        sized = texts.select("item", "norm", F.char_length("norm").cast("long").alias("n"), F.lit(0).alias("g"),
+                             F.floor(F.col("item") / 65_536).alias("blk"))
+        before = F.col("cum_n") - F.col("n")
+        placed = checkpoint(running_totals(sized, ["g"], "blk", [F.col("item")], ["n"]).select(
+            "item", "norm", F.floor(before / BLOCK).alias("block")))
+        placed.repartition("block").write.partitionBy("block").parquet(f"{path}/blocks")
+        blocks = sorted(r["block"] for r in placed.select("block").distinct().collect())  # a number a block
+        ids = skew_join(items, placed.select("item", "norm"), ["norm"]).select("item", "item_id")
+        return cls(path, blocks, ids)
+
+    def _search(self, block: int):
+        path = f"{self.path}/blocks/block={block}"
+
+        def make():
+            import pyarrow.dataset as ds
+
+            store, root = opened(path)
+            items = ds.dataset(root, format="parquet", filesystem=store).to_table(columns=["item", "norm"])
+            searcher = Searcher(list(zip(items["item"].to_pylist(), items["norm"].to_pylist())))
+            return lambda texts: [[searcher.search(normal(t)) for t in texts]]
+
+        return make
+
+    def find(self, df: DataFrame, text: str = "text", hits: str = "hits") -> DataFrame:
+        """``df`` with the items found in each text. More blocks than one are searched for one after the other,
+        each in a pass of its own over the written rows, so an executor holds one block's automaton at a time."""
+        if not self.blocks:
+            return df.withColumn(hits, F.array().cast(HITS))
+        if len(self.blocks) == 1:
+            return append(df, [text], [(hits, HITS)], self._search(self.blocks[0]))
+        spark, path, row = df.sparkSession, scratch(df.sparkSession, "searched"), "__row"
+        df.withColumn(row, F.monotonically_increasing_id()).write.parquet(f"{path}/rows")
+        stored = spark.read.parquet(f"{path}/rows")
+        for b in self.blocks:
+            found = append(stored.select(row, F.col(text).alias("__text")), ["__text"], [("__hits", HITS)], self._search(b))
+            found.filter(F.size("__hits") > 0).select(row, "__hits").write.parquet(f"{path}/found/{b}")
+        found = spark.read.parquet(*[f"{path}/found/{b}" for b in self.blocks])
+        merged = found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("__hits"))).alias("__hits"))  # a list a block
+        out = stored.drop(hits).join(merged, row, "left")
+        return out.withColumn(hits, F.coalesce("__hits", F.array().cast(HITS))).drop(row, "__hits")
+
+    def named(self, found: DataFrame, keep: list[str], hits: str = "hits") -> DataFrame:
+        """A row for each text and item found in it: the kept columns, item_id, distance, start and end.
+
+        Items of equal text are all named. Kept columns of these names give way.
+        """
+        new = ["item_id", "distance", "start", "end"]
+        kept = [c for c in keep if c not in new]
+        rows = found.select(*[found[c].alias(f"__k{i}") for i, c in enumerate(kept)], F.explode(hits).alias("h"))
+        flat = rows.select(*[F.col(f"__k{i}") for i in range(len(kept))], F.col("h.item").alias("item"), "h.distance", "h.start", "h.end")
+        named = skew_join(flat, self.ids, ["item"])
+        return named.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)], *new)
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", hits: str = "hits", item_id: str = "item_id",
           item_text: str = "text") -> DataFrame:
     """Adds the items found in each text with their edit distance, an empty list where there is none.
 
-    Null and empty texts, and null or empty items, match nothing. Items of
-    equal text are all reported. An item shorter than 20 characters must occur
-    exactly, as whole words. Every row is searched for every item, one block of
-    items a pass.
+    Null and empty texts, and null or empty items, match nothing. A hit names
+    its item by number; ``Benchmark.named`` gives the ids. An item shorter than
+    20 characters must occur exactly, as whole words. Every row is searched for
+    every item.
     """
-    mark = "__leaks_"
-    out, names = df, []
-    for b, items in enumerate(blocks_of(benchmark, item_id, item_text)):
-        sent = df.sparkSession.sparkContext.broadcast(items)  # at most BLOCK characters, by the blocks' making
+    return Benchmark.fit(benchmark, item_id, item_text).find(df, text, hits)
 
-        def make(sent=sent):
-            searcher = Searcher(sent.value)
-            return lambda texts: [[searcher.search(normal(t)) for t in texts]]
 
-        names.append(f"{mark}{b}")
-        out = append(out, [text], [(names[-1], HITS)], make)
-    merged = F.col(names[0]) if len(names) == 1 else F.array_sort(F.flatten(F.array(*names)))
-    return out.withColumn(hits, merged).drop(*names)
+def leak_rows(df: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_id: str = "item_id",
+              item_text: str = "text") -> DataFrame:
+    """A row for each text and benchmark item found in it, the items by their own ids."""
+    mark, ready = "__leaks", Benchmark.fit(benchmark, item_id, item_text)
+    return ready.named(ready.find(df, text, mark), keep, mark)

@@ -16,7 +16,7 @@ from tabloom.llm.line_crf import QualityClassifier
 from tabloom.llm.lockstep import align, weigh
 from tabloom.llm.phrases import collocations
 from tabloom.llm.pieces import PieceCodec
-from tabloom.llm.pigeonhole import leaks
+from tabloom.llm.pigeonhole import leak_rows
 from tabloom.llm.pii import BASE, PiiFinder, written
 from tabloom.llm.quality import QualityRules, measure
 from tabloom.llm.simhash import near_duplicates
@@ -99,9 +99,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents", "doc_id", "text")
-    found = leaks(docs, load(spark, sf_dir, "benchmark", "item_id", "text"))
-    return found.select("doc_id", F.explode("hits").alias("h")).select(
-        "doc_id", "h.item_id", "h.distance", F.col("h.start").alias("start_at"), F.col("h.end").alias("end_at"))
+    found = leak_rows(docs, load(spark, sf_dir, "benchmark", "item_id", "text"), ["doc_id"])
+    return found.withColumnsRenamed({"start": "start_at", "end": "end_at"})
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -504,15 +504,48 @@ def test_leaks_on_odd_rows_in_blocks(spark, odd, monkeypatch):
     bench = spark.createDataFrame([(1, "the DOG ran to it"), (2, "the dog, ran to it"), (3, None), (None, "the cat"), (4, ""),
                                    (5, "cat sat"), (6, "og ran")], "item_id long, text string")
     df = odd.withColumn("hits", F.lit("mine"))
-    found = lambda: sorted((r.doc_id, [h.item_id for h in r.hits]) for r in pigeonhole.leaks(df, bench).collect() if r.hits)
-    want = [(4, [1, 2, 5]), (4, [1, 2, 5])]
-    assert found() == want
-    monkeypatch.setattr(pigeonhole, "BLOCK", 20)
+    found = lambda: of(pigeonhole.leak_rows(df, bench, ["doc_id"]), "doc_id", "item_id", "distance")
+    want = sorted([(4, i, 0) for i in (1, 2, 5, None)] * 2, key=lambda r: tuple((x is None, str(x)) for x in r))
     assert found() == want
+    marked = lambda: sorted((str(r.doc_id), len(r.hits)) for r in pigeonhole.leaks(df, bench).collect())
+    once = marked()
+    assert len(once) == len(ODD) and ("4", 3) in once
+    monkeypatch.setattr(pigeonhole, "BLOCK", 20)  # blocks of one or two items
+    assert found() == want and marked() == once
     assert pigeonhole.leaks(df, bench.limit(0)).filter(F.size("hits") > 0).count() == 0
+    assert pigeonhole.leak_rows(df, bench.limit(0), ["doc_id"]).count() == 0
     assert pigeonhole.leaks(table(spark, []), bench).count() == 0
 
 
+def test_edits_are_counted_in_characters(spark):
+    item = "der größte fluß fließt südlich über die höhen und täler am morgen x"
+    text = f"vorher steht etwas {item.replace('ö', 'o', 1).replace('ü', 'u', 1)} und danach"
+    bench = spark.createDataFrame([("de-1", item), (None, item.replace("ö", "Ö") + "!"), ("de-2", "東京都は日本の首都であり世界最大級の都市圏を形成している大都市です")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, text), (2, "ganz anderes"), (3, "x 東京都は日本の首府であり世界最大級の都市圏を形成している大都市です y")], "doc_id long, text string")
+    got = of(pigeonhole.leak_rows(docs, bench, ["doc_id"]), "doc_id", "item_id", "distance")
+    assert got == [(1, "de-1", 2), (1, None, 2), (3, "de-2", 1)]
+
+
+def test_long_and_repeated_items(spark, monkeypatch):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8)))
+    long = " ".join(word() for _ in range(300))  # alone larger than a block
+    few = [" ".join(word() for _ in range(8)) for _ in range(6)]
+    bench = spark.createDataFrame([(i, few[0]) for i in range(10_000)] + [(20_000 + i, t) for i, t in enumerate(few)] + [(30_000, long)],
+                                  "item_id int, text string")
+    texts = [f"{word()} {few[0][:9]}zz{few[0][10:]} {word()}", f"{word()} {long} {few[3]}", few[5], word()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pigeonhole, "BLOCK", 100)
+    got = Counter((x.doc_id, x.item_id, x.distance) for x in pigeonhole.leak_rows(docs, bench, ["doc_id"]).collect())
+    want = Counter()
+    for d, t in enumerate(texts):
+        for i, p in [*((20_000 + i, p) for i, p in enumerate(few)), (30_000, long)]:
+            distance = brute_distance(p, f" {t} ")[0] if len(p) < 200 else (0 if p in t else 10**6)
+            if distance <= pigeonhole.edit_budget(p):
+                want.update([(d, i, distance)] if i != 20_000 else [(d, i, distance), *((d, j, distance) for j in range(10_000))])
+    assert got == want and len(want) > 10_003
+
+
 # 10: personal data
 
 def test_base_patterns():
