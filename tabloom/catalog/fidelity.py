@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabloom.fidelity import distance, learned, marginal, pairwise
@@ -94,13 +95,13 @@ def ks_extended(spark, d):
 
 
 def grid_sql(c: str) -> str:
-    return f"least(9, greatest(0, floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 10)))::INTEGER"
+    return f"CASE WHEN {c} IS NOT NULL THEN least(9, greatest(0, floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 10)))::INTEGER END"
 
 
 def kl_continuous_sql(a: str, b: str, real: str = REAL, synth: str = SYNTH) -> str:
     limits = "(SELECT " + ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in NUM) + f" FROM {real})"
     cells = " UNION ALL ".join(
-        f"SELECT {grid_sql(a)} * 10 + {grid_sql(b)} AS cell, {rs} FROM {t}, {limits}"
+        f"SELECT ({grid_sql(a)}) * 10 + ({grid_sql(b)}) AS cell, {rs} FROM {t}, {limits}"
         for t, rs in ((real, "1 AS r, 0 AS s"), (synth, "0 AS r, 1 AS s")))
     return f"""SELECT '{a}' AS column_a, '{b}' AS column_b, sum(p * ln(p / q)) AS kl
 FROM (SELECT (r + 1e-5::DOUBLE) / sum(r + 1e-5::DOUBLE) OVER () AS p, (s + 1e-5::DOUBLE) / sum(s + 1e-5::DOUBLE) OVER () AS q
@@ -141,6 +142,25 @@ def gm_loglik(spark, d):
     return learned.mixture_log_likelihood(*pair(spark, d), NUM)
 
 
+# a mixture of two given components over two columns
+GIVEN = [(0.3, (20.0, 0.04), ((90.0, 0.02), (0.02, 0.0009))), (0.7, (30.0, 0.06), ((150.0, -0.05), (-0.05, 0.0012)))]
+
+
+def density_sql(weight, mean, cov) -> str:
+    (a, b), (_, c) = cov
+    det = a * c - b * b
+    dx, dy = f"(quantity - {mean[0]}::DOUBLE)", f"(discount - {mean[1]}::DOUBLE)"
+    square = f"({c / det!r}::DOUBLE * {dx} * {dx} - {2 * b / det!r}::DOUBLE * {dx} * {dy} + {a / det!r}::DOUBLE * {dy} * {dy})"
+    return f"{weight}::DOUBLE / (2 * pi() * sqrt({det!r}::DOUBLE)) * exp(-0.5::DOUBLE * {square})"
+
+
+@query("gm_score_given", f"SELECT {sql_r('avg(ln(' + ' + '.join(density_sql(*g) for g in GIVEN) + '))', 4)} AS log_likelihood FROM {SYNTH}")
+def gm_score_given(spark, d):
+    rows = pair(spark, d)[1].select(F.array("quantity", "discount").alias("x"))
+    found = learned.mean_log_density(rows, [w for w, _, _ in GIVEN], [(np.array(m), np.array(c)) for _, m, c in GIVEN])
+    return found.select(r(F.col("log_likelihood"), 4).alias("log_likelihood"))
+
+
 @query("svc_detection")
 def svc_detection(spark, d):
     return learned.detection(*pair(spark, d), [*NUM, *CAT])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.row import metric_row
 from tabloom.plans.flat import FlatEncoder
 from tabloom.roles import ColumnRoles
+from tabloom.runs.experiment import Experiment, Settings
 from tabloom.runs.summary import multi_run as run_seeds
 from tabloom.sources import io
 from tabloom.synthesis import network as N
@@ -77,6 +79,67 @@ def vae_generate(spark, d):
     return e.decode(e.from_vector(made, keep=("id",)))
 
 
+# --- the network with given parameters, in SQL layer by layer -----------------------
+
+GIVEN_SHAPE = N.Shape([3, 2], len(LINE_NUMERIC), latent=2, hidden=3, decoder_hidden=3)
+
+
+def given_parameters() -> dict:
+    """Weights and biases by rule, small multiples of a tenth."""
+    out = {}
+    for k, (name, (i, o)) in enumerate(GIVEN_SHAPE.layers().items()):
+        out[f"{name}.w"] = np.array([[((7 * a + 3 * b + k) % 11 - 5) / 10 for b in range(i)] for a in range(o)])
+        out[f"{name}.b"] = np.array([((5 * a + k) % 7 - 3) / 10 for a in range(o)])
+    return {**out, "logsigma": np.zeros(GIVEN_SHAPE.continuous)}
+
+
+def layer_sql(source: str, name: str, inputs: list[str], outputs: list[str], bent: bool) -> str:
+    """One dense layer over columns; the row's keys stay."""
+    w, b = given_parameters()[f"{name}.w"], given_parameters()[f"{name}.b"]
+    sums = [" + ".join([f"{float(b[o])!r}::DOUBLE", *(f"{float(w[o, i])!r}::DOUBLE * {x}" for i, x in enumerate(inputs))]) for o in range(len(outputs))]
+    cells = ", ".join(f"tanh({s}) AS {n}" if bent else f"{s} AS {n}" for s, n in zip(sums, outputs))
+    return f"(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {cells} FROM {source})"
+
+
+def chain_sql(source: str, names: str, inputs: list[str], last: list[str]) -> str:
+    for k in range(3):
+        outputs = last if k == 2 else [f"{names}{k}_{i}" for i in range(3)]
+        source = layer_sql(source, f"{names}{k}", inputs, outputs, k < 2)
+        inputs = outputs
+    return source
+
+
+X = [f"x{i}" for i in range(GIVEN_SHAPE.size)]
+X_SQL = [*(f"(l_returnflag = '{v}')::INTEGER::DOUBLE" for v in "ANR"), *(f"(l_linestatus = '{v}')::INTEGER::DOUBLE" for v in "FO"),
+         *(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())::FLOAT::DOUBLE" for c in LINE_NUMERIC)]
+ROWS_SQL = f"(SELECT *, {', '.join(f'{s} AS {x}' for s, x in zip(X_SQL, X))} FROM lineitem)"
+CODE = ["mu0", "mu1", "s0", "s1"]
+CODE_SQL = chain_sql(ROWS_SQL, "e", X, CODE)
+GIVEN_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def given_rows(spark, d):
+    """The encoded table under a dense row key, the keys by that key, and the model with the given parameters."""
+    df = load(spark, d, "lineitem").select(*GIVEN_KEYS, "l_suppkey", *ROLES.columns())
+    key = F.xxhash64(*GIVEN_KEYS, "l_suppkey", "l_extendedprice")
+    keyed = df.withColumn("row_key", key)
+    e = FlatEncoder(ROLES, "standard", keep=("row_key",)).fit(keyed)
+    return e.encode_vector(keyed), keyed.select("row_key", *GIVEN_KEYS), T.Model(GIVEN_SHAPE, given_parameters())
+
+
+@query("vae_encode_given", f"SELECT {', '.join(GIVEN_KEYS)}, {', '.join(f'{sql_r(c, 5)} AS {c}' for c in CODE)} FROM {CODE_SQL}")
+def vae_encode_given(spark, d):
+    rows, keys, model = given_rows(spark, d)
+    both = F.concat("mu", "logsigma")
+    return T.encode(rows, model).join(keys, "row_key").select(*GIVEN_KEYS, *[r(F.get(both, i), 5).alias(c) for i, c in enumerate(CODE)])
+
+
+@query("vae_reconstruct_given", f"SELECT {', '.join(GIVEN_KEYS)}, {', '.join(f'{sql_r(x, 5)} AS {x}' for x in X)} FROM {chain_sql(CODE_SQL, 'd', CODE[:2], X)}")
+def vae_reconstruct_given(spark, d):
+    rows, keys, model = given_rows(spark, d)
+    return T.reconstruct(rows, model).join(keys, "row_key").select(*GIVEN_KEYS, *[r(F.get("features", i), 5).alias(x) for i, x in enumerate(X)])
+
+
 def made_rows(spark, e, model):
     return lambda start, n: e.decode(e.from_vector(T.generate(spark, model, n, seed=5, start=start), keep=("id",)))
 
@@ -130,6 +193,18 @@ def multi_run(spark, d):
     return run_seeds([1, 2, 3], lambda s: metric_row(df, model.sample(spark, n, seed=s), ROLES, ["KSTest", "DiscreteKLDivergence"]))
 
 
+@query("experiment")
+def experiment(spark, d):
+    """A seed of plain and one of private training, through all stages and all eight metrics."""
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    df = load(spark, d, "lineitem").withColumn("row_key", key)
+    rules = [F.col("l_quantity") > 0, F.col("l_extendedprice") > 0]
+    plain = Settings(latent=4, hidden=16, decoder_hidden=16, epochs=2, q=RATE, rate=0.01)
+    private = Settings(latent=4, hidden=16, decoder_hidden=16, epochs=1, q=RATE, rate=0.01, clip=1.0, target_epsilon=5.0)
+    parts = [Experiment(df, ROLES, "row_key", io.scratch(spark, "experiment"), s, rules).run([1]) for s in (plain, private)]
+    return parts[0].withColumn("private", F.lit(False)).unionByName(parts[1].withColumn("private", F.lit(True)))
+
+
 @query("model_roundtrip")
 def model_roundtrip(spark, d):
     _, model, _ = trained(spark, d)

@@ -250,7 +250,7 @@ def field_encoder() -> TableEncoder:
 @query("field_transform", f"""
 WITH i AS (SELECT l_returnflag AS f, l_linestatus AS s, (2 * cum - n)::DOUBLE / (2 * total) AS mid FROM (
    SELECT l_returnflag, l_linestatus, count(*) AS n, sum(count(*)) OVER () AS total, sum(count(*)) OVER (
-     ORDER BY count(*) DESC, l_returnflag, l_linestatus NULLS LAST ROWS UNBOUNDED PRECEDING) AS cum FROM {FIELD_SQL} GROUP BY ALL))
+     ORDER BY count(*) DESC, l_returnflag, l_linestatus NULLS LAST ROWS UNBOUNDED PRECEDING) AS cum FROM {FIELD_SQL} GROUP BY l_returnflag, l_linestatus))
 SELECT l_orderkey, l_linenumber, l_partkey, {sql_r('mid', 9)} AS pair, (epoch_us(make_date(y, m, d)) / 86400000000)::BIGINT AS day
 FROM {FIELD_SQL} x JOIN i ON x.l_returnflag = i.f AND x.l_linestatus IS NOT DISTINCT FROM i.s""")
 def field_transform(spark, d):

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from tabloom.fidelity.marginal import numeric_view
 from tabloom.functions.order import numbered
 from tabloom.functions.scalar import col, literal_array
-from tabloom.operators.categorical import LabelEncoder, OneHotEncoder
+from tabloom.operators.categorical import LabelEncoder, OneHotEncoder, sparse_vectors
 from tabloom.operators.encoder import fit_all
 from tabloom.operators.numeric import StandardEncoder
 from tabloom.session import checkpoint
 
 FOLDS = 3
+TASK_ROWS = 20_000  # rows that are worth a task in each of a classifier's many passes
 
 
 def _scaled(train: DataFrame, others: list[DataFrame], columns: list[str], keep: list[str] = ()) -> list[DataFrame]:
@@ -37,6 +38,16 @@ def _scaled(train: DataFrame, others: list[DataFrame], columns: list[str], keep:
     return out
 
 
+def linear_score(coefficients, intercept: float, features: str = "features") -> Column:
+    """The linear form of a fitted model, as an expression.
+
+    A model's own ``transform`` carries its training summary, and with it the
+    session, which cannot be sent to tasks once the session has an Observation.
+    """
+    products = F.zip_with(vector_to_array(features), literal_array([float(c) for c in coefficients], "double"), lambda a, b: a * b)
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v) + F.lit(float(intercept))
+
+
 def _log_density(weights, gaussians) -> Column:
     """log sum_k w_k N(x; mu_k, S_k) over an array column ``x``, as one expression."""
     import numpy as np
@@ -72,10 +83,14 @@ def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, columns: list[
         a.unpersist()
     bic, k, model = best
     gaussians = [(g.mean.toArray(), g.cov.toArray()) for g in model.gaussians]
-    logs = b.select(vector_to_array("features").alias("x")).select(_log_density(model.weights, gaussians).alias("l"))
-    top = logs.withColumn("m", F.array_max("l"))
+    return mean_log_density(b.select(vector_to_array("features").alias("x")), model.weights, gaussians).withColumn("components", F.lit(k))
+
+
+def mean_log_density(rows: DataFrame, weights, gaussians) -> DataFrame:
+    """Mean log density of the arrays ``x`` under a mixture of (mean, covariance) with the given weights."""
+    top = rows.select(_log_density(weights, gaussians).alias("l")).withColumn("m", F.array_max("l"))
     each = F.col("m") + F.ln(F.aggregate(F.transform("l", lambda v: F.exp(v - F.col("m"))), F.lit(0.0), lambda s, v: s + v))
-    return top.agg(F.avg(each).alias("log_likelihood")).withColumn("components", F.lit(k))
+    return top.agg(F.avg(each).alias("log_likelihood"))
 
 
 def detection(real: DataFrame, synthetic: DataFrame, columns: list[str], iterations: int = 10) -> DataFrame:
@@ -86,16 +101,18 @@ def detection(real: DataFrame, synthetic: DataFrame, columns: list[str], iterati
     rows where these are fewer than ``FOLDS``, and none below two rows.
     """
     numbers = [numbered(t, "fold") for t in numeric_view(real, synthetic, columns)]
-    folds = min(FOLDS, *[t.count() for t in numbers])
+    sizes = [t.count() for t in numbers]
+    folds = min(FOLDS, *sizes)
     rows = []
     if folds > 1:
         both = numbers[0].withColumn("label", F.lit(1.0)).unionByName(numbers[1].withColumn("label", F.lit(0.0)))
         folded = both.withColumn("fold", F.pmod("fold", F.lit(folds)))
         # written once: the classifier and its folds read the vectors many times
-        scaled = checkpoint(_scaled(folded, [], columns, ["label", "fold"])[0])
+        scaled = checkpoint(_scaled(folded, [], columns, ["label", "fold"])[0].coalesce(1 + sum(sizes) // TASK_ROWS))
         for k in range(folds):
             model = LinearSVC(maxIter=iterations, regParam=0.01).fit(scaled.where(F.col("fold") != k))
-            auc = BinaryClassificationEvaluator().evaluate(model.transform(scaled.where(F.col("fold") == k)))
+            test = scaled.where(F.col("fold") == k).select("label", linear_score(model.coefficients, model.intercept).alias("margin"))
+            auc = BinaryClassificationEvaluator(rawPredictionCol="margin").evaluate(test)
             rows.append((k, float(auc), float(1 - (2 * max(auc, 0.5) - 1))))
     return real.sparkSession.createDataFrame(rows, "fold int, auc double, score double")
 
@@ -104,7 +121,7 @@ def attack_numeric(real: DataFrame, synthetic: DataFrame, keys: list[str], sensi
     """Train on synthetic, predict the sensitive number on real: mean error over its range."""
     train, test = _scaled(synthetic.fillna(0), [real.fillna(0)], keys, [sensitive])
     model = LinearRegression(labelCol=sensitive, regParam=0.01).fit(train)
-    scored = model.transform(test)
+    scored = test.withColumn("prediction", linear_score(model.coefficients, model.intercept))
     gap = F.avg(F.abs(F.col("prediction") - col(sensitive)))
     width = F.max(col(sensitive)) - F.min(col(sensitive))
     return scored.agg(F.least(F.lit(1.0), gap / width).alias("score"))
@@ -120,15 +137,19 @@ def attack_categorical(real: DataFrame, synthetic: DataFrame, keys: list[str], s
         for k, e in onehots.items():
             df = e.encode(df, k, k)
         df = labels.encode(df, sensitive, "_y")
-        inputs = [o for k, e in onehots.items() for o in e.output_columns(k)]
+        for k, e in onehots.items():
+            if e.wide:
+                df = sparse_vectors(df, f"{k}__value", e.width, f"{k}__vector")
+        inputs = [o for k, e in onehots.items() for o in ([f"{k}__vector"] if e.wide else e.output_columns(k))]
         rows = VectorAssembler(inputCols=inputs, outputCol="features").transform(df)
         return rows.select("features", F.col("_y__value").cast("double").alias("label"))
 
     model = OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=0.01)).fit(prepare(synthetic))
-    test = prepare(real)
+    margins = F.array(*[linear_score(m.coefficients, m.intercept) for m in model.models])
+    scored = prepare(real).select("label", margins.alias("m"))
+    predicted = (F.array_position("m", F.array_max("m")) - 1).cast("double")
     # a real category that the synthetic table lacks cannot be predicted: it counts as wrong
-    scored = model.transform(test.withColumn("label", F.coalesce(F.col("label"), F.lit(-1.0))))
-    return scored.agg((1 - F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("score"))
+    return scored.agg((1 - F.avg((predicted == F.coalesce("label", F.lit(-1.0))).cast("double"))).alias("score"))
 
 
 def attack(real: DataFrame, synthetic: DataFrame, roles, sensitive: str) -> DataFrame:

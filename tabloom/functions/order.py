@@ -22,14 +22,13 @@ COLLECT_BOUND = 20_000
 
 
 def block_count(df: DataFrame) -> int:
-    """As many blocks as there are shuffle tasks, within the sketch's resolution."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(wanted, SKETCH_ACCURACY // 10))
+    """As many blocks as there are shuffle tasks."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def quantile_edges(df: DataFrame, columns: list[str], blocks: int | None = None) -> dict[str, list[float]]:
-    """Inner block edges per numeric column from one sketch pass over all of them."""
-    blocks = blocks or block_count(df)
+    """Inner block edges per numeric column from one sketch pass over all of them, within the sketch's resolution."""
+    blocks = blocks or min(block_count(df), SKETCH_ACCURACY // 10)
     if blocks < 2:
         return {c: [] for c in columns}
     probs = [i / blocks for i in range(1, blocks)]

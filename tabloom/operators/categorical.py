@@ -8,7 +8,7 @@ most frequent values handled by literals so that no join key is hot.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +58,7 @@ class Categories:
     table: DataFrame
     size: int
     rows: list | None
+    cells: dict[str, DataFrame] = field(default_factory=dict)  # of the interval search, by the way of looking up
 
     @property
     def small(self) -> bool:
@@ -151,8 +152,19 @@ class CategoricalEncoder(ColumnEncoder):
             return found.withColumn(column, F.get(values, F.col("_i")).cast(self.dtype)).drop("_x", "_i")
         return self._decode_by_join(x, column)
 
-    def _decode_by_join(self, x: DataFrame, column: str) -> DataFrame:
-        """Interval search as an equi-join on cells of [0, 1] plus a range check."""
+    def _cells(self) -> DataFrame:
+        """(cell, value, lo, hi) of every interval in each cell of [0, 1] that it meets; written once, then read by every search."""
+        from tabloom.session import checkpoint
+
+        if self.lookup_by not in self.cats.cells:
+            self.cats.cells[self.lookup_by] = checkpoint(self._make_cells())
+        return self.cats.cells[self.lookup_by]
+
+    def _cell(self, v: Column) -> Column:
+        in_all = max(CELLS, self.cats.size)  # so that a cell meets few intervals, however many there are
+        return clip(F.floor(v * in_all), 0, in_all - 1)
+
+    def _make_cells(self) -> DataFrame:
         t = self.cats.table
         if self.lookup_by == "nearest":
             # neighbours in interval order share start and end
@@ -161,20 +173,22 @@ class CategoricalEncoder(ColumnEncoder):
             c = t.select(F.col("end").alias("start"), F.col("mid").alias("_before"))
             both = left.join(c, "start", "left")
             low, high = (F.col("_before") + F.col("mid")) / 2, (F.col("mid") + F.col("_next")) / 2
-            inside = (F.col("_x") > F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
         else:
             both = t.select("value", "start", "end")
             low = F.when(F.col("start") > 0, F.col("start"))
             high = F.when(F.col("end") < 1, F.col("end"))
-            inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))
-        cells_in_all = max(CELLS, self.cats.size)  # so that a cell meets few intervals, however many there are
-        cell = lambda v: clip(F.floor(v * cells_in_all), 0, cells_in_all - 1)
         bounds = both.select(
             F.col("value").alias("_value"), F.coalesce(low, F.lit(-1.0)).alias("_lo"), F.coalesce(high, F.lit(2.0)).alias("_hi"))
-        cells = bounds.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+        return bounds.withColumn("_cell", F.explode(F.sequence(self._cell(F.col("_lo")), self._cell(F.col("_hi")))))
+
+    def _decode_by_join(self, x: DataFrame, column: str) -> DataFrame:
+        """Interval search as an equi-join on cells of [0, 1] plus a range check; the cells are fixed, so a stream can be searched."""
+        cells = self._cells()
+        above = F.col("_x") > F.col("_lo") if self.lookup_by == "nearest" else F.col("_x") >= F.col("_lo")
+        inside = above & (F.col("_x") <= F.col("_hi") if self.lookup_by == "nearest" else F.col("_x") < F.col("_hi"))
         # rows without a number match no cell; they are spread over negative ones and stay with a null
         void = F.col("_x").isNull() | F.isnan("_x")
-        rows = x.withColumn("_cell", F.when(void, spread_below_zero(x)).otherwise(cell(F.col("_x"))))
+        rows = x.withColumn("_cell", F.when(void, spread_below_zero(x)).otherwise(self._cell(F.col("_x"))))
         joined = skew_join(rows, cells, ["_cell"], how="left").where(inside | void)
         return joined.withColumn(column, F.col("_value").cast(self.dtype)).drop("_x", "_cell", "_value", "_lo", "_hi")
 

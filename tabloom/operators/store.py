@@ -162,19 +162,20 @@ class _Reader:
         return made
 
 
-def save_encoder(spark: SparkSession, encoder, path: str) -> None:
-    """Write a fitted column, table or flat encoder to a new folder.
+def save_encoder(spark: SparkSession, encoder, path: str, overwrite: bool = False) -> None:
+    """Write a fitted column, table or flat encoder to a new folder, or over what is there.
 
     A loaded encoder encodes and decodes; settings that only matter before
     fitting are not kept, so a table encoder is built anew to be fitted anew.
     """
     if isinstance(encoder, ColumnEncoder):
         encoder._need_fit()
-    writer = _Writer()
+    writer, mode = _Writer(), "overwrite" if overwrite else "errorifexists"
     kind, state = kind_of(encoder), json.dumps(writer.state(encoder))
     for i, table in enumerate(writer.tables):
-        table.write.parquet(f"{path}/tables/{i}")
-    spark.createDataFrame([(FORMAT, kind, state)], "format int, kind string, state string").coalesce(1).write.parquet(f"{path}/state")
+        table.write.mode(mode).parquet(f"{path}/tables/{i}")
+    row = spark.createDataFrame([(FORMAT, kind, state)], "format int, kind string, state string")
+    row.coalesce(1).write.mode(mode).parquet(f"{path}/state")
 
 
 def load_encoder(spark: SparkSession, path: str):

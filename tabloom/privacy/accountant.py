@@ -35,7 +35,7 @@ def log_sum_exp(terms: Column) -> Column:
 
 
 def rdp_integer(q: Column, sigma: Column, alpha: Column, top: int = 64) -> Column:
-    """RDP of one step at an integer order, by the binomial expansion in log space."""
+    """RDP of one step at an integer order up to ``top``, by the binomial expansion in log space; a higher order is an error."""
     lf = literal_array(log_factorials(top), "double")
     a = alpha.cast("int")
 
@@ -43,7 +43,8 @@ def rdp_integer(q: Column, sigma: Column, alpha: Column, top: int = 64) -> Colum
         choose = F.get(lf, a) - F.get(lf, i) - F.get(lf, a - i)
         return choose + i * F.ln(q) + (a - i) * F.ln(1 - q) + (i * i - i) / (2 * sigma * sigma)
 
-    return log_sum_exp(F.transform(F.sequence(F.lit(0), a), term)) / (alpha - 1)
+    value = log_sum_exp(F.transform(F.sequence(F.lit(0), a), term)) / (alpha - 1)
+    return F.when(alpha > top, F.raise_error(F.lit(f"an order is above {top}; give a higher top")).cast("double")).otherwise(value)
 
 
 def rdp_fractional(q: Column, sigma: Column, alpha: Column) -> Column:

@@ -45,6 +45,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end there."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def write_cohort(df: DataFrame, path: str) -> int:
     """Write parquet and return the row count, counted by the write itself."""
     seen = Observation()

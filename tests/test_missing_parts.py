@@ -327,6 +327,18 @@ def test_detection_of_few_rows(spark):
     assert learned.detection(two.limit(1), two, ["a", "c"]).count() == 0
 
 
+def test_metrics_that_fit_models_after_an_observation(spark, tmp_path):
+    """A session that has observed a write cannot be sent to tasks, and neither can a model that holds it."""
+    from tabloom.sources.io import write_cohort
+    df = spark.sql("select cast(id as double) x, cast(id % 7 as double) y, cast(id % 3 as string) c, concat('k', id % 1200) w from range(1500)")
+    assert write_cohort(df, f"{tmp_path}/observed") == 1500
+    few = df.limit(60)
+    assert len(learned.detection(few, few, ["x", "c"]).collect()) == 3
+    assert 0 <= learned.attack_numeric(few, few, ["x"], "y").first()["score"] <= 1
+    assert 0 <= learned.attack_categorical(few, few, ["c"], "c").first()["score"] < 0.01
+    assert 0 <= learned.attack_categorical(df, df, ["w"], "c").first()["score"] < 0.7  # more categories than one-hot columns
+
+
 # ledgers
 
 def test_two_sessions_extend_one_ledger(spark):

@@ -8,6 +8,7 @@ from tabloom.fidelity.row import METRICS, metric_row
 from tabloom.operators import categorical
 from tabloom.plans.flat import FlatEncoder
 from tabloom.roles import ColumnRoles
+from tabloom.runs.experiment import ALL_METRICS, Experiment, Settings
 from tabloom.sources import generators as G
 from tabloom.sources import io
 from tabloom.streaming import jobs
@@ -164,3 +165,62 @@ def test_stream_of_an_encoder_equals_batch(spark, data):
     stream = jobs.table_stream(spark, f"{data}/[o]rders.parquet").select(*batch.columns)
     got = jobs.run_to_files(jobs.encode_stream(stream, t), spark, "t")
     assert got.exceptAll(t.transform(batch)).isEmpty() and got.count() == batch.count()
+
+
+def test_an_experiment_goes_on_where_it_stopped(spark, lines, monkeypatch):
+    df = lines.where("l_orderkey < 200").withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    roles = ColumnRoles(categorical=("l_returnflag", "l_linestatus"), continuous=("l_quantity", "l_tax"), datetime=("l_shipdate",))
+    small = Settings(latent=2, hidden=4, decoder_hidden=4, epochs=1, q=0.5, clip=1.0, sigma=1.0)
+    path = io.scratch(spark, "experiment")
+    make = lambda: Experiment(df, roles, "row_key", path, small, [F.col("l_quantity") > 0], rows=300)
+
+    monkeypatch.setattr("tabloom.runs.experiment.metric_row", lambda *a: 1 / 0)  # dies after the rows of the first seed
+    with pytest.raises(ZeroDivisionError):
+        make().run([1, 2])
+    monkeypatch.undo()
+    trained = []
+    plain = T.fit
+    monkeypatch.setattr(T, "fit", lambda *a, **k: trained.append(k["seed"]) or plain(*a, **k))
+    first = make()
+    got = first.run([1, 2]).orderBy("seed").collect()
+    assert trained == [2]  # the first seed's model was complete
+    assert [r["seed"] for r in got] == [1, 2] and all(r[n] is not None for r in got for n in (*ALL_METRICS, "Gower", "epsilon"))
+    assert len(ALL_METRICS) == 7 and set(first.logs([1, 2]).columns) >= {"seed", "elbo"}
+    again = make().run([1, 2]).orderBy("seed").collect()
+    assert again == got and trained == [2]
+    made = first.synthetic(1)
+    assert made.count() == 300 and made.where("l_quantity <= 0").isEmpty() and set(roles.columns()) <= set(made.columns)
+    assert first.ledger.commits() == ["seed-1-0", "seed-2-0"]
+    with pytest.raises(ValueError, match="other settings"):
+        Experiment(df, roles, "row_key", path, Settings(epochs=3))
+
+
+def test_the_best_parameters_are_used(spark, toy):
+    shape, p, x, _ = toy
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_key bigint, features array<double>")
+    zero = {k: np.zeros_like(v) for k, v in p.items()}
+    means = lambda m: [r["mu"] for r in T.encode(rows, m).orderBy("row_key").collect()]
+    assert means(T.Model(shape, zero, best=p)) == means(T.Model(shape, p)) != means(T.Model(shape, zero))
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    """Four micro-batches; a row of the last one is late if its hour had ended before the watermark of the second."""
+    rows = [(f"k{i}", f"2024-01-01 {h:02d}:10:00", 1.0, b) for b, hours in enumerate([(0, 3), (6, 9), (12, 15), (1, 4, 18, 21)])
+            for i, h in enumerate(hours)]
+    df = spark.createDataFrame(rows, "name string, t string, v double, b int").withColumn("t", F.to_timestamp("t"))
+    path = jobs.in_arrivals(df, F.col("b"), 4, io.scratch(spark, "arrivals"))
+    stream = jobs.table_stream(spark, path).select("name", "t", "v")
+    got, batches, late = jobs.run_counting(jobs.thin_stream(stream, ["name"], "t", "v", "1 hour", "2 hours"), spark, "late")
+    hours = sorted(r["window_start"].hour for r in got.collect())
+    assert batches == 4 and late == 2 and hours == [0, 3, 6, 9, 12, 15, 18]
+
+
+def test_a_stream_is_decoded_by_the_table_of_cells(spark, monkeypatch):
+    from tabloom.operators.table import TableEncoder
+    monkeypatch.setattr(categorical, "LITERAL_LIMIT", -1)
+    df = spark.range(300).select("id", F.when(F.col("id") % 7 != 0, F.concat(F.lit("c"), F.col("id") % 40)).alias("c"), (F.col("id") * 1.5).alias("x"))
+    t = TableEncoder(keep=("id",)).fit(df)
+    path = io.scratch(spark, "coded")
+    t.transform(df).repartition(3).write.parquet(path)
+    back = jobs.run_to_files(jobs.decode_stream(jobs.table_stream(spark, path), t), spark, "decoded")
+    assert back.exceptAll(df).isEmpty() and back.count() == 300
