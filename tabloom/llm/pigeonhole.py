@@ -212,7 +212,7 @@ class Benchmark:
         kept = [c for c in keep if c not in new]
         rows = found.select(*[found[c].alias(f"__k{i}") for i, c in enumerate(kept)], F.explode(hits).alias("h"))
         flat = rows.select(*[F.col(f"__k{i}") for i in range(len(kept))], F.col("h.item").alias("item"), "h.distance", "h.start", "h.end")
-        named = skew_join(flat, self.ids, ["item"])
+        named = skew_join(checkpoint(flat), self.ids, ["item"])  # written once, as the join counts its keys first
         return named.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)], *new)
 
 
