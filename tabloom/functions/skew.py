@@ -13,13 +13,14 @@ def hot_keys(df: DataFrame, keys: list[str], parts: int | None = None) -> list[R
     """Keys with more than a fair task's share of rows, and the salts each needs.
 
     Fewer than ``parts`` keys can exceed 1/``parts`` of the rows, so the result
-    is bounded however large the table is.
+    is bounded however large the table is. One pass tells whether there is any.
     """
     parts = parts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    share = -(-df.count() // parts)
-    if share == 0:
-        return []
     counted = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    seen = counted.agg(F.sum("_n").alias("rows"), F.max("_n").alias("most")).first()
+    share = -(-(seen["rows"] or 0) // parts)
+    if (seen["most"] or 0) <= share:
+        return []
     return (counted.where(F.col("_n") > F.lit(share))
             .withColumn("_salts", F.ceil(F.col("_n") / F.lit(share)).cast("int"))  # at most ``parts``
             .drop("_n").collect())
