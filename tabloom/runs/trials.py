@@ -15,6 +15,7 @@ from tabloom.functions.skew import skew_join
 from tabloom.session import checkpoint
 
 CHUNK = 512    # rows compared at once
+BLOCK_ROWS = 10_000  # different vectors that are worth a block
 CORNERS = 64   # vectors that every block compares its rows with first
 FRONT = "blk int, v array<double>"
 
@@ -95,9 +96,10 @@ def pareto_front(trials: DataFrame, metrics: list[str]) -> DataFrame:
     wide = trials.withColumns({n: col(m).cast("double") + F.lit(0.0) for n, m in zip(names, metrics)}).na.drop(subset=names)
     vectors = wide.select(*names).distinct()
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    best = vectors.groupBy(F.pmod(F.xxhash64(*names), F.lit(CORNERS)).alias("k")).agg(F.max_by(F.struct(*names), total).alias("b"))
-    corners = np.array([list(r["b"]) for r in best.collect()], float).reshape(-1, len(names))  # at most CORNERS rows
-    parts = block_count(trials)
+    best = vectors.groupBy(F.pmod(F.xxhash64(*names), F.lit(CORNERS)).alias("k")).agg(
+        F.max_by(F.struct(*names), total).alias("b"), F.count(F.lit(1)).alias("n")).collect()  # at most CORNERS rows
+    corners = np.array([list(r["b"]) for r in best], float).reshape(-1, len(names))
+    parts = min(block_count(trials), 1 + sum(r["n"] for r in best) // BLOCK_ROWS)
 
     def own_front(batches):
         from pyspark.taskcontext import TaskContext
@@ -121,8 +123,14 @@ def pareto_front(trials: DataFrame, metrics: list[str]) -> DataFrame:
         rows = _falling(np.stack(pdf["v"].to_numpy()))
         return listed(pdf["blk"].iloc[0], rows[local_front(rows)] if rows.shape[1] else rows)
 
+    def rows_of(front: DataFrame) -> DataFrame:
+        found = checkpoint(front.select(*[F.get("v", i).alias(n) for i, n in enumerate(names)]))
+        return skew_join(wide, found, names).select(*[col(c) for c in trials.columns])
+
+    if parts == 1:
+        return rows_of(fronts)
     told, level = [], fronts.select("blk", F.slice("v", 2, len(names)).alias("v"))
-    for height in range(max(1, (parts - 1).bit_length())):
+    for height in range((parts - 1).bit_length()):
         level = checkpoint(level.groupBy("blk").applyInPandas(merged, FRONT))
         first = ((F.col("blk") + 1) * 2**height).cast("int")  # the blocks of the subtree to the right
         told.append(level.where((F.col("blk") % 2 == 0) & (first < parts)).select(
@@ -139,8 +147,7 @@ def pareto_front(trials: DataFrame, metrics: list[str]) -> DataFrame:
 
     others = reduce(DataFrame.unionByName, told)
     left = fronts.groupBy("blk").cogroup(others.groupBy("blk")).applyInPandas(keep, "v array<double>")
-    found = checkpoint(left.select(*[F.get("v", i).alias(n) for i, n in enumerate(names)]))
-    return skew_join(wide, found, names).select(*[col(c) for c in trials.columns])
+    return rows_of(left)
 
 
 def best_trial(trials: DataFrame, metrics: list[str], key: str) -> DataFrame:

@@ -216,7 +216,9 @@ def test_value_counts_of_all_columns_come_from_one_pass(spark, monkeypatch):
 # fronts
 
 @pytest.mark.parametrize("d, top", [(1, 5), (2, 30), (3, 12), (4, 6)])
-def test_front_by_brute_force(spark, d, top):
+@pytest.mark.parametrize("rows", [20, 10_000])
+def test_front_by_brute_force(spark, monkeypatch, d, top, rows):
+    monkeypatch.setattr(trials, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(d)
     points = rng.integers(0, top, size=(500, d)).astype(float)
     names = [f"m{i}" for i in range(d)]
