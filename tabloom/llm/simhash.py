@@ -5,11 +5,12 @@ that is at most one bit from one and two bits from the other. The ball of two
 bits has 2,081 members, so it is kept for the crowded places. First the 64 bits
 are cut into thirds and each third is left out in turn: of three differing bits
 at least one is then hidden, two or fewer remain, and the balls of half that
-radius (one bit: 131 variants in all) must meet. A variant shared by exactly two
-fingerprints gives a pair to verify. Fingerprints that share one with two or
-more others go on to the full balls: those within one bit of a point and those
-within two bits of it are all at most three apart, so one link from each to the
-least of the former replaces all their pairs, whatever their number.
+radius (one bit: 131 variants in all) must meet. The fingerprints that share a variant
+are compared among themselves while they are few (``CROWD``), which among many
+fingerprints they are by chance alone. Those that share one with more go on to
+the full balls: fingerprints within one bit of a point and those within two bits
+of it are all at most three apart, so one link from each to the least of the
+former replaces all their pairs, whatever their number.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from tabloom.session import checkpoint
 
 WORDS, SEED, RADIUS = 3, 42, 3
 TASKS = 48  # that make the variants, at least
+CROWD = 16  # fingerprints of a variant up to which they are compared with each other; a larger crowd is linked by its balls
 THIRDS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -86,14 +88,22 @@ def ball(df: DataFrame) -> DataFrame:
                          (F.when(F.col("x") != 0, 1).otherwise(0) + F.when(F.col("y") != 0, 1).otherwise(0)).alias("flips"))
 
 
+def crowd_links(met: DataFrame) -> DataFrame:
+    """(u, v) of all that differ in few enough bits among the 3 to ``CROWD`` fingerprints of a variant; no other pair leaves a row."""
+    crowds = met.filter((F.col("n") > 2) & (F.col("n") <= CROWD)).groupBy("variant").agg(F.collect_list("u").alias("us"))
+    each = crowds.select("us", F.explode("us").alias("u"))
+    close = F.filter("us", lambda v: (v < F.col("u")) & (F.bit_count(v.bitwiseXOR(F.col("u"))) <= RADIUS))
+    return each.select("u", F.explode(close).alias("v"))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(u, v) links that join exactly the fingerprints (column fp, distinct) reachable by steps of three bits or fewer."""
     same = Window.partitionBy("variant")  # of the fingerprints within one bit of a point, one third left out
     met = thirds_variants(prints).withColumns({"n": F.count("*").over(same), "v": F.min("fp").over(same)})
-    met = checkpoint(met.filter("n > 1").select(F.col("fp").alias("u"), "v", "n"))
-    pairs = met.filter("n = 2 and u != v").select("u", "v").distinct().filter(
+    met = checkpoint(met.filter("n > 1").select(F.col("fp").alias("u"), "v", "n", "variant"))
+    pairs = met.filter("n = 2 and u != v").select("u", "v").union(crowd_links(met)).distinct().filter(
         F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
-    members = met.filter("n > 2").select(F.col("u").alias("fp")).distinct()
+    members = met.filter(F.col("n") > CROWD).select(F.col("u").alias("fp")).distinct()
     near = Window.partitionBy("variant")  # 2,081 fingerprints at most lie within two bits of a point
     stars = ball(members).withColumn("v", F.min(F.when(F.col("flips") <= 1, F.col("fp"))).over(near))
     stars = stars.filter("v is not null and v != fp").select(F.col("fp").alias("u"), "v").distinct()

@@ -375,7 +375,9 @@ def test_prints_and_components_of_odd_rows(spark, odd):
     assert simhash.near_duplicates(table(spark, [])).count() == 0 == simhash.keep_one(table(spark, [])).count()
 
 
-def test_balls_find_every_link_and_no_other(spark):
+@pytest.mark.parametrize("crowd", [2, 5, 16])  # crowds compared, linked by their balls, and some of each
+def test_balls_find_every_link_and_no_other(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     r = random.Random(9)
     prints = set()
     for _ in range(12):  # crowds around points, chains of three bits, and loners
@@ -386,6 +388,8 @@ def test_balls_find_every_link_and_no_other(spark):
         for _ in range(3):
             at ^= sum(1 << b for b in r.sample(range(64), 3))
             prints.add(at)
+    at = r.getrandbits(64)
+    prints |= {at ^ (1 << a) ^ (1 << b) for a in range(6) for b in range(a, 6)}  # a crowd of more than 16 around one point
     df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
     found = {r.node: r.root for r in components(simhash.links(df)).collect()}
     signed = {simhash.signed(p): p for p in prints}
