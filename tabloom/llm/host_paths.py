@@ -29,6 +29,7 @@ PATHS = 200  # paths of a host at most, which bounds a row of the smaller side;
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"
                    r"|<[!?/][^>]*>|<[A-Za-z/!?][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:\s|^)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # a value at the end of a tag; its slash does not close the element
 
 # Fixed values of HTML: elements by how they are read.
 RAW = frozenset("script style title textarea xmp".split())
@@ -51,20 +52,26 @@ BOILER = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header mas
                    "subscribe share social related recommended comment comments replies reply respond disqus login signup "
                    "search pagination copyright legal toolbar complementary contentinfo".split())
 DENIED = frozenset("no not non without has with".split())
-BETWEEN = re.compile("[-_]+")
+# Words beside them in a compound that say where or how it stands on the page, never what a text is about.
+LAYOUT = frozenset("site main global primary secondary top bottom left right mobile desktop sticky fixed floating box bar slot strip "
+                   "wrapper wrap container inner outer block area unit panel section row col column list item items link links "
+                   "button buttons icon icons overlay dialog message toggle trigger close posts articles stories".split())
+BETWEEN = re.compile("[-_]+|(?<=[a-z])(?=[A-Z])")
 NEVER = frozenset("body html article main".split())  # never dropped
 PLAIN, DOUBTFUL, MARKED = range(3)
 DOUBT = 0.3  # what a doubtful block's text is worth
+MINOR = 0.5  # of the article's text that a doubtful element of links holds at most if it is left out
 
 
 class Block:
     """A run of text between block borders: the containers around it, its characters and those inside links."""
 
-    __slots__ = ("path", "nodes", "parts", "linked", "dropped", "doubts", "marks", "core", "title")
+    __slots__ = ("path", "nodes", "parts", "linked", "dropped", "doubts", "marks", "core", "title", "own")
 
-    def __init__(self, path, nodes, dropped, doubts, marks, core, title):
+    def __init__(self, path, nodes, dropped, doubts, marks, core, title, own):
         self.path, self.nodes, self.parts, self.linked, self.dropped = path, nodes, [], 0, dropped
         self.doubts, self.marks, self.core, self.title = doubts, marks, core, title
+        self.own = own  # a paragraph's element that its class alone marks
 
     def unlinked(self) -> int:
         return max(0, len("".join(self.parts).strip()) - self.linked)
@@ -76,15 +83,21 @@ class Block:
 
 @lru_cache(4096)
 def kind_of(value: str) -> int:
-    """Marked if a word of class, id or role is a boilerplate word as a whole, doubtful if only a part of a compound is."""
+    """Marked if a word of class, id or role is a boilerplate word or a compound of these, layout words and numbers.
+
+    A compound that has such a word beside words of another kind (``post-share``, ``share-price``) is doubtful.
+    """
     kind, before = PLAIN, ""
-    for token in value.lower().split():
-        if token in BOILER and before not in DENIED:
+    for token in value.split():
+        word = token.lower()
+        if word in BOILER and before not in DENIED:
             return MARKED
-        parts = BETWEEN.split(token)
+        parts = [x.lower() for x in BETWEEN.split(token) if x]
         if len(parts) > 1 and any(x in BOILER and y not in DENIED for y, x in zip(["", *parts], parts)):
+            if all(x in BOILER or x in LAYOUT or x.isdigit() for x in parts):
+                return MARKED
             kind = DOUBTFUL
-        before = token
+        before = word
     return kind
 
 
@@ -105,8 +118,13 @@ def spare(found: list[Block], holders: set[int], forms: set[int]) -> None:
 
     Such an element holds an article or main and more text than all of these
     outside marked elements, or, named by its class or a form, most of a page's
-    text where no article or main outside has any.
+    text where no article or main outside has any. A paragraph of an article or
+    main that nothing but its own class marks stays too if it is a sentence
+    without links (``p.legal``).
     """
+    for b in found:
+        if b.core and b.own is not None and b.marks == [b.own] and not b.linked and b.unlinked() >= 2 * LONG:
+            b.marks = []
     inside: dict[int, int] = {}
     core = total = 0
     for b in found:
@@ -141,7 +159,7 @@ def blocks(page: str) -> list[Block]:
             current = Block(tuple(s[1] for s in around if s[0] != "body"), tuple(s[3] for s in around),
                             any(s[2] for s in stack), frozenset(s[3] for s in stack if s[4] != PLAIN),
                             [s[3] for s in stack if s[4] == MARKED], any(s[0] in ("article", "main") for s in stack),
-                            any(s[0] == "h1" for s in stack))
+                            any(s[0] == "h1" for s in stack), next((s[3] for s in stack if s[0] == "p" and s[4] == MARKED), None))
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -191,9 +209,10 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in SCOPE:
                     break
-        if tag in VOID or (m[3] or m[6] or "").endswith("/") and tag not in BLOCK:
+        attributes = m[3] or m[6] or ""
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and not UNQUOTED.search(attributes):
             continue
-        name, kind = generalised(tag, m[3] or m[6] or "")
+        name, kind = generalised(tag, attributes)
         number += 1
         if tag in ("article", "main") and kind == PLAIN:
             holders.update(s[3] for s in stack if s[4] == MARKED)
@@ -280,6 +299,18 @@ def votes_of(page: str | None) -> list[tuple[str, float, int]]:
     return [(" > ".join(place), total[place], 1), *((" > ".join(k), 0.0, 0) for k in sorted(beside))]
 
 
+def link_lists(kept: list[Block]) -> set[int]:
+    """The doubtful elements that are mostly links and hold ``MINOR`` of the text of ``kept`` at most (``div.post-navigation``)."""
+    total, sizes = 0, {}
+    for b in kept:
+        linked, unlinked = b.linked, b.unlinked()
+        total += linked + unlinked
+        for e in b.doubts.difference(b.marks):
+            had = sizes.get(e, (0, 0))
+            sizes[e] = had[0] + linked, had[1] + unlinked
+    return {e for e, (linked, unlinked) in sizes.items() if linked > unlinked and linked + unlinked <= MINOR * total}
+
+
 def extract(page: str | None, paths: list[str], refused: list[str] = ()) -> str:
     """Text of the blocks under the path that gives the page most.
 
@@ -296,7 +327,9 @@ def extract(page: str | None, paths: list[str], refused: list[str] = ()) -> str:
         chosen = own
     if chosen is None:
         return ""
-    return "\n\n".join(x for b in found if b.path[:len(chosen)] == chosen and (x := cleaned(b)))
+    kept = [b for b in found if b.path[:len(chosen)] == chosen]
+    away = link_lists(kept)
+    return "\n\n".join(x for b in kept if away.isdisjoint(b.doubts) and (x := cleaned(b)))
 
 
 def host_of(url: str):

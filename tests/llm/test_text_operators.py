@@ -315,6 +315,31 @@ def test_elements_in_the_article_are_read_and_boilerplate_beside_it_is_not():
     assert kept == [b, "A caption.", f"{b} x", "A label", "A note"]
 
 
+@pytest.mark.parametrize("name", [
+    "class=cookie-banner", "id=site-nav", "class='sidebar-box'", "class=cookie-bar", "class='ad-slot ad-slot-3'", "id=siteNav",
+    "class=sidebarLeft", "class='box related-posts'", "class=share-buttons", "class=comments__list"])
+@pytest.mark.parametrize("around", [
+    "<body><{e}>{side}</div><article><h1>Title</h1><p>{body}</p></article>", "<body><article><h1>Title</h1><p>{body}</p><{e}>{side}</div></article>",
+    "<body><div class=page><div class=post><h1>Title</h1><p>{body}</p></div><{e}>{side}</div></div>", "<body><h1>Title</h1><p>{body}</p><{e}>{side}</div>"])
+def test_compound_names_of_boilerplate_are_dropped(name, around):
+    page = around.format(e=f"div {name}", side="<p>We use many things that nobody reads here, and more of them.</p>", body=BODY * 4)
+    assert host_paths.extract(page, []) == f"Title\n\n{(BODY * 4).strip()}"
+
+
+@pytest.mark.parametrize("name", ["share-price", "social-science", "side-by-side", "post-header", "no-sidebar", "searchResults"])
+def test_compounds_about_something_stay(name):
+    page = f"<body><article><h1>Title</h1><p>{BODY * 4}</p><div class={name}><p>{BODY}</p></div></article>"
+    assert host_paths.extract(page, []) == f"Title\n\n{(BODY * 4).strip()}\n\n{BODY.strip()}"
+
+
+def test_paragraphs_of_the_article_stay_unless_links_or_short():
+    long = "The law says what it says, and the article explains it."
+    page = (f"<body><article><p>{BODY * 4}</p><p class=legal>{long}</p><p class=share>Share this</p><p class=share>{long}<a href=/>x</a></p>"
+            f"<div class=comments><p class=legal>{long}</p></div><div class=post-navigation><a href=/>{long}</a> next</div></article>"
+            f"<p class=legal>{long}</p>")
+    assert host_paths.extract(page, []) == f"{(BODY * 4).strip()}\n\n{long}"
+
+
 @pytest.mark.parametrize("page", [
     "<body><article><h1>Title</h1><p>{lead}</p><div class=body><p>{long}</p></div></article><div class=teaser>A word</div>",
     "<body><div class=post><h1>Title</h1><p>{lead}</p><div class=body><p>{long}</p></div></div>",
