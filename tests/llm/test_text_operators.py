@@ -1,6 +1,7 @@
 """The text operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import html.parser
 import io
 import math
 import random
@@ -366,6 +367,55 @@ def test_host_of_many_templates_keeps_every_article(spark):
     assert dict(of(host_paths.main_text(df), "page_id", "text")) == want
 
 
+READ = set("p h1 h2 h3 h4 h5 h6 ul ol li div section article table tr td th blockquote pre hr dl dt dd main body".split())
+SKIPPED = set("nav header footer aside form noscript script style title".split())
+
+
+class PlainReader(html.parser.HTMLParser):
+    """The text inside articles, by nothing but the order of tags: no scores, votes or paths."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.articles, self.skipped, self.blocks = 0, [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if self.skipped:
+            if tag == self.skipped[0]:
+                self.skipped.append(tag)
+        elif tag in SKIPPED or dict(attrs).get("class", "") in ("ad", "comments"):
+            self.skipped.append(tag)
+        if tag in READ:
+            self.blocks.append("")
+        self.articles += tag == "article"
+        if tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        if self.skipped and tag == self.skipped[0]:
+            self.skipped.pop()
+        if tag in READ:
+            self.blocks.append("")
+        self.articles -= tag == "article"
+
+    def handle_data(self, data):
+        if self.articles > 0 and not self.skipped:
+            self.blocks[-1] += data
+
+
+def plain_text(page):
+    reader = PlainReader()
+    reader.feed(page or "")
+    reader.close()
+    return "\n\n".join(t for b in reader.blocks if (t := " ".join(b.split())))
+
+
+def test_all_pages_as_a_plain_reader_reads_them(spark, data):
+    df = spark.read.parquet(f"{data}/pages.parquet")
+    out = host_paths.main_text(df).select("html", "text").collect()
+    assert len(out) == df.count() and any(r.text for r in out)
+    assert [r.text for r in out] == [plain_text(r.html) for r in out]
+
+
 # 7: SimHash
 
 def brute_print(text):
