@@ -2,15 +2,19 @@
 
 Two fingerprints that differ in at most three bits have a point between them
 that is at most one bit from one and two bits from the other. The ball of two
-bits has 2,081 members, so it is kept for the crowded places. First the 64 bits
+bits has 2,081 members, so it is kept for the last resort. First the 64 bits
 are cut into thirds and each third is left out in turn: of three differing bits
 at least one is then hidden, two or fewer remain, and the balls of half that
 radius (one bit: 131 variants in all) must meet. The fingerprints that share a variant
 are compared among themselves while they are few (``CROWD``), which among many
-fingerprints they are by chance alone. Those that share one with more go on to
-the full balls: fingerprints within one bit of a point and those within two bits
-of it are all at most three apart, so one link from each to the least of the
-former replaces all their pairs, whatever their number.
+fingerprints they are by chance alone. In a larger crowd those around one point
+are linked to the least of them. Most of a crowd is then one component, and
+only what is outside of it is compared with the whole crowd: rows in proportion
+to the crowd, not to its pairs. Where that is more than ``OTHERS``, those
+outside go on to the full balls and the rest of the crowd to the balls of one
+bit: fingerprints within one bit of a point and those within two bits of it are
+at most three apart, so one link from each to the least of the former replaces
+all their pairs, whatever their number.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from itertools import accumulate, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -31,7 +35,8 @@ from tabloom.session import checkpoint
 
 WORDS, SEED, RADIUS = 3, 42, 3
 TASKS = 48  # that make the variants, at least
-CROWD = 16  # fingerprints of a variant up to which they are compared with each other; a larger crowd is linked by its balls
+CROWD = 16  # fingerprints of a variant up to which they are compared with each other
+OTHERS = 64  # fingerprints outside a crowd's largest component up to which they are compared with all of it; more are linked by balls
 THIRDS = ((0, 21), (21, 42), (42, 64))
 
 
@@ -76,6 +81,13 @@ def thirds_variants(df: DataFrame) -> DataFrame:
     return df.select("fp", F.explode(F.array(*made)).alias("variant"))
 
 
+def near_ball(df: DataFrame) -> DataFrame:
+    """Every variant within one bit, with the number of bits flipped."""
+    one = F.array(*[F.lit(signed(m)) for m in [0, *(1 << i for i in range(64))]])
+    return df.select("fp", F.posexplode(one).alias("i", "x")).select(
+        "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("variant"), F.when(F.col("x") != 0, 1).otherwise(0).alias("flips"))
+
+
 def ball(df: DataFrame) -> DataFrame:
     """Every variant within two bits, with the number of bits flipped."""
     one = F.array(*[F.lit(signed(m)) for m in [0, *(1 << i for i in range(64))]])
@@ -96,6 +108,47 @@ def crowd_links(met: DataFrame) -> DataFrame:
     return each.select("u", F.explode(close).alias("v"))
 
 
+def point() -> Column:
+    """The whole point, one bit from u at most, that u and its variant tell: the hidden third is as in u."""
+    found = []
+    for number, (a, b) in enumerate(THIRDS):
+        hidden = (1 << b) - (1 << a)
+        rest = F.col("variant").bitwiseAND(F.lit(signed(~hidden & (1 << 64) - 1)))
+        whole = rest.bitwiseOR(F.col("u").bitwiseAND(F.lit(signed(hidden))))
+        marked = F.col("variant").bitwiseAND(F.lit(signed(hidden))) == F.lit(signed((number + 1) << a))
+        found.append(F.when(marked & (F.bit_count(whole.bitwiseXOR(F.col("u"))) <= 1), whole))
+    return F.coalesce(*found)
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Links of all pairs (u: fp) within three bits of which one is a ``minor``; others are at most three apart as well."""
+    balls = ball(members.filter("minor").select("fp")).union(near_ball(members.filter("not minor").select("fp")))
+    at = Window.partitionBy("variant")  # 2,081 fingerprints at most lie within two bits of a point
+    least = balls.withColumn("v", F.min(F.when(F.col("flips") <= 1, F.col("fp"))).over(at))
+    return least.filter("v is not null and v != fp").select(F.col("fp").alias("u"), "v").distinct()
+
+
+def links_across(crowds: DataFrame) -> DataFrame:
+    """Links (u, v) between the components (root) of the fingerprints u of each crowd (variant).
+
+    Of two components of a crowd one is not its largest, so every pair that is
+    still to be found has a fingerprint outside the largest component.
+    """
+    parts = crowds.groupBy("variant", "root").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("variant").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("all"))
+    largest = largest.select("variant", F.col("largest.root").alias("main"), (F.col("all") - F.col("largest.n")).alias("outside"))
+    parted = checkpoint(crowds.join(largest.filter("outside > 0"), "variant"))
+    few = parted.filter(F.col("outside") <= OTHERS)
+    others = few.filter("root != main").groupBy("variant").agg(F.collect_list(F.struct("u", "root")).alias("others"))
+    close = F.filter("others", lambda o: (o["root"] != F.col("root")) & (F.bit_count(o["u"].bitwiseXOR(F.col("u"))) <= RADIUS))
+    met = few.select("variant", "u", "root").join(others, "variant").withColumn(
+        "roots", F.array_distinct(F.transform(close, lambda o: o["root"])))
+    direct = met.select(F.col("root").alias("u"), F.explode("roots").alias("v")).distinct()
+    many = parted.filter(F.col("outside") > OTHERS).groupBy(F.col("u").alias("fp")).agg(
+        F.max(F.col("root") != F.col("main")).alias("minor"))
+    return direct.union(stars(many))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(u, v) links that join exactly the fingerprints (column fp, distinct) reachable by steps of three bits or fewer."""
     same = Window.partitionBy("variant")  # of the fingerprints within one bit of a point, one third left out
@@ -103,11 +156,15 @@ def links(prints: DataFrame) -> DataFrame:
     met = checkpoint(met.filter("n > 1").select(F.col("fp").alias("u"), "v", "n", "variant"))
     pairs = met.filter("n = 2 and u != v").select("u", "v").union(crowd_links(met)).distinct().filter(
         F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
-    members = met.filter(F.col("n") > CROWD).select(F.col("u").alias("fp")).distinct()
-    near = Window.partitionBy("variant")  # 2,081 fingerprints at most lie within two bits of a point
-    stars = ball(members).withColumn("v", F.min(F.when(F.col("flips") <= 1, F.col("fp"))).over(near))
-    stars = stars.filter("v is not null and v != fp").select(F.col("fp").alias("u"), "v").distinct()
-    return pairs.union(stars)
+    crowds = met.filter(F.col("n") > CROWD).select("u", "variant")
+    if crowds.isEmpty():
+        return pairs
+    around = Window.partitionBy("point")  # 65 fingerprints at most
+    near = crowds.select("u", point().alias("point")).distinct().withColumn("v", F.min("u").over(around)).filter("u != v")
+    found = checkpoint(components(pairs.union(near.select("u", "v"))))
+    roots = crowds.join(found.withColumnRenamed("node", "u"), "u", "left")
+    roots = checkpoint(roots.withColumn("root", F.coalesce("root", "u")))
+    return found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links_across(roots))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -476,6 +476,38 @@ def test_balls_find_every_link_and_no_other(spark, monkeypatch, crowd):
     assert all(bin((r.variant ^ 5) & (1 << 64) - 1).count("1") == r.flips for r in one.collect())
 
 
+@pytest.mark.parametrize("others", [0, 2, 64])  # all outside the largest component of a crowd by balls, some, none
+def test_large_crowds_of_several_components(spark, monkeypatch, others):
+    monkeypatch.setattr(simhash, "OTHERS", others)
+    monkeypatch.setattr(simhash, "CROWD", 4)
+    r = random.Random(21)
+    prints = set()
+    for _ in range(4):  # a crowd around a point, and smaller ones that share its variants and lie four bits or more away
+        at = r.getrandbits(64)
+        prints |= {at ^ sum(1 << b for b in r.sample(range(64), r.choice([0, 1, 2, 3]))) for _ in range(40)}
+        for _ in range(12):
+            away = at ^ sum(1 << b for b in r.sample(range(21), r.choice([4, 5, 6, 7])))
+            prints |= {away, away ^ 1 << r.randrange(64)}
+    found = {r.node: r.root for r in components(simhash.links(spark.createDataFrame(
+        [(simhash.signed(p),) for p in prints], "fp long"))).collect()}
+    want, got = brute_roots(sorted(prints)), {p: found.get(simhash.signed(p), simhash.signed(p)) for p in prints}
+    groups = lambda root: {frozenset(k for k in root if root[k] == v) for v in set(root.values())}
+    assert groups(got) == groups(want) and len(groups(want)) > 8
+
+
+def test_one_large_group_needs_no_balls(spark, monkeypatch):
+    made, ball = [], simhash.ball
+    monkeypatch.setattr(simhash, "ball", lambda df: made.append(df) or ball(df))
+    r = random.Random(22)
+    at = r.getrandbits(64)
+    prints = {at ^ sum(1 << b for b in r.sample(range(64), r.choice([1, 1, 2, 2, 3]))) for _ in range(300)}
+    prints |= {at ^ sum(1 << b for b in r.sample(range(21), 6)) for _ in range(5)}
+    found = components(simhash.links(spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")))
+    sizes = Counter(brute_roots(sorted(prints)).values())
+    assert sorted(Counter(r.root for r in found.collect()).values()) == sorted(n for n in sizes.values() if n > 1)
+    assert sum(df.count() for df in made) == 0
+
+
 def test_components_of_chains_and_stars(spark):
     r = random.Random(3)
     nodes = r.sample(range(10_000), 300)
