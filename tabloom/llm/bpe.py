@@ -4,8 +4,9 @@ The corpus' most widespread words are compiled, with their token ids, into one
 automaton that shares prefixes and suffixes. Following a word's bytes adds up
 the numbers on its edges, and the sum is the word's place in the table of ids.
 The automaton is one file that every executor maps into memory; a word that it
-lacks is merged exactly, pair by pair. Which words it holds never changes a
-result, only how often the merging is needed.
+lacks is merged exactly, pair by pair, together with the other new words of its
+batch. Which words it holds never changes a result, only how often the merging
+is needed.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabloom.llm.arrow import append, gather, local_path, publish
+from tabloom.llm.merging import WIDTHS, PairTable, cut_rows, merge_words
 from tabloom.session import checkpoint
 
 LEXICON = 200_000  # words in the automaton: the bound of what the driver holds
@@ -209,14 +213,20 @@ class Transducer:
 
 
 class Encoder:
-    """Texts to ids in one task."""
+    """Texts to ids in one task. The ids of a word are kept as bytes, so that those of a batch are one join away."""
 
     def __init__(self, vocabulary: Vocabulary, transducer: Transducer):
         self.vocabulary, self.transducer, self.split = vocabulary, transducer, splitter()
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") \
             if vocabulary.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        gc.set_threshold(1_000_000)  # tuples of ids are no garbage, and walking them takes a fifth of the time
+        self.known: dict[str, bytes] = {}
+        self.symbol = np.array(vocabulary.symbol, np.int32)
+        pairs = np.array(list(vocabulary.rank), np.int32).reshape(-1, 2)
+        ranks = np.fromiter(vocabulary.rank.values(), np.int32, len(pairs))
+        self.table = PairTable(pairs[:, 0], pairs[:, 1], ranks, np.array(vocabulary.made, np.int32)[ranks])
+        raw = vocabulary.bytes_of
+        self.tokens = pa.array([raw.get(i) for i in range(max(raw) + 1)], pa.binary())
+        gc.set_threshold(1_000_000)  # the words of a batch are no garbage, and walking them takes time
 
     def words(self, text: str) -> list[str]:
         if self.cuts is None or not any(s in text for s in self.vocabulary.special):
@@ -224,25 +234,42 @@ class Encoder:
         special = self.vocabulary.special
         return list(chain.from_iterable([p] if p in special else self.split(p) for p in self.cuts.split(text) if p))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def _ids_of(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of new words: from the automaton, or merged, up to the last width many at once."""
+        raw = [w.encode() for w in words]
+        made, short = {}, []
+        for k, ids in enumerate(self.transducer.find(raw)):
+            if ids is None and len(raw[k]) <= WIDTHS[-1]:
+                short.append(k)
+            else:
+                made[words[k]] = np.array(self.vocabulary.merge(raw[k]) if ids is None else ids, np.int32).tobytes()
+        flat = self.symbol[np.frombuffer(b"".join(raw[k] for k in short), np.uint8)]
+        lengths = np.array([len(raw[k]) for k in short], np.int64)
+        return made | cut_rows([words[k] for k in short], *merge_words(flat, lengths, self.table))
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
         split = [self.words(t) for t in texts]
         if len(self.known) > CACHED:
             self.known = {}
         if not self.known:
-            self.known |= {s: (i,) for s, i in self.vocabulary.special.items()}
+            self.known |= {s: np.int32(i).tobytes() for s, i in self.vocabulary.special.items()}
         known = self.known
-        found = [list(map(known.get, words)) for words in split]
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        new = list({w for k in gaps for w, ids in zip(split[k], found[k]) if ids is None})
-        raw = [w.encode() for w in new]
-        for word, own, ids in zip(new, raw, self.transducer.find(raw)):
-            known[word] = self.vocabulary.merge(own) if ids is None else ids
-        for k in gaps:
-            found[k] = [known[w] if ids is None else ids for w, ids in zip(split[k], found[k])]
-        return [list(chain.from_iterable(ids)) for ids in found]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        if new := [w for w in set(chain.from_iterable(split)) if w not in known]:
+            known |= self._ids_of(new)
+        rows = [b"".join(map(known.__getitem__, words)) for words in split]
+        ends = np.cumsum([0, *map(len, rows)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of the ids of each row; bytes that are no UTF-8 become replacement characters."""
+        tokens = self.tokens.take(ids.values)
+        if tokens.null_count:
+            raise KeyError("an id that the vocabulary lacks")
+        raw = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, tokens), b"")
+        try:
+            return raw.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
 
 def widespread_words(df: DataFrame, text: str, limit: int = LEXICON) -> list[str]:
@@ -257,7 +284,9 @@ def widespread_words(df: DataFrame, text: str, limit: int = LEXICON) -> list[str
 
         def add(texts):
             pieces = set(chain.from_iterable(t.split(" ") for t in texts if t))
-            for word in set(chain.from_iterable(split(" " + p) for p in pieces)):
+            plain = [p for p in pieces if p.isascii()]  # these are one text; one other letter would slow all of them
+            words = set(split(" " + " ".join(plain))).union(*(split(" " + p) for p in pieces if not p.isascii()))
+            for word in words:
                 count[word] = count.get(word, 0) + 1
             return flush() if len(count) > CACHED else None
 
@@ -319,7 +348,7 @@ class BpeCodec:
 
             def work(texts):
                 found = encoder.encode([t or "" for t in texts])
-                return [found] + ([[encoder.decode(i) for i in found]] if both else [])
+                return [found] + ([encoder.decode(found)] if both else [])
 
             return work
 
@@ -331,6 +360,6 @@ class BpeCodec:
 
         def make():
             encoder = load()
-            return lambda rows: [[encoder.decode(i or []) for i in rows]]
+            return lambda rows: [encoder.decode(pa.array([i or [] for i in rows], pa.list_(pa.int32())))]
 
         return append(df, [ids], [(text, T.StringType())], make)

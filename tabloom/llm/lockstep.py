@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from tabloom.functions.skew import skew_join
 from tabloom.llm.arrow import append, local_path, own, publish
 from tabloom.llm.bpe import Vocabulary, splitter
-from tabloom.llm.merging import WIDTHS, PairTable, merge_words
+from tabloom.llm.merging import WIDTHS, PairTable, cut_rows, merge_words
 from tabloom.llm.pieces import CACHED, LONG, PieceCodec, PieceEncoder
 from tabloom.sources.io import scratch
 
@@ -105,11 +105,6 @@ class PlainPieces(PieceEncoder):
         return out | cut_rows([keys[k] for k in plain], *merge_words(flat[~odd[row]], lengths[~odd], self.table))
 
 
-def cut_rows(names: list[str], flat: np.ndarray, lengths: np.ndarray) -> dict[str, bytes]:
-    data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(lengths)).tolist()
-    return {n: data[a:b] for n, a, b in zip(names, [0, *ends], ends)}
-
-
 def common_ends(ends_a: np.ndarray, ends_b: np.ndarray, texts_a: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
     """For each token whether it ends a group, from the ends of all tokens of a batch.
 

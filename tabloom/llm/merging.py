@@ -71,6 +71,12 @@ def merge_words(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> t
     return out[keep], keep.sum(axis=1)
 
 
+def cut_rows(names: list[str], flat: np.ndarray, lengths: np.ndarray) -> dict[str, bytes]:
+    """What ``merge_words`` gives by name, as the bytes of 32-bit numbers."""
+    data, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(lengths)).tolist()
+    return {n: data[a:b] for n, a, b in zip(names, [0, *ends], ends)}
+
+
 def _merge_matrix(m: np.ndarray, table: PairTable, words: np.ndarray, out: np.ndarray) -> None:
     n, width = m.shape
     at = np.arange(width)

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -66,6 +67,25 @@ def test_bpe_without_rows_or_lexicon(spark):
     assert list(got.token_ids) == library_ids("no lexicon at all")
 
 
+def test_ids_of_a_batch_are_arrow_lists_and_new_words_are_merged_together(tmp_path, monkeypatch):
+    with open(VOCABULARY, "rb") as f:
+        vocabulary = bpe.Vocabulary(f.read())
+    path, r = tmp_path / "t", random.Random(8)
+    path.write_bytes(bpe.compile_transducer({w: vocabulary.merge(w) for w in (b" the", b"cat", b" of")}))
+    encoder, alone, merge = bpe.Encoder(vocabulary, bpe.Transducer(str(path))), [], vocabulary.merge
+    monkeypatch.setattr(vocabulary, "merge", lambda w: alone.append(w) or merge(w))
+    texts = ["", *("".join(r.choice("ab the cat é東🙂\x00\n'1") for _ in range(r.randint(0, 200))) for _ in range(60)), "x" * 5000]
+    for part in (texts, texts[:1], []):
+        ids = encoder.encode(part)
+        assert ids.to_pylist() == [library_ids(t) for t in part] and encoder.decode(ids).to_pylist() == part
+    assert all(len(w) > 32 for w in alone)  # of new words only long ones are merged one by one
+    cut = library_ids("🙂")[:1]
+    assert encoder.decode(pa.array([cut, [], None], ids.type)).to_pylist() == [
+        Tokenizer.from_file(VOCABULARY).decode(cut, skip_special_tokens=False), "", ""]
+    with pytest.raises((KeyError, IndexError)):
+        encoder.decode(pa.array([[10**6]], ids.type))
+
+
 def test_transducer_is_minimal_and_finds_exactly_its_words(tmp_path):
     r = random.Random(5)
     words = {"".join(r.choice("ab") for _ in range(r.randint(1, 7))).encode(): (i, i + 1) for i in range(60)}
