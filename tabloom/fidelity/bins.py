@@ -23,18 +23,36 @@ def ordered(x: np.ndarray) -> np.ndarray:
     return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
 
 
+def _steps(low: float, high: float) -> tuple[int, int]:
+    """The place of ``low`` in the order of all doubles, and the bits of a bin's width."""
+    a, b = (int(v) for v in ordered(np.array([low, high])))
+    return a, max(0, (b - a).bit_length() - (BINS.bit_length() - 1))
+
+
 def placed(x: np.ndarray, low: float, high: float) -> np.ndarray:
     """The bin of every number: one below ``low``, ``BINS`` from it to ``high`` by equal steps of the numbers
     that a double can hold, so that a far value leaves the others their bins, and one above."""
-    a, b = (int(v) for v in ordered(np.array([low, high])))
-    shift = np.uint64(max(0, (b - a).bit_length() - (BINS.bit_length() - 1)))
+    a, shift = _steps(low, high)
     key = ordered(x)
-    place = ((key - np.uint64(a)) >> shift).astype(np.int64) + 1
-    place[key < np.uint64(a)] = 0
-    place[key > np.uint64(b)] = BINS + 1
+    place = ((key - np.uint64(a)) >> np.uint64(shift)).astype(np.int64) + 1
+    place[x < low] = 0
+    place[x > high] = BINS + 1
     return place
 
 
+def span(first: int, last: int, low: float, high: float) -> tuple[float, float]:
+    """Numbers between which the bins ``first`` to ``last`` lie."""
+    a, shift = _steps(low, high)
+
+    def number(key: int) -> float:
+        bits = key ^ (1 << 63) if key >> 63 else ~key & (2**64 - 1)
+        return float(np.array([bits], np.uint64).view(float)[0])
+
+    begin = -np.inf if first < 1 else high if first > BINS else number(a + ((int(first) - 1) << shift))
+    end = a + (int(last) << shift)
+    return float(begin), np.inf if last > BINS or end >= 2**64 or not np.isfinite(number(end)) else number(end)
+
+
 def numbered_columns(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(r, x0, x1, ...): both tables' columns as doubles, r is 1 on real rows."""
     return tagged(real, synthetic, columns).select("r", *[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])

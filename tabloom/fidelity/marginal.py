@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.fidelity.bins import BINS, bin_counts, crowded, numbered_columns, placed
+from tabloom.fidelity.bins import BINS, bin_counts, crowded, numbered_columns, placed, span
 from tabloom.fidelity.pair import category_counts, cumulative, with_totals
 from tabloom.functions.scalar import col, nan_to_null
 from tabloom.functions.sums import chunked, numbers
@@ -59,6 +60,9 @@ def chi_square_score(real: DataFrame, synthetic: DataFrame, columns: list[str])
 def _inside(both: DataFrame, limits: dict[int, tuple[float, float]], open_bins: pd.DataFrame) -> dict[int, float]:
     """The largest gap of the two distribution functions at the values inside some bins, by column."""
     wanted = {c: np.isin(np.arange(BINS + 2), part["b"]) for c, part in open_bins.groupby("c")}
+    # other columns, and rows outside the span of a column's bins, need not leave the JVM
+    spans = [F.col(f"x{c}").between(*span(part["b"].min(), part["b"].max(), *limits[c])) for c, part in open_bins.groupby("c")]
+    both = both.select("r", *[f"x{c}" for c in wanted]).where(reduce(lambda a, b: a | b, spans))
 
     def values(batches):
         for chunk in chunked(batches):

@@ -14,6 +14,7 @@ from tabloom.functions.scalar import clip, col, literal_array, nan_to_null
 
 SMOOTHING = 1e-5
 CELLS_PER_SIDE = 10
+ORIGIN_ROWS = 100  # rows in which a value of every column is looked for first
 
 
 def kl_continuous(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,6 +47,8 @@ def kl_continuous(real: DataFrame, synthetic: DataFrame, columns: list[str]) ->
 def kl_discrete(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column_a, column_b, kl, score) over the value pairs that occur."""
     both = tagged(real, synthetic, columns)
+    if len(columns) == 2:  # the rows' cells are the pair's
+        both = both.groupBy(*[col(c) for c in columns]).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
     items = F.array(*[
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
                  col(a).cast("string").alias("va"), col(b).cast("string").alias("vb"))
@@ -65,7 +68,10 @@ def pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     d = len(columns)
     numbers = nan_to_null(df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]))
-    origin = numbers.agg(*[F.first(f"x{i}", ignorenulls=True).alias(f"x{i}") for i in range(d)]).first()
+    seen = numbers.head(ORIGIN_ROWS)
+    origin = [next((r[i] for r in seen if r[i] is not None), None) for i in range(d)]
+    if None in origin:  # a column that begins with gaps
+        origin = numbers.agg(*[F.first(f"x{i}", ignorenulls=True).alias(f"x{i}") for i in range(d)]).first()
     base = np.array([0.0 if v is None else v for v in origin])
     base[~np.isfinite(base)] = 0.0
 

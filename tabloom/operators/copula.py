@@ -179,8 +179,10 @@ class CopulaEncoder(NumericEncoder):
         self.options = candidates(distribution)
 
     def fit_aggs(self, c):
-        return {**super().fit_aggs(c), **moment_aggs(c),
-                "m_q": F.percentile_approx(c.cast("double"), [(i + 0.5) / QUANTILES for i in range(QUANTILES)], 10_000)}
+        wanted = {**super().fit_aggs(c), **moment_aggs(c)}
+        if self.options == ["gaussian"]:  # closed form and no other to compare it with
+            return wanted
+        return {**wanted, "m_q": F.percentile_approx(c.cast("double"), [(i + 0.5) / QUANTILES for i in range(QUANTILES)], 10_000)}
 
     def finish(self, stats, dtype):
         super().finish(stats, dtype)
@@ -207,8 +209,8 @@ class CopulaEncoder(NumericEncoder):
             p = family_parameters(family, m)
             hist = histogram_points(df, self.filled(col(column))) if family == "gaussian_kde" else None
             fits[family] = (p, tabulate(family, p, m, hist))
-        self.distances = {f: self._distance(grid) for f, (_, grid) in fits.items()}
-        self.family = min(self.distances, key=self.distances.get)
+        self.distances = {f: self._distance(grid) for f, (_, grid) in fits.items()} if m.get("m_q") else {}
+        self.family = min(self.distances, key=self.distances.get) if self.distances else self.options[0]
         self.parameters, self.grid = fits[self.family]
 
     def _distance(self, grid) -> float:
@@ -217,12 +219,15 @@ class CopulaEncoder(NumericEncoder):
         wanted = (np.arange(len(q)) + 0.5) / len(q)
         return float(np.abs(np.interp(q, *grid, left=0.0, right=1.0) - wanted).max())
 
+    def standardised(self, c: Column) -> Column:
+        """The filled column by the Gaussian family's mean and deviation."""
+        return (self.filled(c) - F.lit(self.parameters["mean"])) / F.lit(self.parameters["std"] or 1.0)
+
     def with_uniform(self, df: DataFrame, column: str, out: str) -> DataFrame:
         """Append the marginal CDF of the filled column, kept off 0 and 1."""
         made = df.withColumn("_x", self.filled(col(column)))
         if self.family == "gaussian":
-            z = (F.col("_x") - F.lit(self.parameters["mean"])) / F.lit(self.parameters["std"] or 1.0)
-            made = with_normal_cdf(made, {"_u": z})
+            made = with_normal_cdf(made, {"_u": self.standardised(col(column))})
         else:
             made = interpolate(made, "_x", *self.grid, "_u")
         return made.withColumn(out, clip(F.col("_u"), EPSILON, 1 - EPSILON)).drop("_x", "_u")

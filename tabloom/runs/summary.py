@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.scalar import col
+from tabloom.session import together
 
 
 def long_form(df: DataFrame, ids: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -26,7 +27,7 @@ def metric_summary(runs: DataFrame, metrics: list[str]) -> DataFrame:
 
 def multi_run(seeds: list[int], job: Callable[[int], DataFrame]) -> DataFrame:
     """One result row per seed, each from its own Spark job."""
-    parts = [job(s).withColumn("seed", F.lit(s)) for s in seeds]
+    parts = together([lambda s=s: job(s).withColumn("seed", F.lit(s)) for s in seeds])
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

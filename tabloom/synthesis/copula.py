@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.fidelity.pairwise import correlation
-from tabloom.functions.scalar import EPSILON, clip, col, keyed_uniform, with_normal_cdf, with_normal_ppf
+from tabloom.functions.scalar import EPSILON, clip, col, keyed_uniform, keyed_uniform_values, normal_cdf_values, normal_ppf_values
+from tabloom.functions.sums import numbers
 from tabloom.operators.categorical import CategoricalEncoder, attach
 from tabloom.operators.copula import CopulaEncoder
 from tabloom.operators.encoder import fit_all
@@ -53,19 +55,41 @@ class GaussianCopula:
             out = attach(out, c, self.encoders[c].cats, ["mid", "std"], [f"{c}__value", f"{c}__std"])
             drawn = col(f"{c}__value") + inside * 6 * col(f"{c}__std")  # the interval is six of its stds wide
             out = out.withColumn(f"{c}__value", clip(drawn, EPSILON, 1 - EPSILON)).drop(f"{c}__std")
+        linear = set()  # columns whose uniform is the distribution function of a standard normal
         for c in self.roles.continuous:
-            out = self.encoders[c].with_uniform(out, c, f"{c}__value")
-        out = with_normal_ppf(out, {f"{c}__value": f"{c}__value" for c in self.columns})
-        return out.select(*[col(f"{c}__value").alias(c) for c in self.columns])
+            e = self.encoders[c]
+            if e.family == "gaussian":
+                linear.add(c)
+                out = out.withColumn(f"{c}__value", e.standardised(col(c)))
+            else:
+                out = e.with_uniform(out, c, f"{c}__value")
+        bent = [c in linear for c in self.columns]
+
+        def scores(batches):
+            for batch in batches:
+                made = []
+                for i, z in enumerate(bent):
+                    u = numbers(batch, f"x{i}")
+                    made.append(pa.array(normal_ppf_values(np.clip(normal_cdf_values(u), EPSILON, 1 - EPSILON) if z else u), from_pandas=True))
+                yield pa.RecordBatch.from_arrays(made, names=[f"x{i}" for i in range(len(bent))])
+
+        rows = out.select(*[col(f"{c}__value").alias(f"x{i}") for i, c in enumerate(self.columns)])
+        done = rows.mapInArrow(scores, ", ".join(f"x{i} double" for i in range(len(bent))))
+        return done.select(*[F.col(f"x{i}").alias(c) for i, c in enumerate(self.columns)])
 
     def sample(self, spark, n: int, seed: int = 0, start: int = 0) -> DataFrame:
         """(id, columns): independent normals per id, mixed by the Cholesky factor in one select."""
-        m = len(self.columns)
-        out = spark.range(start, start + n).withColumns({f"_u{j}": keyed_uniform(["id"], seed * 101 + j) for j in range(m)})
-        out = with_normal_ppf(out, {f"_g{j}": f"_u{j}" for j in range(m)})
-        mixed = [sum((F.lit(float(self.factor[i, j])) * F.col(f"_g{j}") for j in range(i + 1)), F.lit(0.0)) for i in range(m)]
-        out = out.select("id", *[x.alias(f"{c}__value") for c, x in zip(self.columns, mixed)])
-        out = with_normal_cdf(out, {f"{c}__value": f"{c}__value" for c in self.roles.categorical})
+        m, factor, seeds = len(self.columns), self.factor, [seed * 101 + j for j in range(len(self.columns))]
+        as_uniform = [c in self.roles.categorical for c in self.columns]
+
+        def draw(batches):
+            for batch in batches:
+                mixed = normal_ppf_values(keyed_uniform_values(batch.column("id").to_numpy(), seeds)) @ factor.T
+                cells = [pa.array(normal_cdf_values(mixed[:, i]) if u else mixed[:, i]) for i, u in enumerate(as_uniform)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *cells], names=["id", *[f"x{i}" for i in range(m)]])
+
+        out = spark.range(start, start + n).mapInArrow(draw, "id bigint, " + ", ".join(f"x{i} double" for i in range(m)))
+        out = out.select("id", *[F.col(f"x{i}").alias(f"{c}__value") for i, c in enumerate(self.columns)])
         for c, e in self.encoders.items():
             out = e.decode(out, c, c).drop(*e.output_columns(c))
         return out.select("id", *[col(c) for c in self.columns])
